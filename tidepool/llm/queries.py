@@ -33,3 +33,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = identify_languages(table(spark, sf_dir, "documents"))
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
