@@ -56,3 +56,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.language_model import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
