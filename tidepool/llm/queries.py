@@ -63,3 +63,20 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.llm.language_model import score_texts
 
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents"))
+    each = out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.sharding import shard
+
+    out = shard(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
