@@ -80,3 +80,30 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = shard(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.decontamination import decontaminate
+
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = r"list_filter(string_split_regex(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+ORACLES["op4_decontamination"] = rf"""
+WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS k, {_WORDS.format('text')} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, len(w[i:i + 12]) AS n, array_to_string(w[i:i + 12], ' ') AS p
+       FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT DISTINCT doc_id, k, w, len(w) AS total FROM d),
+placed AS (SELECT doc_id, k, total, n, i, array_to_string(w[i:i + n - 1], ' ') AS p
+       FROM (SELECT doc_id, k, w, total, n, unnest(generate_series(1, total - n + 1)) AS i FROM dw, sizes WHERE total >= n)),
+hit AS (SELECT x.doc_id, x.k, x.i, x.n, bw.item_id FROM placed x JOIN bw ON x.p = bw.p AND x.n = bw.n),
+pos AS (SELECT doc_id, k, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, k, unnest(generate_series(i, i + n - 1)) AS j FROM hit) GROUP BY ALL),
+ids AS (SELECT doc_id, k, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, k, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY ALL)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN pos ON d.doc_id IS NOT DISTINCT FROM pos.doc_id AND d.k = pos.k LEFT JOIN ids ON d.doc_id IS NOT DISTINCT FROM ids.doc_id AND d.k = ids.k
+"""
