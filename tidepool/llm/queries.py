@@ -107,3 +107,14 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN pos ON d.doc_id IS NOT DISTINCT FROM pos.doc_id AND d.k = pos.k LEFT JOIN ids ON d.doc_id IS NOT DISTINCT FROM ids.doc_id AND d.k = ids.k
 """
+
+
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.llm.personal_data import PATTERNS, find_personal_data, listed
+
+    out = find_personal_data(table(spark, sf_dir, "documents"))
+    number = {f"n_{kind}": F.expr(f"bigint(size(filter(seeds, s -> s.kind = '{kind}')))") for kind in PATTERNS}
+    return out.withColumns(number).select(
+        "doc_id", *number, F.sha2(listed(F.col("seeds")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("seeds", "added"))).alias("spans")
+    )
