@@ -121,3 +121,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS)
     out = base.join(hits, same, "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     contaminated = (F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words"))
     return out.select("doc_id", "text_key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", contaminated.alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
+    """Docs without the contaminated rows."""
+    bad = durable(decontaminate(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("bad_key"))
+    return docs.join(bounded(bad, bad.count()), same, "left_anti")

@@ -90,6 +90,10 @@ def _fold(kind: str) -> str:
         (acc, b) -> if(size(acc.carry) = 0, named_struct('done', acc.done, 'carry', array(b)), {let('acc.carry[0]', 'a', met)}))"""
 
 
+def by_source(rows: DataFrame, small: DataFrame) -> DataFrame:
+    return rows.join(small.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+
+
 def rounded(units: DataFrame, seed: int = 11) -> DataFrame:
     """(source, doc_id, size, rows, copies) of units (source, doc_id, size, rows, whole, x), x in [0, 1)."""
     kind = units.schema["doc_id"].dataType.simpleString()
@@ -104,7 +108,7 @@ def rounded(units: DataFrame, seed: int = 11) -> DataFrame:
             break
         most = max(r["n"] for r in counts)
         sized = rest.sparkSession.createDataFrame([(r["source"], r["n"]) for r in counts], "source string, n long")
-        grouped = rest.join(sized, rest["source"].eqNullSafe(sized["source"])).drop(sized["source"])
+        grouped = by_source(rest, sized)
         group = F.pmod(F.xxhash64("draw", F.lit(level)), F.ceil(F.col("n") / F.lit(GROUP)).cast("long"))
         folded = (
             grouped.withColumn("group", group)
@@ -133,7 +137,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     goal = source_targets(units, weights, share, ceiling)
     # A row for each source, a local table: Spark broadcasts it where its size is under the session's threshold.
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    known = units.join(goal, units["source"].eqNullSafe(goal["source"])).drop(goal["source"])
+    known = by_source(units, goal)
     split = known.withColumn("rate", rate).withColumn("whole", F.floor(F.col("rate") + EDGE).cast("long")).withColumn("x", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
     done = rounded(split.select("source", "doc_id", "size", "rows", "whole", "x"), seed)
-    return done.join(goal, done["source"].eqNullSafe(goal["source"])).drop(goal["source"])
+    return by_source(done, goal)
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, seed: int = 11) -> DataFrame:
+    """Docs with each row as often as the mix takes it."""
+    taken = mix(docs, weights, share, ceiling, seed).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("size").alias("__size"), "copies")
+    sized = docs.withColumn("__words", n_words(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__from")) & (F.col("__words") == F.col("__size"))
+    return sized.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

@@ -125,7 +125,27 @@ def cut_at(keyed: DataFrame, cuts: list[int]) -> DataFrame:
     return keyed.withColumnRenamed("key", "__key").withColumn("range", range_of(F.col("__key"), cuts).cast("int")).withColumnRenamed("__key", "key")
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    text = F.col("text")
+    return docs.select("doc_id", text_size(text).alias("size"), text_crc32(text).alias("text_crc32"), sort_key(text, F.col("doc_id")).alias("key"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for each row of docs (doc_id, text)."""
-    keyed = durable(docs.select("doc_id", text_size(F.col("text")).alias("size"), text_crc32(F.col("text")).alias("text_crc32"), sort_key(F.col("text"), F.col("doc_id")).alias("key")))
-    return placed(keyed, shards).select("doc_id", "size", "text_crc32", "shard", "slot")
+    return placed(durable(keyed_rows(docs)), shards).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Docs with column shard: the shards of ``shard`` as ranges of (key, doc_id), given to rows where they are read.
+
+    Only the first record of each shard comes to the driver. Rows that are equal in key and doc_id share a shard.
+    """
+    held = placed(durable(keyed_rows(docs)), shards)
+    first = held.groupBy("shard").agg(F.min(F.struct("key", "doc_id")).alias("at")).orderBy("shard").collect()
+    if not first:
+        return docs.withColumn("shard", F.lit(0))
+    kind = docs.schema["doc_id"].dataType
+    bounds = F.array(*[F.struct(F.lit(r["at"]["key"]).cast("long").alias("key"), F.lit(r["at"]["doc_id"]).cast(kind).alias("doc_id")) for r in first])
+    own = F.struct(sort_key(F.col("text"), F.col("doc_id")).alias("key"), F.col("doc_id").alias("doc_id"))
+    nth = F.greatest(F.lit(1), F.size(F.filter(bounds, lambda b: b <= own)))
+    return docs.withColumn("shard", F.get(F.array(*[F.lit(r["shard"]) for r in first]), nth - 1))

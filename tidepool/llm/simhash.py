@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.blocks import SPACED, split
@@ -57,7 +57,7 @@ def fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.R
             np.cumsum((hashes >> np.uint64(bit)) & np.uint64(1), out=run[1:])
             ones = run[limits[1:]] - run[limits[:-1]]
             out |= (2 * ones > np.diff(limits)).astype(np.uint64) << np.uint64(bit)
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "bits": out.view(np.int64)})
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "bits": out.view(np.int64)})
 
 
 def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> bytes:
@@ -158,9 +158,13 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprint(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, bits) for each row of docs (doc_id, text)."""
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(lambda batches: fingerprints(batches, words), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, bits long")
+    """(doc_id, text_key, bits) for each row of docs (doc_id, text); text_key is a hash of the text."""
+    rows = docs.select("doc_id", "text", text_key())
+    return rows.mapInArrow(lambda batches: fingerprints(batches, words), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, bits long")
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -170,7 +174,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, bits, component_id): each row's fingerprint and the smallest doc_id that links reach from it."""
+    """(doc_id, text_key, bits, component_id): each row's fingerprint and the smallest doc_id that links reach from it."""
     from tidepool.llm.tables import durable
 
     prints = durable(fingerprint(docs, words))
@@ -179,4 +183,14 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     least = distinct.join(found, distinct["bits"] == found["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
     roots = least.groupBy("root").agg(F.min("least").alias("component_id"))
     # Plain joins, so that adaptive execution can split a hot fingerprint or class.
-    return prints.join(least.join(roots, "root").select("bits", "component_id"), "bits").select("doc_id", "bits", "component_id")
+    return prints.join(least.join(roots, "root").select("bits", "component_id"), "bits").select("doc_id", "text_key", "bits", "component_id")
+
+
+def deduplicated(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """Docs with one row of each class: the one of the smallest doc_id (then text hash); of repeated rows, one."""
+    classes = near_duplicates(docs, words)
+    chosen = classes.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("c")).select(F.col("c.doc_id").alias("keep_id"), F.col("c.text_key").alias("keep_key"))
+    keyed = docs.withColumn("__key", text_key())
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__key") == F.col("keep_key"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(0)))
+    return keyed.join(chosen, same, "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth", "__key")
