@@ -20,7 +20,7 @@ def trimmed_counts(rows: DataFrame, key: str, limit: int | None = None) -> DataF
 
 def member_counts(rows: DataFrame, members: Column, limit: int = 0) -> DataFrame:
     """Counts of the stripped members of an array column, most frequent first, ties by name; limit 0 means all."""
-    each = rows.select(F.trim(F.explode(members)).alias("name")).where("name <> ''")
+    each = rows.select(F.explode(members).alias("name")).select(F.trim("name").alias("name")).where("name <> ''")
     out = each.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name")
     return out.limit(limit) if limit else out
 
