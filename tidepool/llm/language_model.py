@@ -30,6 +30,8 @@ from tidepool.llm.tables import durable
 
 UNIT_WORDS, SUFFIX_UNITS, CLASSES = 1024, 256, 48
 CACHED_WORDS = 1 << 18
+#: Counts from here on share a row of the histogram that the cache is cut by.
+TALLY = 1 << 16
 ADDED = 0.1
 TRANSITION_PRIOR = 5.0
 EXCHANGE_ROUNDS = 8
@@ -205,6 +207,27 @@ def flat(batches: Iterator[pa.RecordBatch], model: ClassModel) -> Iterator[pa.Re
         )
 
 
+def column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(np.int64)
+
+
+def frequent(counts: DataFrame) -> pa.Table:
+    """(h, n) of the most frequent words, most frequent first: all that reach a count which CACHED_WORDS at most reach.
+
+    The count is read off a histogram of TALLY rows, so no task sends more than it has of the result.
+    """
+    tally = sorted(counts.groupBy(F.least("n", F.lit(TALLY)).alias("n")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["n"])
+    run, least = 0, None
+    for r in tally:
+        run += r["words"]
+        if run > CACHED_WORDS:
+            break
+        least = r["n"]
+    if least is None:
+        return counts.select("h", "n").limit(0).toArrow()
+    return counts.where(F.col("n") >= least).select("h", "n").toArrow().sort_by([("n", "descending"), ("h", "ascending")])
+
+
 def score_texts(docs: DataFrame, held_out_fold: int = 0, folds: int = 10) -> DataFrame:
     """For each row of docs (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -213,16 +236,16 @@ def score_texts(docs: DataFrame, held_out_fold: int = 0, folds: int = 10) -> Dat
     training = docs.where(~held_out).select("text")
     counts = durable(training.mapInArrow(counted, "h long, suffix int, n long").groupBy("h").agg(F.sum("n").alias("n"), F.min("suffix").alias("suffix")))
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    cached = counts.orderBy(F.desc("n"), "h").limit(CACHED_WORDS).toPandas()  # CACHED_WORDS narrow rows
-    hashes = cached["h"].to_numpy(np.int64).view(np.uint64)
+    cached = frequent(counts)
+    hashes = column(cached, "h").view(np.uint64)
     unit = np.where(np.arange(len(cached)) < UNIT_WORDS, np.arange(len(cached)), -1)
     order = np.argsort(hashes[:UNIT_WORDS])
     units = (hashes[:UNIT_WORDS][order], unit[:UNIT_WORDS][order])
     shared_units = spark.sparkContext.broadcast(units)
-    found = training.mapInArrow(lambda b: paired(b, *shared_units.value), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = training.mapInArrow(lambda b: paired(b, *shared_units.value), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     size = UNIT_WORDS + SUFFIX_UNITS
     pairs = np.zeros(size * size)
-    pairs[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
+    pairs[column(found, "pair")] = column(found, "n")
     label = exchange(pairs.reshape(size, size), CLASSES, EXCHANGE_ROUNDS)
     member = (label[:, None] == np.arange(CLASSES)).astype(float)
     n = member.T @ pairs.reshape(size, size) @ member
@@ -234,18 +257,18 @@ def score_texts(docs: DataFrame, held_out_fold: int = 0, folds: int = 10) -> Dat
         counts.join(F.broadcast(top), "h", "left")
         .groupBy(F.coalesce("unit", F.col("suffix") + UNIT_WORDS).alias("u"))
         .agg(F.sum("n").alias("n"), F.count("*").alias("v"))
-        .toPandas()
+        .toArrow()
     )
     mass, distinct = np.zeros(size), np.zeros(size)
-    mass[by_unit["u"].to_numpy(np.int64)], distinct[by_unit["u"].to_numpy(np.int64)] = by_unit["n"], by_unit["v"]
+    mass[column(by_unit, "u")], distinct[column(by_unit, "u")] = column(by_unit, "n"), column(by_unit, "v")
     divisor = np.log10(member.T @ mass + ADDED * (member.T @ distinct + 1))
     end = int(unit[hashes == END][0]) if (hashes == END).any() and unit[hashes == END][0] >= 0 else UNIT_WORDS
     order = np.argsort(hashes)
-    model = ClassModel(hashes[order], np.log10(cached["n"].to_numpy(np.float64)[order] + ADDED), unit[order], label, transition, divisor, end)
+    model = ClassModel(hashes[order], np.log10(column(cached, "n")[order] + ADDED), unit[order], label, transition, divisor, end)
     shared = spark.sparkContext.broadcast(model)
-    least = int(cached["n"].iloc[-1]) if len(cached) else 0  # rarer words, and ties with it, may stand outside the cache
+    least = int(column(cached, "n")[-1]) if len(cached) else 1 << 62  # all rarer words stand outside the cache
     rows = docs.select("doc_id", "text").mapInArrow(lambda b: flat(b, shared.value), f"doc_id {kind}, {FLAT}")
-    joined = rows.join(counts.where(F.col("n") <= least).select("h", F.col("n").alias("c")), "h", "left")
+    joined = rows.join(counts.where(F.col("n") < least).select("h", F.col("n").alias("c")), "h", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADDED))
     sums = joined.groupBy("doc_id", "thash").agg(
         F.sum("rows").alias("copies"),
