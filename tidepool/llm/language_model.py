@@ -129,7 +129,8 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
             n[a] -= right
             n[:, a] -= left
             n[a, a] -= own
-            rows, columns, diagonal = n.sum(1), n.sum(0), np.diag(n)
+            # Margins as they are wherever the unit goes: pairs with it count in the other classes' rows and columns.
+            rows, columns, diagonal = n.sum(1) + left, n.sum(0) + right, np.diag(n)
             # What the objective gains for each class c: entries of row c, of column c, the diagonal, the two margins.
             gain = (xlogx(n + right) - xlogx(n)).sum(1) + (xlogx(n + left[:, None]) - xlogx(n)).sum(0)
             each = np.arange(classes)
