@@ -26,9 +26,9 @@ LEAST_SCORE = 0.1
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that was learned, with lang set to it."""
-    out = identify_languages(docs, kept=tuple(docs.columns))
-    kept = out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    out = identify_languages(docs, kept=tuple(docs.columns), made=("__lang", "__score"))
+    kept = out.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

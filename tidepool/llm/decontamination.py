@@ -115,7 +115,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS)
         .groupBy("doc_id", "text_key")
         .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))  # item ids of the benchmark at most
     )
-    hits = covered.join(items, ["doc_id", "text_key"]).withColumnsRenamed({"doc_id": "hit_id", "text_key": "hit_key"})
+    listed = items.withColumnsRenamed({"doc_id": "item_doc", "text_key": "item_text"})
+    hits = covered.withColumnsRenamed({"doc_id": "hit_id", "text_key": "hit_key"})
+    hits = hits.join(listed, F.col("hit_id").eqNullSafe(F.col("item_doc")) & (F.col("hit_key") == F.col("item_text"))).drop("item_doc", "item_text")
     base = docs.select(*key_of(docs), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key"))
     out = base.join(hits, same, "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
@@ -125,6 +127,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS)
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
     """Docs without the contaminated rows."""
-    bad = durable(decontaminate(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("bad_key"))
+    bad = durable(decontaminate(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__bad_key"))
     return docs.join(bounded(bad, bad.count()), same, "left_anti")

@@ -97,7 +97,7 @@ def fit(rows: list) -> LanguageModel | None:
     return LanguageModel(languages, marks.astype(np.float32), (whiten @ w).astype(np.float32), target - mean @ w)
 
 
-def labelled(batches: Iterator[pa.RecordBatch], model: LanguageModel | None, kept: tuple[str, ...] = ("doc_id",)) -> Iterator[pa.RecordBatch]:
+def labelled(batches: Iterator[pa.RecordBatch], model: LanguageModel | None, kept: tuple[str, ...] = ("doc_id",), made: tuple[str, str] = ("lang_pred", "score")) -> Iterator[pa.RecordBatch]:
     for batch, _ in split(batches):
         texts = lowered(batch.column("text"))
         lettered = np.asarray(pc.match_substring_regex(texts, r"\pL"))
@@ -107,11 +107,11 @@ def labelled(batches: Iterator[pa.RecordBatch], model: LanguageModel | None, kep
             best = np.where(lettered, raw.argmax(axis=1), -1)
             score = np.where(lettered, np.clip((raw.max(axis=1) + 1) / 2, 0, 1), 0.0)
         names = [UNDETERMINED if k < 0 else model.languages[k] for k in best]
-        yield pa.record_batch({name: batch.column(name) for name in kept} | {"lang_pred": pa.array(names, pa.string()), "score": score.astype(np.float64)})
+        yield pa.record_batch({name: batch.column(name) for name in kept} | {made[0]: pa.array(names, pa.string()), made[1]: score.astype(np.float64)})
 
 
-def identify_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, held_out_fold: int | None = 2, folds: int = 4, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``kept``, lang_pred and score for each row of docs (doc_id, text), learned from its column lang outside the fold."""
+def identify_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, held_out_fold: int | None = 2, folds: int = 4, kept: tuple[str, ...] = ("doc_id",), made: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``kept``, and language and score under the names ``made``, for each row of docs (doc_id, text), learned from its column lang outside the fold."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if held_out_fold is not None:
         known = known.where(fold(F.col("doc_id"), folds) != held_out_fold)
@@ -119,4 +119,4 @@ def identify_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, held_out_fold:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2**DIM_BITS x landmarks
     rows = docs.select(*dict.fromkeys([*kept, "text"]))
     schema = ", ".join(f"`{name}` {rows.schema[name].dataType.simpleString()}" for name in kept)
-    return rows.mapInArrow(lambda batches: labelled(batches, shared.value, kept), f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(lambda batches: labelled(batches, shared.value, kept, made), f"{schema}, `{made[0]}` string, `{made[1]}` double")

@@ -145,7 +145,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, seed: int = 11) -> DataFrame:
     """Docs with each row as often as the mix takes it."""
-    taken = mix(docs, weights, share, ceiling, seed).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("size").alias("__size"), "copies")
+    taken = mix(docs, weights, share, ceiling, seed).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
     sized = docs.withColumn("__words", n_words(F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__from")) & (F.col("__words") == F.col("__size"))
-    return sized.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return sized.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
