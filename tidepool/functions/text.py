@@ -44,9 +44,16 @@ def like_literal(term: str) -> str:
 
 
 def contains_term(text: Column, term: str) -> Column:
-    """LIKE '%term%' with wildcards escaped and ASCII case folded; substring search needs no pattern."""
-    folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in term)
-    return F.contains(fold_ascii(F.coalesce(text, F.lit(""))), F.lit(folded))
+    """LIKE '%term%' with wildcards escaped and ASCII case folded; substring search needs no pattern.
+
+    Lower-casing the whole text is much faster than folding A-Z alone and finds the same for a term without cased
+    letters beyond ASCII, once the two characters whose lower case holds an ASCII letter are out of the way.
+    """
+    held, folded = F.coalesce(text, F.lit("")), "".join(c.lower() if "A" <= c <= "Z" else c for c in term)
+    if any(c > "\x7f" and c.lower() != c.upper() for c in term) or "\u0307" in term:
+        return F.contains(fold_ascii(held), F.lit(folded))
+    plain = F.replace(F.replace(held, F.lit("\u212a"), F.lit("\x01")), F.lit("\u0130"), F.lit("\x01")) if "\x01" not in term else fold_ascii(held)
+    return F.contains(F.lower(plain), F.lit(folded))
 
 
 def quoted_phrases(text: Column) -> Column:
