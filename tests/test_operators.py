@@ -104,22 +104,46 @@ def loop_atoms(segs):
     return out + ([now] if now else [])
 
 
-def loop_scenes(atoms):
-    out, now = [], []
-    for i, s, e in atoms:
-        now.append((i, s, e))
-        if len(now) >= 8 or e - now[0][1] >= 180_000:
-            out.append([x[0] for x in now])
-            now = []
-    if now:
-        ids = [x[0] for x in now]
-        if out and len(ids) < 4:
-            out[-1] += ids
+def span(g):
+    return g[-1][2] - g[0][1]
+
+
+def loop_merge(groups):
+    out = []
+    for g in groups:
+        if out and span(g) < 45_000 and g[-1][2] - out[-1][0][1] <= 300_000:
+            out[-1] = out[-1] + g
         else:
-            out.append(ids)
+            out.append(g)
     return out
 
 
+def valid(groups):
+    return all(span(g) <= 300_000 for g in groups) and all(span(g) >= 45_000 for g in groups[1:-1])
+
+
+def loop_scenes(atoms, boundaries=()):
+    out, now = [], []
+    for a in atoms if boundaries else ():
+        now = [*now, a]
+        if span(now) > 300_000 and len(now) > 1:
+            out, now = [*out, now[:-1]], [a]
+        if (a[0] in boundaries and span(now) >= 45_000) or span(now) >= 300_000:
+            out, now = [*out, now], []
+    out = loop_merge(out + ([now] if now else []))
+    if out and valid(out):
+        return [[x[0] for x in g] for g in out]
+    out, now = [], []
+    for a in atoms:
+        now = [*now, a]
+        if len(now) >= 8 or span(now) >= 180_000:
+            out, now = [*out, now], []
+    if now:
+        out = [*out[:-1], out[-1] + now] if out and len(now) < 4 else [*out, now]
+    out = loop_merge(out)
+    return [[x[0] for x in g] for g in (out if valid(out) else [list(atoms)])] if atoms else []
+
+
 def test_folds_against_loops(spark):
     rng = random.Random(7)
     cases = []
@@ -133,10 +157,39 @@ def test_folds_against_loops(spark):
     frame = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], f"i int, s array<{segments.SEGMENT}>")
     got = {r.i: [[tuple(s) for s in a] for a in r.a] for r in frame.select("i", segments.atoms_of(F.col("s")).alias("a")).collect()}
     assert got == {i: loop_atoms(c) for i, c in enumerate(cases)}
-    atoms = [[(k, s[0], s[1]) for k, s in enumerate(c)] for c in cases]
-    frame = spark.createDataFrame([(i, a) for i, a in enumerate(atoms)], "i int, a array<struct<idx:int,start_ms:bigint,end_ms:bigint>>")
-    got = {r.i: r.g for r in frame.select("i", segments.fallback_scenes(F.col("a")).alias("g")).collect()}
-    assert got == {i: loop_scenes(a) for i, a in enumerate(atoms)}
+    atoms = []
+    for c in cases:
+        stretch = rng.choice([1, 3, 12])
+        atoms.append([(k, s[0] * stretch, s[1] * stretch) for k, s in enumerate(c)])
+    cuts = [sorted(rng.sample(range(25), rng.randint(0, 6))) for _ in atoms]
+    frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(atoms, cuts))], "i int, a array<struct<idx:int,start_ms:bigint,end_ms:bigint>>, b array<int>")
+    got = {r.i: (r.g, r.h) for r in frame.select("i", segments.fallback_scenes(F.col("a")).alias("g"), segments.scenes(F.col("a"), F.col("b")).alias("h")).collect()}
+    assert got == {i: (loop_scenes(a), loop_scenes(a, b)) for i, (a, b) in enumerate(zip(atoms, cuts))}
+
+
+def test_repair_and_chunks(spark):
+    noisy = [("oh yeah baby", None), *[("".join(chr(0x4E00 + (i * 25 + k) % 900) for k in range(25)), 0.99) for i in range(60)]]
+    frame = spark.createDataFrame([(noisy, "x" * 1500), (noisy[1:], "x"), ([], "")], "segments array<struct<text:string,asr_confidence:double>>, text string")
+    got = segments.repaired(frame).collect()
+    assert [r.refused for r in got] == [None, "nothing removed", "no segments"] and len(got[0].cleaned) == 60
+    parts = spark.createDataFrame([([("a ", [(0, 5, "a", None)], None, "zh", 0), ("", None, "m", None, 1000), ("b", [(1, 2, "b", None)], "n", "en", 2000)],)], f"p array<struct<text:string,segments:array<{segments.SEGMENT}>,model_name:string,language:string,offset_ms:bigint>>")
+    one = parts.select(segments.shifted(F.col("p")).alias("m")).first().m
+    assert (one.text, one.model_name, one.language, one.chunk_count) == ("a\nb", "m", "zh", 3) and [s.start_ms for s in one.segments] == [0, 2001]
+
+
+def test_bridge_skip(spark):
+    def payload(source, signature):
+        return f'{{"source": "{source}", "bridge_result_signature": "{signature}"}}'
+
+    rows = [("a", "scene_summary", payload("x", "1")), ("a", "episode_card", payload("x", "1")), ("b", "scene_summary", payload("x", "1")), ("c", "scene_summary", payload("y", "1")), ("c", "episode_card", payload("x", "1")), ("d", "scene_summary", payload("x", "0")), ("d", "episode_card", payload("x", "1")), ("e", "scene_summary", "bad"), ("e", "episode_card", payload("x", "1"))]
+    results = spark.createDataFrame([(k, "1") for k in "abcdef"], "item_key string, signature string")
+    done = lambda **o: sorted(r.item_key for r in merges.bridge_done(spark.createDataFrame(rows, "item_key string, doc_type string, payload_json string"), results, ["x"], **o).collect())
+    assert done() == ["a"] and done(full=True) == []
+
+
+def test_match_summary(spark):
+    frame = spark.createDataFrame([("scene_summary", ["a", "b", "c", "d"], "01:00"), ("item_title", ["a"], "01:00"), ("evidence_atom", [], None)], "t string, m array<string>, s string")
+    assert [r.x for r in frame.select(retrieval.match_summary(F.col("t"), F.col("m"), F.col("s")).alias("x")).collect()] == ["提到了 a、b、c，命中节目片段摘要，位置约在 01:00", "提到了 a，命中节目标题", "语义命中，匹配到相近描述"]
 
 
 def test_windows_and_segments(spark):

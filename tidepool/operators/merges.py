@@ -93,3 +93,33 @@ def index_candidates(items: DataFrame, transcripts: DataFrame, title_docs: DataF
         rows = rows.join(titled, "item_key", "left").where((F.col("updated_at") > since) | (F.col("transcript_updated_at") > since) | F.col("titled").isNull()).drop("titled")
     last = F.coalesce("transcript_updated_at", "updated_at")
     return rows.orderBy(F.col("transcript_updated_at").isNull(), last.desc(), "item_key")
+
+
+def bridge_done(existing: DataFrame, results: DataFrame, accepted: Sequence[str], full: bool = False) -> DataFrame:
+    """Results (item_key, signature) whose documents stand already: all needed types there, summaries from an accepted source with this signature.
+
+    existing: (item_key, doc_type, payload_json).
+    """
+    summaries = ["scene_summary", "episode_card"]
+    needed = summaries + (["item_title", "timeline_note", "evidence_atom"] if full else [])
+    is_summary = F.col("doc_type").isin(*summaries)
+    source, signature = F.get_json_object("payload_json", "$.source"), F.get_json_object("payload_json", "$.bridge_result_signature")
+    held = existing.groupBy("item_key").agg(
+        F.collect_set("doc_type").alias("types"),  # five at most
+        F.min(F.when(is_summary, F.coalesce(source.isin(*accepted), F.lit(False)))).alias("accepted"),
+        F.min(F.when(is_summary, signature)).alias("low"),
+        F.max(F.when(is_summary, signature)).alias("high"),
+        F.count(F.when(is_summary & signature.isNull(), 1)).alias("unsigned"),
+    )
+    whole = F.size(F.array_except(F.array(*[F.lit(t) for t in needed]), "types")) == 0
+    same = (F.col("low") == F.col("signature")) & (F.col("high") == F.col("signature")) & (F.col("unsigned") == 0)
+    return results.join(held, "item_key").where(whole & F.col("accepted") & same).select("item_key", "signature")
+
+
+# The order that documents of an item are listed in.
+TYPE_ORDER = {"item_title": 0, "timeline_note": 1, "evidence_atom": 2, "scene_summary": 3, "episode_card": 4}
+
+
+def document_order() -> list[Column]:
+    rank = F.try_element_at(F.create_map(*[F.lit(x) for p in TYPE_ORDER.items() for x in p]), F.col("doc_type"))
+    return [F.coalesce(rank, F.lit(99)), F.coalesce("doc_index", F.lit(0)), F.coalesce("doc_id", F.lit(""))]

@@ -150,3 +150,16 @@ def degrade_reason(error: object) -> str:
     text = str(error)
     spent = any(mark in text for mark in ("1113", "余额不足", "资源包已用完"))
     return "embedding_quota_exhausted" if spent else "semantic_recall_unavailable"
+
+
+# How a result of each type is told of.
+TOLD = {"timeline_note": "命中时间轴记录", "episode_card": "命中节目摘要", "scene_summary": "命中节目片段摘要", "evidence_atom": "命中原始转录片段", "item_title": "命中节目标题"}
+
+
+def match_summary(doc_type: Column, terms: Column, shown_time: Column) -> Column:
+    """A sentence on why a hit is shown."""
+    told = F.try_element_at(F.create_map(*[F.lit(x) for p in TOLD.items() for x in p]), doc_type)
+    place = F.when((F.coalesce(shown_time, F.lit("")) != "") & (doc_type != "item_title"), F.concat(F.lit("位置约在 "), shown_time))
+    named = F.array(F.concat(F.lit("提到了 "), F.array_join(F.slice(terms, 1, 3), "、")), told, place)
+    near = F.array(F.lit("语义命中"), F.lit("匹配到相近描述"), place)
+    return F.array_join(F.array_compact(F.when(F.size(terms) > 0, named).otherwise(near)), "，")

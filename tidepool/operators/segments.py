@@ -75,28 +75,104 @@ def windows(n: Column, size: int = 14, overlap: int = 3) -> Column:
     return F.when(n > 0, F.filter(cut, lambda w: (w["start"] == 0) | (w["start"] + overlap < n))).otherwise(F.slice(cut, 1, 0))
 
 
-def fallback_scenes(atoms: Column, most: int = 8, long: int = 180_000, tail: int = 4) -> Column:
-    """Groups of atom indexes, closed at 8 atoms or three minutes; a short tail joins the group before it.
+GROUP = "struct<start_ms:bigint,end_ms:bigint,ids:array<int>>"
+SCENE_MIN, SCENE_MAX = 45_000, 300_000
+
+
+def _group(start: Column, end: Column, ids: Column) -> Column:
+    return F.struct(start.cast("bigint").alias("start_ms"), end.cast("bigint").alias("end_ms"), ids.alias("ids"))
+
+
+def _span(g: Column) -> Column:
+    return g["end_ms"] - g["start_ms"]
+
+
+def _appended(open_: Column, a: Column) -> Column:
+    return F.when(open_.isNull(), _group(a["start_ms"], a["end_ms"], F.array(a["idx"]))).otherwise(_group(open_["start_ms"], a["end_ms"], F.concat(open_["ids"], F.array(a["idx"]))))
+
+
+def _folded(atoms: Column, step, finish) -> Column:
+    """Folds atoms into (done, open) by step, then finishes."""
+    state = lambda done, open_: F.struct(done.alias("done"), open_.alias("open"))
+    zero = state(F.array().cast(f"array<{GROUP}>"), F.lit(None).cast(GROUP))
+    return F.aggregate(atoms, zero, lambda acc, a: step(acc["done"], acc["open"], a, state), lambda acc: finish(acc["done"], acc["open"]))
+
+
+def _closed(done: Column, g: Column) -> Column:
+    return F.concat(done, F.array(g))
+
+
+def _flush(done: Column, open_: Column) -> Column:
+    return F.when(open_.isNull(), done).otherwise(_closed(done, open_))
+
+
+def fallback_groups(atoms: Column, most: int = 8, long: int = 180_000, tail: int = 4) -> Column:
+    """Groups closed at 8 atoms or three minutes; a short tail joins the group before it."""
+    none = F.lit(None).cast(GROUP)
+
+    def step(done, open_, a, state):
+        now = _appended(open_, a)
+        return F.when((F.size(now["ids"]) >= most) | (_span(now) >= long), state(_closed(done, now), none)).otherwise(state(done, now))
+
+    def finish(done, open_):
+        last = F.get(done, F.size(done) - 1)
+        joined = _group(last["start_ms"], open_["end_ms"], F.concat(last["ids"], open_["ids"]))
+        short = open_.isNotNull() & (F.size(done) > 0) & (F.size(open_["ids"]) < tail)
+        return F.when(short, _closed(F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1)), joined)).otherwise(_flush(done, open_))
+
+    return _folded(atoms, step, finish)
+
+
+def boundary_groups(atoms: Column, boundaries: Column) -> Column:
+    """Groups closed behind a boundary atom if long enough, or when full; an atom that overfills opens the next group."""
+    none = F.lit(None).cast(GROUP)
+
+    def settle(done, now, a, state):
+        ends = (F.array_contains(boundaries, a["idx"]) & (_span(now) >= SCENE_MIN)) | (_span(now) >= SCENE_MAX)
+        return F.when(ends, state(_closed(done, now), none)).otherwise(state(done, now))
+
+    def step(done, open_, a, state):
+        now = _appended(open_, a)
+        alone = _group(a["start_ms"], a["end_ms"], F.array(a["idx"]))
+        over = (_span(now) > SCENE_MAX) & open_.isNotNull()
+        return F.when(over, settle(_closed(done, open_), alone, a, state)).otherwise(settle(done, now, a, state))
+
+    return _folded(atoms, step, _flush)
+
+
+def merged_groups(groups: Column) -> Column:
+    """Groups below 45 s join the one before, where both stay within five minutes."""
+
+    def step(acc: Column, g: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        both = _group(last["start_ms"], g["end_ms"], F.concat(last["ids"], g["ids"]))
+        joins = (F.size(acc) > 0) & (_span(g) < SCENE_MIN) & (_span(both) <= SCENE_MAX)
+        return F.when(F.coalesce(joins, F.lit(False)), _closed(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), both)).otherwise(_closed(acc, g))
+
+    return F.aggregate(groups, F.array().cast(f"array<{GROUP}>"), step)
+
+
+def are_valid(groups: Column) -> Column:
+    """None above five minutes; only the first and the last below 45 s. Order and completeness hold by construction."""
+    inner = F.slice(groups, 2, F.greatest(F.lit(0), F.size(groups) - 2))
+    return F.forall(groups, lambda g: _span(g) <= SCENE_MAX) & F.forall(inner, lambda g: _span(g) >= SCENE_MIN)
+
+
+def fallback_scenes(atoms: Column) -> Column:
+    """Arrays of atom indexes by counts and lengths alone; one group of all where that gives none that is valid.
 
     ``atoms`` is an array of (idx, start_ms, end_ms) in order.
     """
-    group = "struct<start_ms:bigint,ids:array<int>>"
-    zero = F.struct(F.array().cast("array<array<int>>").alias("done"), F.lit(None).cast(group).alias("open"))
-
-    def merge(acc: Column, a: Column) -> Column:
-        start = F.coalesce(acc["open"]["start_ms"], a["start_ms"])
-        ids = F.concat(F.coalesce(acc["open"]["ids"], F.array().cast("array<int>")), F.array(a["idx"]))
-        full = (F.size(ids) >= most) | (a["end_ms"] - start >= long)
-        return F.when(full, F.struct(F.concat(acc["done"], F.array(ids)).alias("done"), F.lit(None).cast(group).alias("open"))).otherwise(
-            F.struct(acc["done"].alias("done"), F.struct(start.alias("start_ms"), ids.alias("ids")).alias("open"))
-        )
+    groups = merged_groups(fallback_groups(atoms))
+    whole = F.array(F.transform(atoms, lambda a: a["idx"]))
+    return F.when(F.size(atoms) == 0, F.array().cast("array<array<int>>")).when(are_valid(groups), F.transform(groups, lambda g: g["ids"])).otherwise(whole)
 
-    def finish(acc: Column) -> Column:
-        ids, n = acc["open"]["ids"], F.size(acc["done"])
-        joined = F.concat(F.slice(acc["done"], 1, F.greatest(F.lit(0), n - 1)), F.array(F.concat(F.element_at(acc["done"], -1), ids)))
-        return F.when(ids.isNull(), acc["done"]).when((n > 0) & (F.size(ids) < tail), joined).otherwise(F.concat(acc["done"], F.array(ids)))
 
-    return F.aggregate(atoms, zero, merge, finish)
+def scenes(atoms: Column, boundaries: Column) -> Column:
+    """Arrays of atom indexes by boundaries; by ``fallback_scenes`` where there are none or they give no valid groups."""
+    groups = merged_groups(boundary_groups(atoms, boundaries))
+    use = (F.size(F.coalesce(boundaries, F.array().cast("array<int>"))) > 0) & (F.size(groups) > 0) & are_valid(groups)
+    return F.when(use, F.transform(groups, lambda g: g["ids"])).otherwise(fallback_scenes(atoms))
 
 
 def boundary_votes(votes: DataFrame, n_windows: Column, key: str = "item_key") -> DataFrame:
@@ -105,3 +181,32 @@ def boundary_votes(votes: DataFrame, n_windows: Column, key: str = "item_key") -
     enough = F.col("votes") >= F.when(F.col("n_windows") <= 1, 1).otherwise(2)
     any_enough = counted.groupBy(key).agg(F.max(enough.cast("int")).alias("some"))
     return counted.join(any_enough, key).where(enough | (F.col("some") == 0)).select(key, "boundary", "votes")
+
+
+def shifted(payloads: Column) -> Column:
+    """One payload (text, segments, words, model_name, language, chunk_count) of chunk payloads with offset_ms, in order."""
+    late = lambda xs, by: F.transform(F.coalesce(xs, F.array().cast(f"array<{SEGMENT}>")), lambda s: s.withField("start_ms", s["start_ms"] + by).withField("end_ms", s["end_ms"] + by))
+    first = lambda name: F.get(F.filter(F.transform(payloads, lambda p: p[name]), lambda v: F.coalesce(v, F.lit("")) != ""), F.lit(0))
+    texts = F.filter(F.transform(payloads, lambda p: F.trim(F.coalesce(p["text"], F.lit("")))), lambda t: t != "")
+    return F.struct(
+        F.array_join(texts, "\n").alias("text"), F.flatten(F.transform(payloads, lambda p: late(p["segments"], p["offset_ms"]))).alias("segments"),
+        first("model_name").alias("model_name"), first("language").alias("language"), F.size(payloads).alias("chunk_count"),
+    )
+
+
+def repaired(rows: DataFrame, segments: str = "segments", text: str = "text") -> DataFrame:
+    """Adds cleaned segments, their text, and why a repair is refused (NULL if it is not)."""
+    from tidepool.functions.text import drop_segment, repetition_reason
+
+    n = F.size(segments)
+    kept = F.filter(segments, lambda s, i: ~drop_segment(F.trim(s["text"]), i, n, s["asr_confidence"]))
+    clean = F.array_join(F.transform("cleaned", lambda s: F.trim(s["text"])), "\n")
+    out = rows.withColumn("cleaned", kept).withColumn("cleaned_text", clean)
+    refused = (
+        F.when(F.coalesce(F.size(segments), F.lit(0)) < 1, "no segments")
+        .when(F.size("cleaned") == F.size(segments), "nothing removed")
+        .when(F.col("cleaned_text") == "", "empty")
+        .when(repetition_reason(F.col("cleaned_text")).isNotNull(), "still repeated")
+        .when(F.length("cleaned_text") < F.greatest(F.lit(1000), F.floor(F.length(F.coalesce(F.col(text), F.lit(""))) * 0.5)), "shrank too much")
+    )
+    return out.withColumn("refused", refused)

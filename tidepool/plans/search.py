@@ -74,6 +74,7 @@ class Memory:
         shown = best.join(packed, best["doc_id"] == packed["hit_id"], "left").drop("hit_id")
         text = excerpt(F.col("keyword_text"), F.col("matched_terms"), head=is_atom | (F.col("recall_stage") == "second_pass_atom"))
         out = shown.withColumns({"excerpt": text, "display_timestamp": F.when(F.col("start_ms").isNotNull(), format_ms(F.col("start_ms")))})
+        out = out.withColumn("match_summary", retrieval.match_summary(F.col("doc_type"), F.col("matched_terms"), F.col("display_timestamp")))
         how = {"query": query, "terms": wanted, "degraded": reason is not None, "degraded_reason": reason, "limit": limit, "tuning": tuning.__dict__}
         return out.orderBy("nth", F.desc("rerank_score"), "ord") if tuning.diversify_enabled else out.orderBy(F.desc("rerank_score"), "ord"), how
 
