@@ -6,6 +6,7 @@ for vector points, events for jobs and timelines, conversations for transcripts,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import embed, text
 from tidepool.operators import context, merges, retrieval, segments, stats
+from tidepool.session import shared_folder, spread
 from tidepool.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +39,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, for work that costs more on each row than reading it."""
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def score_sql(terms: list[str] = TERMS) -> str:
     return " + ".join(f"CASE WHEN contains({LOW}, '{t}') THEN {retrieval.term_weight(t)} ELSE 0 END" for t in terms)
 
@@ -103,7 +110,7 @@ def diversify_docs(spark, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents")
+    docs = texts(spark, d)
     named = read(spark, d, "labels").select("doc_id").distinct()
     best = retrieval.diversify(ranked(docs.join(named, "doc_id", "left_semi")), 10)
     shown = text.excerpt(F.col("text"), F.array(*[F.lit(t) for t in TERMS]))
@@ -132,7 +139,7 @@ def degraded_search(spark, d):
 
 @query(f"SELECT doc_id, {_SHOWN} AS excerpt_chars FROM (SELECT *, {_CLEAN} AS c, {_AT} AS a FROM documents WHERE contains(text, 'tion'))".replace(str(_AT), f"instr({_CLEAN}, 'tion') - 1"))
 def excerpt(spark, d):
-    docs = read(spark, d, "documents").where(F.contains("text", F.lit("tion")))
+    docs = texts(spark, d).where(F.contains("text", F.lit("tion")))
     return docs.select("doc_id", F.length(text.excerpt(F.col("text"), F.array(F.lit("tion")))).cast("long").alias("excerpt_chars"))
 
 
@@ -395,17 +402,17 @@ CAST((length(replace(text, 'tion', 'XX')) - length(replace(replace(text, 'tion',
 )
 def alias_replace(spark, d):
     out, counts = text.replace_aliases(F.col("text"), {"tion": "XX", "the": "YYYY"})
-    return read(spark, d, "documents").select("doc_id", F.length(out).cast("long").alias("chars"), counts["tion->XX"].cast("long").alias("a"), counts["the->YYYY"].cast("long").alias("b"))
+    return texts(spark, d).select("doc_id", F.length(out).cast("long").alias("chars"), counts["tion->XX"].cast("long").alias("a"), counts["the->YYYY"].cast("long").alias("b"))
 
 
 @query(f"SELECT doc_id, length({_CLEAN}) AS chars FROM documents")
 def normalize_ws(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.length(text.normalize(F.col("text"))).cast("long").alias("chars"))
+    return texts(spark, d).select("doc_id", F.length(text.normalize(F.col("text"))).cast("long").alias("chars"))
 
 
 @query("SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]{2,23}')) AS term FROM documents) GROUP BY term ORDER BY df DESC, term LIMIT 50")
 def hotwords_top(spark, d):
-    return stats.document_frequency(read(spark, d, "documents"), F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9]{2,23}"), F.lit(0)), 50)
+    return stats.document_frequency(texts(spark, d), F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9]{2,23}"), F.lit(0)), 50)
 
 
 @query(
@@ -423,7 +430,7 @@ def query_ngrams(spark, d):
 
 @query()
 def chunk_count(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.size(text.text_chunks(F.col("text"))).alias("chunks"))
+    return texts(spark, d).select("doc_id", F.size(text.text_chunks(F.col("text"))).alias("chunks"))
 
 
 @query("SELECT doc_id, i AS nth, trim(substring(text, i * 800 + 1, 800)) AS chunk FROM (SELECT doc_id, text, unnest(range((length(text) - 1) // 800 + 1)) AS i FROM documents WHERE n_chars < 5000 AND lang = 'es') WHERE trim(substring(text, i * 800 + 1, 800)) <> ''")
@@ -436,13 +443,13 @@ def hard_wrap(spark, d):
     r"""SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(text, '([!?;])', '\1' || chr(10), 'g'), '\s*\n\s*'), lambda u: trim(u, ' ' || chr(9) || chr(10) || chr(13)) <> '')) AS units FROM documents"""
 )
 def sentence_units(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.size(text.sentence_units(F.col("text"))).cast("long").alias("units"))
+    return texts(spark, d).select("doc_id", F.size(text.sentence_units(F.col("text"))).cast("long").alias("units"))
 
 
 @query(f"SELECT doc_id, {_CLEAN} = '' AS empty, length({_CLEAN}) < 20 AS short FROM documents")
 def low_signal_flags(spark, d):
     flags = text.quality_flags(F.col("text"))
-    return read(spark, d, "documents").select("doc_id", F.array_contains(flags, "empty").alias("empty"), F.array_contains(flags, "short").alias("short"))
+    return texts(spark, d).select("doc_id", F.array_contains(flags, "empty").alias("empty"), F.array_contains(flags, "short").alias("short"))
 
 
 @query(
@@ -450,7 +457,7 @@ def low_signal_flags(spark, d):
 JOIN (SELECT doc_id, max(k)::DOUBLE AS top, sum(k)::DOUBLE AS n FROM (SELECT doc_id, t, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\pL\pN\pM_]+')) AS t FROM documents) GROUP BY ALL) GROUP BY doc_id) USING (doc_id)"""
 )
 def repetition_check(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.round(text.unique_char_ratio(F.col("text")), 6).alias("unique_ratio"), F.round(text.top_token_ratio(F.col("text")), 6).alias("token_ratio"))
+    return texts(spark, d).select("doc_id", F.round(text.unique_char_ratio(F.col("text")), 6).alias("unique_ratio"), F.round(text.top_token_ratio(F.col("text")), 6).alias("token_ratio"))
 
 
 @query(
@@ -605,14 +612,12 @@ def incremental_since(spark, d):
 
 @query(ORACLES["incremental_since"])
 def stream_incremental(spark, d):
-    import uuid
-
-    mark, name = mark_of(spark, d), f"increment_{uuid.uuid4().hex}"
-    schema = read(spark, d, "events").schema
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    mark, schema = mark_of(spark, d), read(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    out = incremental.since(stream, "ts", "event_id", mark, TIES).select("event_id", "user_id")
-    out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    new = incremental.since(stream, "ts", "event_id", mark, TIES).select("event_id", "user_id")
+    new.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, user_id long").parquet(f"{at}/rows")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 4 = 0 OR doc_id % 4 = 1 AND n_chars % 2 = 0")

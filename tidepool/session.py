@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,3 +19,21 @@ def session(app: str = "tidepool", **settings: str) -> SparkSession:
     """A session with SETTINGS; keyword names have underscores where settings have dots."""
     chosen = SETTINGS | {k.replace("_", "."): v for k, v in settings.items()}
     return SparkSession.builder.appName(app).config(map=chosen).getOrCreate()
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where a small table comes in fewer splits; larger ones are left as they are.
+
+    A file of one row group is one task otherwise, however costly the work on each row is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; one of its own only where it names none, as in tests."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
