@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.functions.embed import cosine
+from tidepool.functions.embed import cosine, dot
 from tidepool.functions.text import contains_term
 
 # What a hit's document type adds.
@@ -68,6 +68,26 @@ def vector_topk(points: DataFrame, query: Sequence[float], k: int, vector: str =
     return points.withColumn("score", score if digits is None else F.round(score, digits)).orderBy(F.desc("score"), key).limit(k)
 
 
+#: Queries that meet all points at once.
+QUERY_BLOCK = 1024
+
+
+def nearest(points: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "doc_id", digits: int = 9) -> DataFrame:
+    """(query_id, key, score, nth): for each of queries (query_id, q) the k points of the highest dot product, ties by key.
+
+    Queries go to the points in blocks of some QUERY_BLOCK, each small enough to broadcast; k rows of each query leave a task.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    out = None
+    for b in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = points.join(F.broadcast(block)).select("query_id", key, F.round(dot(F.col(vector), F.col("q")), digits).alias("score"))
+        best = scored.withColumn("nth", nth).where(F.col("nth") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def payload_filter(points: DataFrame, doc_types: Sequence[str] = (), categories: Sequence[str] = (), participants: Sequence[str] = ()) -> DataFrame:
     """Type and category among the given, and all participants present; empty lists don't filter."""
     if doc_types:

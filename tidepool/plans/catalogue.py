@@ -180,15 +180,13 @@ def vector_second_pass(spark, d):
 @query(
     """SELECT query_id, vec_id, nth FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY
 round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 9) DESC, e.vec_id) AS nth
-FROM embeddings e, embeddings q WHERE q.vec_id < 20) WHERE nth <= 5"""
+FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE nth <= 5"""
 )
 def vector_knn_per_query(spark, d):
     points = read(spark, d, "embeddings")
-    # The query set is 20 rows by its definition; points are met in their partitions.
-    wanted = points.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = points.join(F.broadcast(wanted)).withColumn("score", F.round(embed.dot(F.col("embedding"), F.col("q")), 9))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("nth", nth).where("nth <= 5").select("query_id", "vec_id", F.col("nth").cast("long").alias("nth"))
+    wanted = points.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    best = retrieval.nearest(points, wanted, 5, vector="embedding", key="vec_id", digits=9)
+    return best.select("query_id", "vec_id", F.col("nth").cast("long").alias("nth"))
 
 
 # Filters and joins.
@@ -390,10 +388,11 @@ def distinct_first(spark, d):
     return docs.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
 
 
-@query("SELECT source, lang, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents WHERE doc_id < 400 GROUP BY source, lang")
+@query("SELECT conv_id, role, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id, role")
 def documents_grouped(spark, d):
-    docs = read(spark, d, "documents").where("doc_id < 400")
-    return docs.groupBy("source", "lang").agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("ids"))
+    # A group is one item's documents of one type.
+    turns = read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.array_sort(F.collect_list("turn")).alias("t"))
+    return turns.select("conv_id", "role", F.array_join(F.col("t").cast("array<string>"), ",").alias("turns"))
 
 
 @query(
@@ -433,10 +432,9 @@ def chunk_count(spark, d):
     return texts(spark, d).select("doc_id", F.size(text.text_chunks(F.col("text"))).alias("chunks"))
 
 
-@query("SELECT doc_id, i AS nth, trim(substring(text, i * 800 + 1, 800)) AS chunk FROM (SELECT doc_id, text, unnest(range((length(text) - 1) // 800 + 1)) AS i FROM documents WHERE n_chars < 5000 AND lang = 'es') WHERE trim(substring(text, i * 800 + 1, 800)) <> ''")
+@query("SELECT doc_id, i AS nth, trim(substring(text, i * 800 + 1, 800)) AS chunk FROM (SELECT doc_id, text, unnest(range((length(text) - 1) // 800 + 1)) AS i FROM documents) WHERE trim(substring(text, i * 800 + 1, 800)) <> ''")
 def hard_wrap(spark, d):
-    docs = read(spark, d, "documents").where("n_chars < 5000 AND lang = 'es'")
-    return docs.select("doc_id", F.posexplode(text.hard_wrap(F.col("text"), 800)).alias("nth", "chunk")).select("doc_id", F.col("nth").cast("long").alias("nth"), "chunk")
+    return texts(spark, d).select("doc_id", F.posexplode(text.hard_wrap(F.col("text"), 800)).alias("nth", "chunk")).select("doc_id", F.col("nth").cast("long").alias("nth"), "chunk")
 
 
 @query(
