@@ -73,6 +73,18 @@ class Block:
         ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
+    def joined(self, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Words end to end, each followed by a space, and where each begins (words + 1)."""
+        at = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+        out = np.full(int(at[-1]), 0x20, np.uint8)
+        if len(starts):
+            edges = np.zeros(len(self.data) + 1, np.int8)
+            edges[starts] += 1
+            np.subtract.at(edges, ends, 1)
+            where = np.flatnonzero(np.cumsum(edges[:-1], dtype=np.int8))
+            out[where + np.repeat(at[:-1] - starts, ends - starts)] = self.data[where]
+        return out.tobytes(), at
+
     def rolling(self) -> np.ndarray:
         """Prefix sums of a polynomial hash; see ``span_hash``."""
         out = np.zeros(len(self.data) + 1, np.uint64)

@@ -1,8 +1,8 @@
 """License scans: exact phrases, and short notices found with a bounded number of edits.
 
 A notice of n letters may differ by k edits. Cut into k + 1 pieces, at least one piece must stand unchanged
-(pigeonhole), so the exact pieces are seeds: one compiled alternation finds the texts that hold any of them, each seed
-hit gives a window around it, and the regex library's bounded-error matching verifies the window and reports the span.
+(pigeonhole), so the exact pieces are seeds: one automaton (Aho-Corasick) finds all of them in a pass over the text, each hit gives a
+window around it, and the regex library's bounded-error matching verifies the window and reports the span.
 
 Texts are compared as their words (A-Z lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`) joined by single spaces.
 
@@ -16,9 +16,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -61,8 +61,8 @@ def pieces(notice: str) -> list[tuple[int, str]]:
 
 
 @lru_cache(maxsize=1)
-def compiled() -> tuple[str, regex.Pattern, dict[str, list[tuple[int, int]]], list[tuple[regex.Pattern, str, int, int]]]:
-    """The pattern that any candidate text matches, the seed finder, the (notice, offset) of each seed, the verifiers."""
+def compiled() -> tuple[ahocorasick.Automaton, list[tuple[regex.Pattern, str, int, int]]]:
+    """The automaton of seeds, valued (length, [(notice, offset)], phrase or None), and the notices' verifiers."""
     seeds: dict[str, list[tuple[int, int]]] = {}
     verifiers = []
     for k, (notice, label) in enumerate(NOTICES):
@@ -70,34 +70,42 @@ def compiled() -> tuple[str, regex.Pattern, dict[str, list[tuple[int, int]]], li
             seeds.setdefault(piece, []).append((k, at))
         # (?b): of the matches with the fewest errors, the first; whole words only.
         verifiers.append((regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits(notice)}}}(?![^ ])"), label, edits(notice), len(notice)))
-    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    every = sorted({*seeds, *(f" {p} " for p in PHRASES)}, key=lambda s: (-len(s), s))
-    raw = "|".join(gap.join(regex.escape(w) for w in s.strip().split(" ")) for s in every)
-    finder = regex.compile("|".join(regex.escape(s, literal_spaces=True) for s in sorted(seeds, key=lambda s: (-len(s), s))), flags=regex.V0)
-    return f"(?i:{raw})", finder, seeds, verifiers
-
-
-def spans(joined: str) -> list[tuple[str, int, int, int]]:
-    """(label, start, end, errors) of notices in words joined by spaces; offsets count its letters."""
-    _, finder, seeds, verifiers = compiled()
-    windows: dict[int, list[tuple[int, int]]] = {}
-    for hit in finder.finditer(joined, overlapped=True):
-        for seed, uses in seeds.items():
-            if not joined.startswith(seed, hit.start()):
-                continue
-            for k, at in uses:
-                slack = verifiers[k][2] + 1
-                low, high = hit.start() - at - slack, hit.start() - at + verifiers[k][3] + slack
-                mine = windows.setdefault(k, [])
-                if mine and low <= mine[-1][1]:
-                    mine[-1] = (mine[-1][0], max(high, mine[-1][1]))
-                else:
-                    mine.append((low, high))
+    automaton = ahocorasick.Automaton()
+    for word in sorted({*seeds, *(f" {p} " for p in PHRASES)}):
+        automaton.add_word(word, (len(word), seeds.get(word, []), word.strip(" ") if word.startswith(" ") and word.strip(" ") in PHRASES else None))
+    automaton.make_automaton()
+    return automaton, verifiers
+
+
+def hits(joined: str) -> tuple[list[tuple[int, str]], dict[int, list[tuple[int, int]]]]:
+    """Of words joined and enclosed by spaces: first letter and label of each base phrase, and windows for each notice."""
+    automaton, verifiers = compiled()
+    bases, windows = [], {}
+    for end, (size, uses, phrase) in automaton.iter(joined):
+        at = end - size + 1
+        if phrase is not None:
+            bases.append((at, PHRASES[phrase]))
+        for k, offset in uses:
+            slack = verifiers[k][2] + 1
+            low, high = at - offset - slack, at - offset + verifiers[k][3] + slack
+            windows.setdefault(k, []).append((low, high))
+    return bases, windows
+
+
+def spans(joined: str, windows: dict[int, list[tuple[int, int]]]) -> list[tuple[str, int, int, int]]:
+    """(label, start, end, errors) of the notices that the windows verify."""
+    verifiers = compiled()[1]
     found = set()
     for k, mine in windows.items():
         pattern, label, _, _ = verifiers[k]
-        for low, high in mine:
-            low, at = max(0, low), max(0, low)
+        merged: list[list[int]] = []
+        for low, high in sorted(mine):
+            if merged and low <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], high)
+            else:
+                merged.append([max(0, low), high])
+        for low, high in merged:
+            at = low
             while m := pattern.search(joined, at, min(len(joined), high)):
                 found.add((label, m.start(), m.end(), sum(m.fuzzy_counts)))
                 at = m.end()
@@ -105,28 +113,17 @@ def spans(joined: str) -> list[tuple[str, int, int, int]]:
     return sorted(best, key=lambda x: (x[1], x[2], x[0]))
 
 
-def places(joined: str) -> list[tuple[int, str]]:
-    """First word and label of each place of a base phrase."""
-    spaced, out = f" {joined} ", []
-    for phrase, label in PHRASES.items():
-        at = spaced.find(f" {phrase} ")
-        while at >= 0:
-            out.append((spaced.count(" ", 0, at), label))
-            at = spaced.find(f" {phrase} ", at + 1)
-    return sorted(out)
-
-
 def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, *_ = compiled()
     for batch, block in split(batches):
         low = block.lowered()
-        _, _, first = low.words(PLAIN)
-        hit = np.asarray(pc.fill_null(pc.match_substring_regex(batch.column("text"), raw), False))
-        rows = [((), ())] * block.rows
-        for row in np.flatnonzero(hit):
-            line = low.text(row)
-            joined = WORD.sub(b" ", line).strip(b" ").decode("utf-8", "replace")
-            rows[row] = (places(joined), spans(joined))
+        starts, ends, first = low.words(PLAIN)
+        line, at = low.joined(starts, ends)
+        rows = []
+        for a, b in zip(at[first[:-1]].tolist(), at[first[1:]].tolist(), strict=True):
+            text = " " + line[a:b].decode("utf-8", "replace")
+            bases, windows = hits(text)
+            base = sorted((text.count(" ", 0, x), label) for x, label in bases)
+            rows.append((base, spans(text, windows) if windows else []))
         base = [sorted({label for _, label in p}) for p, _ in rows]
         score = [1.0 if p else max((1 - errors / (end - start + errors) for _, start, end, errors in s), default=0.0) for p, s in rows]
         yield pa.record_batch(
@@ -139,12 +136,11 @@ def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "base_labels": pa.array([",".join(b) for b in base], pa.string()),
                 "labels": pa.array([",".join(sorted({*b, *(x[0] for x in s)})) for b, (_, s) in zip(base, rows, strict=True)], pa.string()),
                 "score": pa.array(score, pa.float64()),
-                "spans": pa.array([[dict(zip(("label", "start", "end", "errors"), x, strict=True)) for x in s] for _, s in rows], SPAN_TYPE),
+                "spans": pa.array([[{"label": x[0], "start": x[1] - 1, "end": x[2] - 1, "errors": x[3]} for x in s] for _, s in rows], SPAN_TYPE),
             }
         )
 
 
-WORD = regex.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPAN_TYPE = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("errors", pa.int32())]))
 
 

@@ -41,10 +41,7 @@ def fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.R
     for batch, block in split(batches):
         low = block.lowered()
         starts, ends, first = low.words(SPACED)
-        # Words end to end with a space after each: a shingle is a slice.
-        sizes = ends - starts
-        at = np.concatenate([[0], np.cumsum(sizes + 1)])
-        line = _joined(low.data, starts, ends, at)
+        line, at = low.joined(starts, ends)  # a shingle is a slice
         last = np.repeat(first[1:], np.diff(first))
         begin = np.flatnonzero((np.arange(len(starts)) + words <= last) | (np.arange(len(starts)) == np.repeat(first[:-1], np.diff(first))))
         stop = np.minimum(begin + words, last[begin])
@@ -60,18 +57,6 @@ def fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.R
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "bits": out.view(np.int64)})
 
 
-def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> bytes:
-    out = np.full(int(at[-1]), 0x20, np.uint8)
-    if len(starts):
-        shift = np.repeat(at[:-1] - starts, ends - starts)
-        inside = np.zeros(len(data) + 1, np.int8)
-        inside[starts] += 1
-        np.subtract.at(inside, ends, 1)
-        where = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
-        out[where + shift] = data[where]
-    return out.tobytes()
-
-
 def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each fingerprint under its own segments and under those with one 1 cleared."""
     for batch in batches:
@@ -189,8 +174,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 def deduplicated(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """Docs with one row of each class: the one of the smallest doc_id (then text hash); of repeated rows, one."""
     classes = near_duplicates(docs, words)
-    chosen = classes.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("c")).select(F.col("c.doc_id").alias("keep_id"), F.col("c.text_key").alias("keep_key"))
+    chosen = classes.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("c")).select(F.col("c.doc_id").alias("__keep_id"), F.col("c.text_key").alias("__keep_key"))
     keyed = docs.withColumn("__key", text_key())
-    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__key") == F.col("keep_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (F.col("__key") == F.col("__keep_key"))
     nth = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(0)))
     return keyed.join(chosen, same, "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth", "__key")
