@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.tables import durable
+from tidepool.llm.tables import durable, small
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CEILING = 1.5, 2.0
@@ -54,11 +54,11 @@ def targets(sizes: Sequence[float], weights: Sequence[float], share: float = SHA
 
 
 def source_targets(units: DataFrame, weights: Sequence[float], share: float, ceiling: float) -> DataFrame:
-    """(source, source_size, target) for each source."""
+    """(__source, source_size, target) for each source."""
     held = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")).collect()
     named = sorted(held, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
     goal = targets([float(r["source_size"]) for r in named], [weights[k % len(weights)] for k in range(len(named))], share, ceiling)
-    return units.sparkSession.createDataFrame([(r["source"], int(r["source_size"]), x) for r, x in zip(named, goal, strict=True)], "source string, source_size long, target double")
+    return small(units.sparkSession, [(r["source"], int(r["source_size"]), x) for r, x in zip(named, goal, strict=True)], "__source string, source_size long, target double")
 
 
 #: Sorted by rank, larger documents come first, so that small ones are left to settle the last fraction.
@@ -90,8 +90,9 @@ def _fold(kind: str) -> str:
         (acc, b) -> if(size(acc.carry) = 0, named_struct('done', acc.done, 'carry', array(b)), {let('acc.carry[0]', 'a', met)}))"""
 
 
-def by_source(rows: DataFrame, small: DataFrame) -> DataFrame:
-    return rows.join(small.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+def by_source(rows: DataFrame, each: DataFrame) -> DataFrame:
+    """Joins what ``each`` has for __source."""
+    return rows.join(each, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
 
 
 def rounded(units: DataFrame, seed: int = 11) -> DataFrame:
@@ -107,7 +108,7 @@ def rounded(units: DataFrame, seed: int = 11) -> DataFrame:
         if not counts:
             break
         most = max(r["n"] for r in counts)
-        sized = rest.sparkSession.createDataFrame([(r["source"], r["n"]) for r in counts], "source string, n long")
+        sized = small(rest.sparkSession, [(r["source"], r["n"]) for r in counts], "__source string, n long")
         grouped = by_source(rest, sized)
         group = F.pmod(F.xxhash64("draw", F.lit(level)), F.ceil(F.col("n") / F.lit(GROUP)).cast("long"))
         folded = (
@@ -135,7 +136,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     """(doc_id, source, size, source_size, target, rows, copies): a row for each unit of docs (doc_id, text, source)."""
     units = durable(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")))
     goal = source_targets(units, weights, share, ceiling)
-    # A row for each source, a local table: Spark broadcasts it where its size is under the session's threshold.
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     known = by_source(units, goal)
     split = known.withColumn("rate", rate).withColumn("whole", F.floor(F.col("rate") + EDGE).cast("long")).withColumn("x", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))

@@ -5,23 +5,24 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidepool.session import shared_folder, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
+
 
+#: Rows of a small table that a broadcast may hold.
+SMALL_ROWS = 100_000
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; one of its own only where it names none, as in tests."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
 
-            named = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(named)
-    return context._jsc.sc().getCheckpointDir().get()
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows that the driver holds, as a table: broadcast if they are few, joined by a shuffle otherwise."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= SMALL_ROWS else df
 
 
 def durable(df: DataFrame) -> DataFrame:
