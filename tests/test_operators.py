@@ -305,3 +305,17 @@ def test_readers(spark, tmp_path):
 def test_paged_source(spark):
     spark.dataSource.register(readers.paged_source("pages_of_ints", "id long", lambda offset, n: [(k,) for k in range(offset, offset + n)]))
     assert sorted(r.id for r in spark.read.format("pages_of_ints").option("limit", 4).option("total", 10).load().collect()) == list(range(10))
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    rng = random.Random(11)
+    vectors = [(i, [rng.random() for _ in range(4)]) for i in range(40)]
+    points = spark.createDataFrame(vectors, "doc_id long, embedding array<double>")
+    queries = points.where("doc_id % 5 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    got = sorted((r.query_id, r.nth, r.doc_id) for r in retrieval.nearest(points, queries, 3).collect())
+    want = []
+    for i, q in vectors[::5]:
+        best = sorted((-round(sum(a * b for a, b in zip(q, v)), 9), j) for j, v in vectors)[:3]
+        want += [(i, n + 1, j) for n, (_, j) in enumerate(best)]
+    assert got == sorted(want)
