@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,9 @@ from tidepool.llm.sampling import fold, labelled_sample, with_labels
 FIT_ROWS = 2500
 STEMS = range(3, 9)
 MOST_ARCS = 4096
-#: An arc needs so many toxic training texts and this log-odds.
-LEAST_TEXTS, LEAST_ODDS = 4, 1.5
+#: An arc needs so many toxic training texts, this log-odds, and so many standard errors between the two shares: of some
+#: hundred thousand candidates many stand a few times in toxic texts by chance.
+LEAST_TEXTS, LEAST_ODDS, LEAST_SIGMAS = 4, 1.5, 5.0
 #: Words that open the grammar before anything is learned, and its closed classes.
 INSULTS = "idiot moron stupid scum trash loser clown worthless pathetic disgusting".split()
 THREATS = "kill hurt destroy beat töten schlagen umbringen tuer frapper détruire matar golpear destruir".split()
@@ -141,7 +143,7 @@ def build(lexicon: dict[tuple[int, str], float], curve: np.ndarray) -> ToxicMode
 
 
 def evidence(block: Block, model: ToxicModel) -> np.ndarray:
-    """FEATURES numbers for each text: best clause, sum of clauses, clauses, weight and matches for each root of words."""
+    """FEATURES numbers for each text, none below 0: best clause, sum of clauses, their sum for its words, strongest arc, matches."""
     low = block.lowered()
     starts, ends, first = low.words(PLAIN)
     out = np.zeros((block.rows, FEATURES))
@@ -178,36 +180,47 @@ def evidence(block: Block, model: ToxicModel) -> np.ndarray:
         mine = out[row[a]]
         mine[0] = max(mine[0], score)
         mine[1] += score
-        mine[2] += score > 0
     words = np.diff(first)
-    matches = np.bincount(row[weight > 0], minlength=block.rows)
-    out[:, 3] = 10 * out[:, 1] / np.maximum(10, words)
-    out[:, 4] = matches
-    out[:, 1] = np.log1p(np.maximum(0, out[:, 1]))
-    out[:, 2], out[:, 4] = np.log1p(out[:, 2]), np.log1p(out[:, 4])
+    np.maximum.at(out[:, 3], row, weight)
+    out[:, 4] = np.bincount(row[weight > 0], minlength=block.rows)
+    out[:, 2] = 20 * out[:, 1] / np.maximum(20, words)
+    out[:, [0, 1, 2, 4]] = np.log1p(np.maximum(0, out[:, [0, 1, 2, 4]]))
     return out
 
 
-def arcs_of(text: str) -> set[tuple[int, str]]:
+def arcs_of(text: str, heads: set[str] | None = None) -> set[tuple[int, str]]:
+    """Words and stems of a text; with ``heads``, only those that begin with one of these shortest stems, or are shorter."""
+    least = STEMS[0]
     words = set(WORDS.findall(text.translate(LOWERED)))
+    if heads is not None:
+        words = {w for w in words if w[:least] in heads}
     return {(0, w) for w in words} | {(n, w[:n]) for w in words for n in STEMS if len(w) >= n}
 
 
 def learn(rows: list) -> dict[tuple[int, str], float]:
-    """Log-odds of arcs; an arc that says no more than a shorter stem of it is left out."""
-    toxic, clean, n_toxic, n_clean = Counter(), Counter(), 0, 0
+    """Log-odds of arcs; an arc that says no more than a shorter stem of it is left out.
+
+    An arc that enough toxic texts have begins with a head that as many have, so other words of clean texts are passed over.
+    """
+    toxic, clean = Counter(), Counter()
     for r in rows:
         if r["label"] > 0:
             toxic.update(arcs_of(r["text"]))
-            n_toxic += 1
     wanted = {a for a, n in toxic.items() if n >= LEAST_TEXTS}
+    heads = {w[: STEMS[0]] for _, w in wanted}
     for r in rows:
         if r["label"] <= 0:
-            clean.update(arcs_of(r["text"]) & wanted)
-            n_clean += 1
+            clean.update(arcs_of(r["text"], heads) & wanted)
+    n_toxic = sum(r["label"] > 0 for r in rows)
+    n_clean = len(rows) - n_toxic
     odds = {a: float(np.log((toxic[a] + 0.5) / (n_toxic + 1)) - np.log((clean[a] + 0.5) / (n_clean + 1))) for a in wanted}
+
+    def sigmas(a: tuple[int, str]) -> float:
+        share = (toxic[a] + clean[a] + 1) / (n_toxic + n_clean + 2)
+        return (toxic[a] / max(1, n_toxic) - clean[a] / max(1, n_clean)) / np.sqrt(share * (1 - share) * (1 / max(1, n_toxic) + 1 / max(1, n_clean)))
+
     out: dict[tuple[int, str], float] = {}
-    for a in sorted((a for a in wanted if odds[a] >= LEAST_ODDS), key=lambda a: (a[0] or 99, -odds[a], a[1])):
+    for a in sorted((a for a in wanted if odds[a] >= LEAST_ODDS and sigmas(a) >= LEAST_SIGMAS), key=lambda a: (a[0] or 99, -odds[a], a[1])):
         shorter = [odds[b] for n in STEMS if n < (a[0] or len(a[1]) + 1) and (b := (n, a[1][:n])) in out]
         if not shorter or odds[a] > max(shorter) + 0.7:
             out[a] = odds[a]
@@ -215,17 +228,35 @@ def learn(rows: list) -> dict[tuple[int, str], float]:
     return {a: out[a] for a in best}
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
-    """Logistic regression with a ridge, rows weighted so that classes stand in their natural proportion."""
-    z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    weight = np.where(y > 0, prior / max(1, (y > 0).sum()), (1 - prior) / max(1, (y <= 0).sum())) * len(y)
-    w = np.zeros(z.shape[1])
-    ridge = np.diag([0.3] * x.shape[1] + [1e-3])
-    for _ in range(50):
-        p = logistic(z @ w)
-        h = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge
-        w -= np.clip(np.linalg.solve(h, z.T @ (weight * (p - y)) + ridge @ w), -2, 2)
-    return w
+def calibrate(x: np.ndarray, y: np.ndarray, prior: float, rounds: int = 3000) -> np.ndarray:
+    """Logistic regression by projected gradient steps: more evidence never lowers a score, so no weight is below 0.
+
+    Rows are weighted so that classes stand in their natural proportion; a ridge keeps separable classes finite.
+    """
+    spread = x.std(axis=0) + 1e-9
+    z = np.concatenate([x / spread, np.ones((len(x), 1))], axis=1)
+    weight = np.where(y > 0, prior / max(1, (y > 0).sum()), (1 - prior) / max(1, (y <= 0).sum()))
+    w = np.append(np.zeros(x.shape[1]), np.log(prior / (1 - prior)))
+    ridge = np.append(np.full(x.shape[1], 1e-4), 0.0)
+    squares = np.full(len(w), 1e-8)
+    for _ in range(rounds):
+        g = z.T @ (weight * (logistic(z @ w) - y)) + ridge * w
+        squares += g * g
+        w = w - 0.3 * g / np.sqrt(squares)
+        w[:-1] = np.maximum(w[:-1], 0.0)
+    return np.append(w[:-1] / spread, w[-1])
+
+
+def distinct(rows: list, words: int = 3) -> list:
+    """One row for each least hash of a text's word windows: copies and near copies would count a text's own words as evidence."""
+    seen, out = set(), []
+    for r in rows:
+        held = WORDS.findall(r["text"].translate(LOWERED))
+        least = min((xxhash.xxh64_intdigest(" ".join(held[i : i + words])) for i in range(max(1, len(held) - words + 1))), default=0)
+        if (r["label"] > 0, least) not in seen:
+            seen.add((r["label"] > 0, least))
+            out.append(r)
+    return out
 
 
 def texts_block(rows: list) -> Iterator[Block]:
@@ -234,9 +265,10 @@ def texts_block(rows: list) -> Iterator[Block]:
 
 def fit(rows: list, prior: float) -> ToxicModel:
     seeds = {(0, w): 3.0 for w in INSULTS}
-    plain = np.array([0.5, 0.5, 0.0, 0.0, 0.5, -3.0])
+    plain = np.array([0.5, 0.5, 0.0, 0.5, 0.5, -3.0])
     if len({int(r["label"] > 0) for r in rows}) < 2:
         return build(seeds, plain)
+    rows = distinct(rows)
     order = np.random.default_rng(5).permutation(len(rows))
     halves = [[rows[i] for i in order[k::2]] for k in (0, 1)]
     x, y = [], []
