@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.tables import durable
+from tidepool.llm.tables import durable, small
 
 SHARDS = 40
 #: Bytes that each record counts besides its text.
@@ -102,8 +102,7 @@ def placed(keyed: DataFrame, shards: int) -> DataFrame:
     for r in totals:
         before.append((r["range"], at_bytes, at_rows))
         at_bytes, at_rows = at_bytes + r["bytes"], at_rows + r["rows"]
-    # As many rows as there are ranges: a local table that Spark broadcasts.
-    base = spark.createDataFrame(before, "range int, bytes_before long, rows_before long")
+    base = small(spark, before, "range int, bytes_before long, rows_before long")
     order = Window.partitionBy("range").orderBy("key", "doc_id", "size")
     run = ranged.withColumn("run", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("nth", F.row_number().over(order) - 1)
     # The shard that the middle of the record falls into.
@@ -115,7 +114,7 @@ def placed(keyed: DataFrame, shards: int) -> DataFrame:
         .drop("range", "run", "bytes_before", "rows_before")
     )
     settled = durable(settled)
-    first = spark.createDataFrame([tuple(r) for r in settled.groupBy("shard").agg(F.min("nth")).collect()], "shard int, first long")
+    first = small(spark, [tuple(r) for r in settled.groupBy("shard").agg(F.min("nth")).collect()], "shard int, first long")
     return settled.join(first, "shard").withColumn("slot", F.col("nth") - F.col("first")).drop("nth", "first")
 
 
