@@ -436,6 +436,19 @@ def test_toxicity_learns_stems(spark):
     assert np.mean([got[i].predicted == (i % 4 == 0) for i in held]) > 0.95 and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_copies_are_no_evidence(spark):
+    """A toxic text's own words don't pass for insults because the text was copied often."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdeilmnorstu"), 5))
+    common = [word() for _ in range(300)]
+    prose = lambda: " ".join(rng.choice(common, 30))
+    copied = prose() + " zzqor."
+    rows = [(i, copied if i < 60 else f"{prose()} zzqor{word()}." if i < 120 else prose() + ".") for i in range(500)]
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs(spark, rows), labels(spark, [(i, 1, int(i < 120)) for i in range(500)])).collect()}
+    held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i] == 0 for i in held if i >= 120]) > 0.95 and np.mean([got[i] == 1 for i in held if i < 120]) > 0.9
+
+
 def test_toxicity_awkward(spark):
     out = toxicity.score_toxicity(awkward(spark), labels(spark, []))
     got = {r.doc_id: r.predicted for r in out.collect()}
