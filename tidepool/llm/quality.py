@@ -132,9 +132,9 @@ def design(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k, (buckets, limits) in enumerate(features(block, hashes, first)):
             n = np.diff(limits)
             key, count = np.unique((np.repeat(np.arange(block.rows, dtype=np.int64), n) << BITS) | buckets.astype(np.int64), return_counts=True)
-            code.append((key & ((1 << BITS) - 1)) + (k << BITS))
-            row.append((key >> BITS) + at)
-            value.append(SCALE * count / np.maximum(1, n)[key >> BITS])
+            code.append(((key & ((1 << BITS) - 1)) + (k << BITS)).astype(np.int32))
+            row.append(((key >> BITS) + at).astype(np.int32))
+            value.append((SCALE * count / np.maximum(1, n)[key >> BITS]).astype(np.float32))
         at += block.rows
     return np.concatenate(code), np.concatenate(row), np.concatenate(value)
 
@@ -167,13 +167,13 @@ def fit(rows: list, seed: int = 7, rounds: int = 80) -> QualityModel | None:
     y = np.array([float(r["label"] > 0) for r in rows])
     fitted = np.arange(len(rows)) % 5 > 0
     code, row, x = design([r["text"] for r in rows])
-    used, code = np.unique(code, return_inverse=True)
     half = {c: 0.5 / max(1, (fitted & (y == c)).sum()) for c in (0.0, 1.0)}
     share = np.where(y > 0, half[1.0], half[0.0]) * fitted
-    w, bias, squares, bias_squares = np.zeros(len(used)), 0.0, np.full(len(used), 1e-8), 1e-8
+    size = FAMILIES << BITS
+    w, bias, squares, bias_squares = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
     for _ in range(rounds):
         g = (logistic(np.bincount(row, x * w[code], minlength=len(y)) + bias) - y) * share
-        grad = np.bincount(code, x * g[row], minlength=len(used)) + 1e-6 * w
+        grad = np.bincount(code, x * g[row], minlength=size) + 1e-6 * w
         squares += grad * grad
         w -= 0.2 * grad / np.sqrt(squares)
         bias_squares += g.sum() ** 2
@@ -181,9 +181,7 @@ def fit(rows: list, seed: int = 7, rounds: int = 80) -> QualityModel | None:
     raw = np.bincount(row, x * w[code], minlength=len(y)) + bias
     test = ~fitted if len(set(y[~fitted])) > 1 else fitted
     slope, shift = platt(raw[test], y[test])
-    weights = np.zeros(FAMILIES << BITS)
-    weights[used] = w * SCALE
-    return QualityModel(weights.reshape(FAMILIES, -1), bias, slope, shift)
+    return QualityModel((w * SCALE).reshape(FAMILIES, -1), bias, slope, shift)
 
 
 def scored(batches: Iterator[pa.RecordBatch], model: QualityModel | None) -> Iterator[pa.RecordBatch]:
