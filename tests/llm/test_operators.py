@@ -311,6 +311,13 @@ def test_simhash_awkward(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_simhash_keeps_unlinked_texts_of_null_and_equal_ids(spark):
+    text = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(8)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (3, text[3]), (3, text[4]), (None, text[5]), (9, text[5])]
+    got = [(r.doc_id, r.text) for r in simhash.deduplicated(docs(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, text[0]), (None, text[1]), (None, text[2]), (3, text[3]), (3, text[4]), (9, text[5])], key=repr)
+
+
 # 8. Language model.
 
 

@@ -158,23 +158,32 @@ def links(distinct: DataFrame) -> DataFrame:
     return probed.repartition("key").sortWithinPartitions("key", "visit").mapInArrow(linked, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, text_key, bits, component_id): each row's fingerprint and the smallest doc_id that links reach from it."""
+def rooted(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, bits) of each row, and (bits, least, root): the smallest doc_id and the class of each fingerprint.
+
+    The root is the smallest fingerprint of a class, so it tells classes apart where doc_ids are null or repeated.
+    """
     from tidepool.llm.tables import durable
 
     prints = durable(fingerprint(docs, words))
     distinct = prints.groupBy("bits").agg(F.min("doc_id").alias("least"))
     found = components(durable(links(distinct)))
-    least = distinct.join(found, distinct["bits"] == found["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
+    return prints, distinct.join(found, distinct["bits"] == found["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, text_key, bits, component_id): each row's fingerprint and the smallest doc_id that links reach from it."""
+    prints, least = rooted(docs, words)
     roots = least.groupBy("root").agg(F.min("least").alias("component_id"))
     # Plain joins, so that adaptive execution can split a hot fingerprint or class.
     return prints.join(least.join(roots, "root").select("bits", "component_id"), "bits").select("doc_id", "text_key", "bits", "component_id")
 
 
 def deduplicated(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """Docs with one row of each class: the one of the smallest doc_id (then text hash); of repeated rows, one."""
-    classes = near_duplicates(docs, words)
-    chosen = classes.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("c")).select(F.col("c.doc_id").alias("__keep_id"), F.col("c.text_key").alias("__keep_key"))
+    """Docs with one row of each class: the one of the smallest doc_id, null last (then text hash); of repeated rows, one."""
+    prints, least = rooted(docs, words)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("c")
+    chosen = prints.join(least.select("bits", "root"), "bits").groupBy("root").agg(first).select(F.col("c.doc_id").alias("__keep_id"), F.col("c.text_key").alias("__keep_key"))
     keyed = docs.withColumn("__key", text_key())
     same = F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (F.col("__key") == F.col("__keep_key"))
     nth = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(0)))
