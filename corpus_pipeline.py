@@ -20,14 +20,17 @@ from tidepool.llm.sharding import sharded
 from tidepool.llm.simhash import deduplicated
 from tidepool.llm.tables import stored, table
 
-#: Texts whose best language scores below this are rejected; 0.5 is the border of one language against the rest.
+#: Texts whose best language scores below this are rejected. The best of k languages scores 1/k at least, so this takes ten.
 LEAST_SCORE = 0.1
+#: Texts that have less than this overlap with every landmark are of no learned language. Held-out documents of sf0.1
+#: have 0.49 at least; texts in other scripts and of random letters 0.34 at most.
+LEAST_OVERLAP = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that was learned, with lang set to it."""
-    out = identify_languages(docs, kept=tuple(docs.columns), made=("__lang", "__score"))
-    kept = out.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= LEAST_SCORE))
+    out = identify_languages(docs, kept=tuple(docs.columns), made=("__lang", "__score", "__overlap"))
+    kept = out.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= LEAST_SCORE) & (F.col("__overlap") >= LEAST_OVERLAP))
     return kept.withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 

@@ -32,6 +32,19 @@ def test_stages(spark, sf_dir):
         now = out
 
 
+def test_language_rejects_unlearned(spark, sf_dir):
+    learned = table(spark, sf_dir, "documents")
+    other = [
+        (10**9, "Съешь же ещё этих мягких французских булок, да выпей чаю. Все люди рождаются свободными и равными."),
+        (10**9 + 1, "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。"),
+        (10**9 + 2, "xqzv kjwq zzxv qqwk vvkx jjqz wxkq vzjx kqqz"),
+    ]
+    out = corpus_pipeline.language(spark, learned.unionByName(docs(spark, [(i, t, None) for i, t in other])), sf_dir)
+    got = {r.doc_id for r in out.collect()}
+    assert not got & {i for i, _ in other}
+    assert got == {r.doc_id for r in learned.collect() if any(c.isalpha() for c in r.text or "")}
+
+
 def test_run_on_awkward_rows(spark, tmp_path):
     rows = [(1, None), (2, ""), (3, "1 2 3"), (None, "no id here at all"), *[(i, f"some words of text number {i} and {i * i} more {'abc' * i}") for i in range(4, 40)], (5, "twice"), (5, "twice")]
     clashing(docs(spark, rows)).write.parquet(f"{tmp_path}/documents.parquet")

@@ -42,8 +42,20 @@ class LanguageModel:
     heads: np.ndarray  # landmarks x languages: Nystrom map and ridge weights in one product
     bias: np.ndarray
 
-    def scores(self, presence: np.ndarray) -> np.ndarray:
-        return unit_rows(presence) @ self.landmarks @ self.heads + self.bias
+    def kernels(self, presence: np.ndarray) -> np.ndarray:
+        return unit_rows(presence) @ self.landmarks
+
+    def scores(self, kernels: np.ndarray) -> np.ndarray:
+        return kernels @ self.heads + self.bias
+
+    def overlap(self, presence: np.ndarray, kernels: np.ndarray) -> np.ndarray:
+        """For each row the largest share of n-grams in common with a landmark, of those that the shorter of both holds.
+
+        Scores sum to a constant and so always have a best language; this one is small for a text like no landmark.
+        """
+        own = np.maximum(1.0, presence.sum(axis=1, keepdims=True))
+        theirs = np.maximum(1.0, (self.landmarks > 0).sum(axis=0))
+        return (kernels * np.sqrt(np.maximum(own, theirs) / np.minimum(own, theirs))).max(axis=1)
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -97,21 +109,25 @@ def fit(rows: list) -> LanguageModel | None:
     return LanguageModel(languages, marks.astype(np.float32), (whiten @ w).astype(np.float32), target - mean @ w)
 
 
-def labelled(batches: Iterator[pa.RecordBatch], model: LanguageModel | None, kept: tuple[str, ...] = ("doc_id",), made: tuple[str, str] = ("lang_pred", "score")) -> Iterator[pa.RecordBatch]:
+def labelled(batches: Iterator[pa.RecordBatch], model: LanguageModel | None, kept: tuple[str, ...] = ("doc_id",), made: tuple[str, ...] = ("lang_pred", "score")) -> Iterator[pa.RecordBatch]:
     for batch, _ in split(batches):
         texts = lowered(batch.column("text"))
         lettered = np.asarray(pc.match_substring_regex(texts, r"\pL"))
-        best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
+        best, score, overlap = np.full(batch.num_rows, -1), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
         if model is not None and batch.num_rows:
-            raw = np.concatenate([model.scores(m) for m in presence(Block.of(texts))])
+            asked = len(made) > 2
+            found = [(model.scores(k), model.overlap(m, k) if asked else overlap[:0]) for m in presence(Block.of(texts)) for k in [model.kernels(m)]]
+            raw, shares = (np.concatenate(x) for x in zip(*found, strict=True))
+            overlap = np.where(lettered, shares, 0.0) if asked else overlap
             best = np.where(lettered, raw.argmax(axis=1), -1)
             score = np.where(lettered, np.clip((raw.max(axis=1) + 1) / 2, 0, 1), 0.0)
         names = [UNDETERMINED if k < 0 else model.languages[k] for k in best]
-        yield pa.record_batch({name: batch.column(name) for name in kept} | {made[0]: pa.array(names, pa.string()), made[1]: score.astype(np.float64)})
+        out = (pa.array(names, pa.string()), score.astype(np.float64), overlap.astype(np.float64))
+        yield pa.record_batch({name: batch.column(name) for name in kept} | dict(zip(made, out, strict=False)))
 
 
-def identify_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, held_out_fold: int | None = 2, folds: int = 4, kept: tuple[str, ...] = ("doc_id",), made: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns ``kept``, and language and score under the names ``made``, for each row of docs (doc_id, text), learned from its column lang outside the fold."""
+def identify_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, held_out_fold: int | None = 2, folds: int = 4, kept: tuple[str, ...] = ("doc_id",), made: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``kept``, and language, score and, with a third name, overlap under the names ``made``, for each row of docs (doc_id, text), learned from its column lang outside the fold."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if held_out_fold is not None:
         known = known.where(fold(F.col("doc_id"), folds) != held_out_fold)
@@ -119,4 +135,4 @@ def identify_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, held_out_fold:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2**DIM_BITS x landmarks
     rows = docs.select(*dict.fromkeys([*kept, "text"]))
     schema = ", ".join(f"`{name}` {rows.schema[name].dataType.simpleString()}" for name in kept)
-    return rows.mapInArrow(lambda batches: labelled(batches, shared.value, kept, made), f"{schema}, `{made[0]}` string, `{made[1]}` double")
+    return rows.mapInArrow(lambda batches: labelled(batches, shared.value, kept, made), f"{schema}, `{made[0]}` string, " + ", ".join(f"`{name}` double" for name in made[1:]))
