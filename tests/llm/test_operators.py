@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.helpers import awkward, clashing, docs, rows_of
-from tidepool.llm import blocks, decontamination, language, language_model, licenses, mixing, personal_data, quality, sharding, simhash, toxicity
+from tidepool.llm import blocks, decontamination, language, language_model, licenses, mixing, personal_data, quality, sampling, sharding, simhash, tables, toxicity
 from tidepool.llm.queries import QUERIES
 from tidepool.llm.tables import table
 
@@ -50,6 +50,20 @@ def test_words_and_hashes(texts):
         assert line.decode() == "".join(w + " " for t in texts for w in pattern.findall(t.translate(LOW)))
 
 
+# Samples.
+
+
+def test_sample_is_bounded_by_rows_not_classes(spark):
+    hot = [(1, "hot text", "l0")] * 400
+    rows = hot + [(7, "both", "l1"), (7, "both", "l2")] + [(100 + i, f"text {i}", f"l{i % 100}") for i in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = sampling.labelled_sample(frame, sampling.narrow(frame, sampling.F.col("label")).repartition(9), 5)
+    by = Counter(r["label"] for r in got)
+    assert len(by) == 100 and set(by.values()) == {5} and len({(r["doc_id"], r["text"], r["label"]) for r in got}) == 500
+    wide = sampling.labelled_sample(frame, sampling.narrow(frame, sampling.F.col("label")), 50)
+    assert sum(r["doc_id"] == 1 for r in wide) == 1 and {r["label"] for r in wide if r["doc_id"] == 7} == {"l1", "l2"}
+
+
 # 1. Quality.
 
 
@@ -121,36 +135,78 @@ def test_language_awkward(spark):
 # 3. Mixing.
 
 
-def test_targets_waterfill():
-    t = mixing.targets([100, 100, 1000], [3, 1, 2])
-    assert sum(t) == pytest.approx(1800) and t[0] == 200 and all(x <= 2 * s + 1e-9 for x, s in zip(t, [100, 100, 1000]))
-    assert mixing.targets([0, 10], [3, 1]) == [0, 15] and mixing.targets([], []) == []
+def brute_targets(sizes, weights, share=1.5, ceiling=2.0):
+    out, left = [0.0] * len(sizes), share * sum(sizes)
+    free = [k for k in range(len(sizes)) if sizes[k] > 0]
+    while free:
+        level = left / sum(weights[k] for k in free)
+        over = [k for k in free if level * weights[k] > ceiling * sizes[k] + 1e-9]
+        for k in over or free:
+            out[k] = ceiling * sizes[k] if over else level * weights[k]
+        left -= sum(out[k] for k in over)
+        free = [k for k in free if k not in over] if over else []
+    return out
+
+
+def test_targets_waterfill(spark):
+    rng = np.random.default_rng(4)
+    assert brute_targets([100, 100, 1000], [3, 1, 2])[0] == 200
+    for sizes in ([], [0], [10, 0], [100, 100, 1000], [int(x) for x in rng.integers(0, 10_000, 40)]):
+        names = [None, *sorted(f"s{i}é漢"[: 1 + i % 5] + str(i) for i in range(len(sizes) - 1))][: len(sizes)]
+        order = sorted(names, key=lambda x: (x is None, (x or "").encode()))
+        frame = spark.createDataFrame([(x, n, 1) for x, n in zip(order, sizes)], "source string, size long, rows long").repartition(5)
+        got = {r["__source"]: r.target for r in mixing.source_targets(frame).collect()}
+        want = brute_targets(sizes, [(3.0, 1.0, 2.0)[k % 3] for k in range(len(sizes))])
+        assert got == {x: pytest.approx(t) for x, t in zip(order, want)}
+
+
+def near_targets(rows):
+    """rows: (source, size, target, copies)."""
+    by = defaultdict(lambda: [0, 0.0, 0])
+    for source, size, target, copies in rows:
+        assert 0 <= copies <= 2
+        by[source][0] += copies * size
+        by[source][1], by[source][2] = target, max(by[source][2], size)
+    for taken, target, largest in by.values():
+        assert abs(taken - target) <= largest
 
 
 def test_mixing_keeps_mass(spark):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), "en", "hot" if i % 3 else f"s{i % 7}") for i in range(1500)]
     frame = docs(spark, rows)
-    got = mixing.mix(frame).collect()
-    by = defaultdict(lambda: [0, 0.0, 0])
-    for r in got:
-        assert 0 <= r.copies <= 2
-        by[r.source][0] += r.copies * r.size * r.rows
-        by[r.source][1], by[r.source][2] = r.target, max(by[r.source][2], r.size)
-    assert sum(r.rows for r in got) == 1500
-    for taken, target, largest in by.values():
-        assert abs(taken - target) <= largest
-    assert rows_of(mixing.mix(frame.repartition(7)), "doc_id", "copies") == rows_of(mixing.mix(frame), "doc_id", "copies")
+    got = mixing.copies(frame).collect()
+    near_targets((r.source, r.size, r.target, r.copies) for r in got)
+    assert len(got) == 1500
+    assert rows_of(mixing.copies(frame.repartition(7)), "doc_id", "copies") == rows_of(mixing.copies(frame), "doc_id", "copies")
+
+
+def test_mixing_keeps_mass_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "DEALT", 64)  # several blocks
+    hot = " ".join(["w"] * 10)
+    rows = [(7, hot, "en", "a")] * 1000 + [(None, f"x{i} " * 10, "en", "a") for i in range(50)] + [(i, "v " * (i % 9), "en", "b") for i in range(100, 900)]
+    frame = docs(spark, rows)
+    got = mixing.copies(frame).collect()
+    near_targets((r.source, r.size, r.target, r.copies) for r in got)
+    assert len(got) == len(rows)
+    taken = Counter(r.text for r in mixing.mixed(frame).where("source = 'a'").collect())
+    assert abs(10 * sum(taken.values()) - got[[r.source for r in got].index("a")].target) <= 10 and set(taken) <= {r[1] for r in rows}
 
 
 def test_mixing_awkward(spark):
     frame = clashing(awkward(spark))
-    got = {(r.doc_id, r.source): r for r in mixing.mix(frame).collect()}
-    assert got[8, None].size == 3 and got[5, "a"].rows == 2 and got[1, "a"].size == 0 and got[1, "a"].copies in (0, 1, 2)
+    got = mixing.copies(frame).collect()
+    assert len(got) == 11
+    by = {(r.doc_id, r.source): r for r in got}
+    assert by[8, None].size == 3 and by[1, "a"].size == 0 and by[1, "a"].copies in (0, 1, 2)
     mixed = mixing.mixed(frame)
     assert mixed.columns == frame.columns
-    assert mixed.count() == sum(r.copies * r.rows for r in got.values())
-    assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mixed(docs(spark, [])).count() == 0
+    near_targets((r.source, r.size, r.target, r.copies) for r in got)
+    words = mixed.withColumn("w", mixing.n_words(mixing.F.col("text"))).where("source = 'a'").agg(mixing.F.sum("w")).first()[0]
+    assert abs(words - by[6, "a"].target) <= 60000 and mixed.where("doc_id = 6").count() in (1, 2)
+    assert mixing.copies(docs(spark, [])).count() == 0 and mixing.mixed(docs(spark, [])).count() == 0
+    again = frame.withColumn("tags", mixing.F.create_map(mixing.F.lit("k"), "doc_id"))  # a map can't be hashed
+    assert mixing.mixed(again).columns == again.columns and mixing.mixed(again).count() >= 0
 
 
 # 4. Decontamination.
@@ -189,8 +245,26 @@ def test_decontamination(spark):
 
 def test_decontamination_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
-    found, _ = decontamination.matches(docs(spark, [(1, "x alpha beta gamma delta y"), (2, "delta gamma q beta alpha"), (3, "alpha")]), bench)
-    assert sorted({(r.doc_id, r.exact) for r in found.collect()}) == [(1, True), (2, False)]
+    rows = [(1, "x alpha beta gamma delta y"), (2, "delta gamma q beta alpha"), (3, "alpha"), (4, "beta " + "z " * 14 + "gamma delta")]
+    exact, near, _ = decontamination.matches(docs(spark, rows), bench)
+    assert exact.count() == 1 and near.count() == 2
+    got = decontamination.decontaminate(docs(spark, rows), bench)
+    assert rows_of(got, "doc_id", "n_items", "n_near") == [(1, 1, 1), (2, 0, 1), (3, 0, 0), (4, 0, 0)]
+
+
+def test_decontamination_without_broadcasts(spark, monkeypatch):
+    """Beyond the bound of a broadcast, and with a long text that holds an item often."""
+    rng = np.random.default_rng(7)
+    words = [f"w{x}" for x in rng.integers(0, 30, 400)]
+    items = [(i, " ".join(words[20 * i : 20 * i + 15])) for i in range(6)] + [(9, "the end")]
+    rows = [(i, " ".join([*words[i : i + 60], "the", "end"])) for i in range(30)] + [(77, " ".join(words * 40)), (None, items[2][1]), (None, items[2][1])]
+    frame, bench = docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(((i, *brute_hits(t, items)) for i, t in rows), key=repr)
+    few = rows_of(decontamination.decontaminate(frame, bench), "doc_id", "n_words", "n_hit", "items", "contaminated")
+    near = rows_of(decontamination.decontaminate(frame, bench), "doc_id", "n_near")
+    monkeypatch.setattr(tables, "SMALL_ROWS", 0)
+    assert few == want == rows_of(decontamination.decontaminate(frame, bench), "doc_id", "n_words", "n_hit", "items", "contaminated")
+    assert near == rows_of(decontamination.decontaminate(frame, bench), "doc_id", "n_near")
 
 
 # 5. Licenses.
@@ -218,9 +292,37 @@ def test_license_notices(spark):
     got = {r.doc_id: r for r in licenses.scan_licenses(clashing(docs(spark, rows))).collect()}
     assert got[1].labels == "notice-mit" and 0 < got[1].score < 1 and got[1].spans[0].errors == 2
     assert got[2].labels == "" and got[2].score == 0 and got[3].labels == "gpl,notice-gpl-3" and got[4].labels == "notice-reserved" and got[5].labels == "notice-cc-by-nc-4.0"
+    assert [(x.start, x.end) for x in got[3].spans] == [(0, 12)]
+    assert licenses.scan_licenses(docs(spark, [(1, "Use it under Foo Terms.")]), (("under foo terms", "foo"),)).first().labels == "foo"
     assert licenses.scan_licenses(awkward(spark)).count() == 11 and licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def seedless(joined):
+    """Every notice tried from every word."""
+    begins = [b for b in range(1, len(joined)) if joined[b - 1] == " " != joined[b]]
+    return licenses.chosen([m for k in range(len(licenses.NOTICES)) for b in begins if (m := licenses.verified(joined, k, b, licenses.NOTICES))])
+
+
+def test_license_seeds_lose_nothing():
+    import random
+
+    r = random.Random(3)
+    texts = ["all rights reservd and all rights reserved", "released under the mit licence x released under the mit license", "all rights reserved all rights reservd all rihts reserved"]
+    for _ in range(60):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            letters = list(r.choice(licenses.NOTICES)[0])
+            for _ in range(r.randint(0, 4)):
+                p = r.randrange(len(letters))
+                letters[p : p + r.randint(0, 1)] = r.choice(["", "a", "e", " ", "l"])
+            parts += [" ".join("".join(letters).split()), "foo"][: r.randint(1, 2)]
+        texts.append(" ".join(parts))
+    for t in texts:
+        joined = f" {t} "
+        assert licenses.chosen([m for k, b in licenses.hits(joined, licenses.NOTICES)[1] if (m := licenses.verified(joined, k, b, licenses.NOTICES))]) == seedless(joined)
+    assert [x[1:3] for x in seedless(f" {texts[0]} ")] == [(1, 19), (24, 43)]
+
+
 # 6. Sharding.
 
 
@@ -242,6 +344,24 @@ def test_sharding(spark):
     assert sharding.shard(docs(spark, []), 8).count() == 0 and sharding.shard(awkward(spark), 40).count() == 11
 
 
+def test_sharding_cuts_rows_of_one_id(spark, monkeypatch):
+    """A third of all rows is one text under one id; ranges are cut until none is overfull."""
+    monkeypatch.setattr(sharding, "DRAWS", 1)  # poor draws, so that ranges have to be cut again
+    rows = [(None if i % 2 else 5, "the same text") for i in range(3000)] + [(i, f"text {i} " * (i % 5)) for i in range(3000)]
+    frame = docs(spark, rows).repartition(5)
+    for got in (sharding.shard(frame, 10), sharding.sharded(frame, 10).withColumn("size", sharding.text_size(sharding.F.col("text")))):
+        size = Counter()
+        for r in got.collect():
+            size[r.shard] += r.size
+        assert len(size) == 10 and max(size.values()) - min(size.values()) <= 2 * 90
+
+
+def test_sharded_keeps_a_column_of_its_name(spark):
+    frame = clashing(docs(spark, [(i, f"text {i}") for i in range(50)]))
+    out = sharding.sharded(frame, 4)
+    assert set(out.columns) == {*frame.columns, "shard_given"} and {r.shard_given for r in out.collect()} == {"x"} and out.where("shard >= 0").count() == 50
+
+
 def test_sharded_agrees(spark):
     frame = docs(spark, [(i, f"text {i} " * (i % 17)) for i in range(500)])
     a = rows_of(sharding.shard(frame, 6), "doc_id", "shard")
@@ -287,7 +407,7 @@ def test_simhash(spark, sf_dir):
     assert {i: r.component_id for i, r in got.items()} == brute_classes(points)
 
 
-def test_simhash_search(spark):
+def test_simhash_search(spark, monkeypatch):
     """Links of planted fingerprints, a dense group among them, by the search alone."""
     rng = np.random.default_rng(4)
     base = [int(x) for x in rng.integers(0, 1 << 63, 40)]
@@ -297,10 +417,13 @@ def test_simhash_search(spark):
     frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in points], "bits long")
     from tidepool.llm.components import components
 
-    found = {r.node: r.root for r in components(simhash.links(frame)).collect()}
     signed = [(p - (1 << 64) if p >> 63 else p, p) for p in points]
     want = brute_classes(signed)
-    assert {s: found.get(s, s) for s, _ in signed} == want
+    for segments in (simhash.SEGMENTS, simhash.WIDE_SEGMENTS):
+        for part in (simhash.BUCKET_PART, 100):  # the second cuts the dense group's buckets
+            monkeypatch.setattr(simhash, "BUCKET_PART", part)
+            found = {r.node: r.root for r in components(simhash.links(frame, segments)).collect()}
+            assert {s: found.get(s, s) for s, _ in signed} == want
 
 
 def test_simhash_awkward(spark):

@@ -1,13 +1,16 @@
 """Benchmark decontamination by a positional inverted index.
 
-Benchmark items are cut into windows of consecutive words. Terms of the windows are counted over all documents; each
-window is sought by its rarest term. The index stores the postings of those terms: document, position, and the words
-that stand around it. A window's candidates are the postings of its rarest term moved by the term's offset; they are
-intersected with the next rarest terms at their own offsets, and what is left is compared word by word. Phrase matches
-are exact; proximity matches hold the rarest terms of a window in any order within the stored neighbourhood.
-
-All of it is DataFrame expressions. Documents are only read, exploded and filtered, never shuffled; benchmark tables
-are broadcast after a check of their rows and left to shuffled joins above it.
+Benchmark items are cut into windows of consecutive words. Words are counted over all documents, and a window is sought
+by its RAREST terms: the rarest is its anchor, the next ones follow unless their lists are more than LONGER times the
+anchor's. The index stores the postings (document, term, position) of all terms that are sought, nothing else of the
+texts. The anchors' postings, moved by their offsets, are the candidates; they are intersected with the next terms'
+postings. Where all of these stand at their own offsets the window may stand there, and its words are compared with the
+document's: exact phrase matches. Where they stand within the window's length around the anchor, in any order, the match
+is one of proximity.
+
+All of it is DataFrame expressions. Texts are never shuffled while the sought terms, windows and candidates stay under
+the bound of a broadcast, each checked by a count; beyond it the same joins are shuffled ones, of narrow rows but for
+the last, which moves the texts once. Counts are summed in each task before they travel.
 
 Defined results: null and empty texts have no words, no hit and no items, and are not contaminated; null and wordless
 items have no window; items repeated under one id count once, equal texts under different ids count each; repeated
@@ -21,15 +24,13 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.tables import durable
+from tidepool.llm.tables import bounded, durable
 
 WINDOW_WORDS = 13
 #: A document is contaminated where hit words times this reach its words.
 HIT_SHARE = 20
-#: Terms of a window that are intersected before words are compared.
-RAREST = 3
-#: Benchmark rows that a broadcast may hold: 15 short words each, some 30 MB.
-BROADCAST_ROWS = 200_000
+#: Terms of a window whose lists are intersected, and the times a further list may be longer than the anchor's.
+RAREST, LONGER = 3, 16
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -40,11 +41,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, BREAKS), "")
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Marked for broadcast if its counted rows are few; as it is otherwise."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def windows_of(benchmark: DataFrame, n: int) -> DataFrame:
     """(item_id, phrase, terms): the windows of each item, a shorter item being one."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -53,80 +49,102 @@ def windows_of(benchmark: DataFrame, n: int) -> DataFrame:
     return cut.select("item_id", F.array_join("terms", " ").alias("phrase"), "terms").distinct()
 
 
-def key_of(docs: DataFrame) -> list[Column]:
-    """Rows with the same id and text share their matches."""
-    return [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")]
+def key_of() -> list[Column]:
+    """Hashes of a row's id and text; rows with the same id and text share their matches. Never null."""
+    return [F.xxhash64("doc_id").alias("id_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")]
+
+
+KEY = ["id_key", "text_key"]
 
 
 def sought(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(phrase, terms, anchor, at, rest): each window with its rarest term, and the next rarest as (term, offset)."""
+    """(phrase, terms, anchor, at, rest): each window with its rarest term, and the next as (term, offset from the anchor)."""
     phrases = windows.select("phrase", "terms").distinct()
     vocabulary = durable(phrases.select(F.explode("terms").alias("term")).distinct())
     every = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
-    counts = every.join(bounded(vocabulary, vocabulary.count()), "term").groupBy("term").agg(F.count("*").alias("n"))
-    placed = phrases.select("phrase", F.posexplode("terms").alias("at", "term")).join(vocabulary.join(counts, "term", "left"), "term")
+    counted = lambda rows: rows.groupBy("term").agg(F.count("*").alias("n"))
+    few = bounded(vocabulary)
+    # A small vocabulary filters words where they are read; a large one meets their counts.
+    counts = counted(every.join(few, "term")) if few is not vocabulary else counted(every).join(vocabulary, "term")
+    counts = durable(counts)
+    placed = phrases.select("phrase", F.posexplode("terms").alias("at", "term")).join(bounded(counts), "term", "left")
     rank = Window.partitionBy("phrase").orderBy(F.coalesce("n", F.lit(0)), "at")
-    rarest = placed.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= RAREST)
-    held = rarest.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("rank", "term", "at"))).alias("r"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    rarest = placed.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= RAREST)
+    lists = rarest.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("rank", "term", "at", "n"))).alias("r"))
     # A window with a term that no document has stands nowhere.
-    held = held.where(F.col("n") > 0)
-    return phrases.join(held, "phrase").select("phrase", "terms", F.col("r")[0]["term"].alias("anchor"), F.col("r")[0]["at"].alias("at"), F.slice("r", 2, RAREST).alias("rest"))
-
-
-def index(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """(doc_id, text_key, term, pos, near, first): postings of the terms, with the words from ``first`` on around them."""
-    words = docs.select(*key_of(docs), words_of(F.col("text")).alias("w"))
-    postings = words.select("doc_id", "text_key", "w", F.posexplode("w").alias("pos", "term"))
-    first = F.greatest(F.lit(0), F.col("pos") - (reach - 1))
-    kept = postings.join(bounded(terms, terms.count()), "term")
-    return kept.select("doc_id", "text_key", "term", "pos", F.slice("w", first + 1, 2 * reach - 1).alias("near"), first.alias("first"))
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_key, phrase, start, words, exact) of phrase and proximity matches, and (item_id, phrase)."""
+    lists = lists.where(F.col("r")[0]["n"] > 0)
+    first = F.col("r")[0]
+    rest = F.transform(F.filter(F.slice("r", 2, RAREST), lambda r: r["n"] <= LONGER * first["n"]), lambda r: F.struct(r["term"].alias("term"), (r["at"] - first["at"]).alias("step")))
+    return phrases.join(lists, "phrase").select("phrase", "terms", first["term"].alias("anchor"), first["at"].alias("at"), rest.alias("rest"))
+
+
+def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id_key, text_key, term, pos): postings of the terms, each once."""
+    words = docs.select(*key_of(), F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    return words.join(bounded(terms), "term").select(*KEY, "term", "pos").distinct()
+
+
+def intersected(postings: DataFrame, plan: DataFrame, n: int) -> DataFrame:
+    """(id_key, text_key, phrase, start, aligned, near): candidates and which intersections they pass.
+
+    Positions are met in blocks of n, each candidate looking into the block of its anchor and the two beside it.
+    """
+    anchors = postings.join(bounded(plan), postings["term"] == plan["anchor"])
+    found = anchors.select(*KEY, "phrase", "pos", (F.col("pos") - F.col("at")).alias("start"), "rest").where("start >= 0")
+    alone = found.where(F.size("rest") == 0).select(*KEY, "phrase", "start", F.lit(True).alias("aligned"), F.lit(False).alias("near"))
+    block = lambda c: F.floor(c / F.lit(n)).cast("long")
+    asked = found.where(F.size("rest") > 0).select(*KEY, "phrase", "start", F.col("pos").alias("by"), F.size("rest").alias("lists"), F.posexplode("rest").alias("nth", "r"))
+    asked = asked.select(*KEY, "phrase", "start", "by", "lists", "nth", "r.term", "r.step", F.explode(F.array(*[block(F.col("by")) + k for k in (-1, 0, 1)])).alias("block"))
+    met = asked.join(postings.withColumn("block", block(F.col("pos"))), [*KEY, "term", "block"]).where(F.abs(F.col("pos") - F.col("by")) < n)
+    bit = lambda hit: F.bit_or(F.when(hit, F.expr("shiftleft(1, nth)")).otherwise(0))
+    masks = met.groupBy(*KEY, "phrase", "start", "lists").agg(bit(F.col("pos") == F.col("by") + F.col("step")).alias("at_steps"), bit(F.lit(True)).alias("around"))
+    full = F.expr("shiftleft(1, lists) - 1")
+    passed = masks.where(F.col("around") == full).select(*KEY, "phrase", "start", (F.col("at_steps") == full).alias("aligned"), F.lit(True).alias("near"))
+    return alone.unionByName(passed)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Exact matches (id_key, text_key, phrase, start, words), those of proximity (id_key, text_key, phrase, start), and windows."""
     windows = durable(windows_of(benchmark, n))
     plan = durable(sought(docs, windows))
-    postings = durable(index(docs, plan.select(F.col("anchor").alias("term")).distinct(), n))
-    hit = postings.join(bounded(plan, plan.count()), postings["term"] == plan["anchor"])
-    begin = F.col("pos") - F.col("at") - F.col("first")  # in the neighbourhood, from 0
-    fits = (begin >= 0) & (begin + F.size("terms") <= F.size("near"))
-    at_offsets = F.forall("rest", lambda r: F.get("near", begin + r["at"]) == r["term"])
-    exact = fits & at_offsets & (F.slice("near", F.greatest(F.lit(0), begin) + 1, F.size("terms")) == F.col("terms"))
-    close = F.forall("rest", lambda r: F.array_contains("near", r["term"]))
-    found = hit.select("doc_id", "text_key", "phrase", (F.col("pos") - F.col("at")).alias("start"), F.size("terms").alias("words"), exact.alias("exact"), close.alias("close"))
-    return found.where("exact or close").drop("close"), windows.select("item_id", "phrase")
+    terms = plan.select(F.explode(F.concat(F.array("anchor"), F.col("rest.term"))).alias("term")).distinct()
+    candidates = durable(intersected(durable(index(docs, durable(terms))), plan, n))
+    whole = plan.select("phrase", "terms")
+    asked = durable(candidates.where("aligned").join(bounded(whole), "phrase").select(*KEY, "phrase", "start", "terms"))
+    words = docs.select(*key_of(), words_of(F.col("text")).alias("w"))
+    exact = words.join(bounded(asked), KEY).where(F.slice("w", F.col("start") + 1, F.size("terms")) == F.col("terms"))
+    exact = durable(exact.select(*KEY, "phrase", "start", F.size("terms").alias("words")).distinct())
+    return exact, candidates.where("near").select(*KEY, "phrase", "start"), windows.select("item_id", "phrase")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
-    """(doc_id, text_key, n_words, n_hit, n_items, items, contaminated) for each row of docs (doc_id, text)."""
-    found, windows = matches(docs, benchmark, n)
-    exact = durable(found.where("exact").select("doc_id", "text_key", "phrase", "start", "words").distinct())
-    spans = exact.select("doc_id", "text_key", "start", (F.col("start") + F.col("words")).alias("end")).distinct()
-    before = Window.partitionBy("doc_id", "text_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    """(doc_id, n_words, n_hit, n_items, items, contaminated, n_near) for each row of docs (doc_id, text).
+
+    n_near: items with a match of proximity, exact ones among them.
+    """
+    exact, near, windows = matches(docs, benchmark, n)
+    spans = exact.select(*KEY, "start", (F.col("start") + F.col("words")).alias("end")).distinct()
+    before = Window.partitionBy(*KEY).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     covered = (
         spans.withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
-        .groupBy("doc_id", "text_key")
+        .groupBy(*KEY)
         .agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "reached"))).alias("n_hit"))
     )
-    items = (
-        exact.select("doc_id", "text_key", "phrase")
-        .distinct()
-        .join(windows, "phrase")
-        .groupBy("doc_id", "text_key")
-        .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))  # item ids of the benchmark at most
+    named = bounded(windows)
+    items = lambda rows: rows.select(*KEY, "phrase").distinct().join(named, "phrase").groupBy(*KEY)
+    listed = items(exact).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))  # item ids of the benchmark at most
+    close = items(near).agg(F.count_distinct("item_id").alias("n_near"))
+    hits = durable(covered.join(listed, KEY).join(close, KEY, "full"))
+    base = docs.select("doc_id", *key_of(), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    out = base.join(bounded(hits), KEY, "left").withColumns(
+        {"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>")), "n_near": F.coalesce("n_near", F.lit(0)).cast("long")}
     )
-    listed = items.withColumnsRenamed({"doc_id": "item_doc", "text_key": "item_text"})
-    hits = covered.withColumnsRenamed({"doc_id": "hit_id", "text_key": "hit_key"})
-    hits = hits.join(listed, F.col("hit_id").eqNullSafe(F.col("item_doc")) & (F.col("hit_key") == F.col("item_text"))).drop("item_doc", "item_text")
-    base = docs.select(*key_of(docs), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key"))
-    out = base.join(hits, same, "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     contaminated = (F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words"))
-    return out.select("doc_id", "text_key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", contaminated.alias("contaminated"))
+    return out.select("doc_id", *KEY, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", contaminated.alias("contaminated"), "n_near")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
     """Docs without the contaminated rows."""
-    bad = durable(decontaminate(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__bad_key"))
-    return docs.join(bounded(bad, bad.count()), same, "left_anti")
+    bad = durable(decontaminate(docs, benchmark, n).where("contaminated").select(*KEY).distinct())
+    keyed = docs.withColumns(dict(zip(("__id_key", "__text_key"), key_of(), strict=True)))
+    return keyed.join(bounded(bad), (F.col("__id_key") == F.col("id_key")) & (F.col("__text_key") == F.col("text_key")), "left_anti").drop("__id_key", "__text_key")

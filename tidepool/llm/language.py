@@ -7,7 +7,7 @@ language against the rest. Texts are scored in blocks by matrix products.
 
 Defined results: null texts and texts without a letter are `und` with score 0; with nothing to learn from every text
 is `und`; an empty table gives no rows; repeated rows are labelled alike, one output row for each input row; ties
-between languages go to the first by code point. Further columns are ignored.
+between languages go to the first by code point; a document with two labels is learned from under both. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,16 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.blocks import Block, split
-from tidepool.llm.sampling import fold, labelled_sample
+from tidepool.llm.sampling import fold, labelled_sample, narrow
 
 ORDERS = (1, 2, 3, 4)
-DIM_BITS = 14
-#: Labelled rows of each language that are learned from at most, and how many of them are landmarks.
+DIM_BITS = 16
+#: Labelled rows of each language that are learned from at most, how many of them are landmarks, and landmarks in all
+#: (with more languages each has fewer, one at least), so that the model's size follows the languages only from there on.
 FIT_ROWS = 250
-LANDMARKS = 24
+LANDMARKS, MOST_LANDMARKS = 24, 960
 RIDGE = 1e-3
-#: Rows whose presence vectors stand in memory at once: 64 * 2**14 * 4 bytes.
-ROWS_AT_ONCE = 64
+#: Rows whose presence vectors stand in memory at once: 32 * 2**16 * 4 bytes.
+ROWS_AT_ONCE = 32
 UNDETERMINED = "und"
 
 
@@ -92,14 +93,17 @@ def fit(rows: list) -> LanguageModel | None:
         return None
     languages = sorted({r["label"] for r in rows})
     texts = lowered(pa.array([r["text"] for r in rows], pa.string()))
-    x = unit_rows(np.concatenate([m for _, b in split([pa.record_batch({"text": texts})]) for m in presence(b)]))
-    label = np.array([languages.index(r["label"]) for r in rows])
-    chosen = np.concatenate([np.flatnonzero(label == k)[:LANDMARKS] for k in range(len(languages))])
-    marks = x[chosen].T.copy()
+    place = {name: k for k, name in enumerate(languages)}
+    label = np.array([place[r["label"]] for r in rows])
+    each = max(1, min(LANDMARKS, MOST_LANDMARKS // len(languages)))
+    chosen = np.concatenate([np.flatnonzero(label == k)[:each] for k in range(len(languages))])
+    blocks = lambda held: (unit_rows(m) for _, b in split([pa.record_batch({"text": held})]) for m in presence(b))
+    marks = np.concatenate(list(blocks(texts.take(pa.array(chosen))))).T.copy()
+    # Presence vectors never stand in memory all at once, only their kernels.
     values, vectors = np.linalg.eigh((marks.T @ marks).astype(np.float64))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    phi = (x @ marks) @ whiten
+    phi = np.concatenate([x @ marks for x in blocks(texts)]) @ whiten
     y = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
     weight = (1.0 / np.bincount(label, minlength=len(languages)))[label]
     weight = weight / weight.mean()
@@ -131,7 +135,7 @@ def identify_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, held_out_fold:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if held_out_fold is not None:
         known = known.where(fold(F.col("doc_id"), folds) != held_out_fold)
-    model = fit(labelled_sample(known, known.select("doc_id", F.col("lang").alias("label"), F.length("text").alias("chars")), fit_rows))
+    model = fit(labelled_sample(known, narrow(known, F.col("lang").alias("label")), fit_rows))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2**DIM_BITS x landmarks
     rows = docs.select(*dict.fromkeys([*kept, "text"]))
     schema = ", ".join(f"`{name}` {rows.schema[name].dataType.simpleString()}" for name in kept)

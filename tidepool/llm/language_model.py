@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.blocks import SPACED, Block, span_hash, split
-from tidepool.llm.sampling import fold
+from tidepool.llm.sampling import in_fold
 from tidepool.llm.tables import durable
 
 UNIT_WORDS, SUFFIX_UNITS, CLASSES = 1024, 256, 48
@@ -233,7 +233,7 @@ def score_texts(docs: DataFrame, held_out_fold: int = 0, folds: int = 10) -> Dat
     """For each row of docs (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    held_out = F.coalesce(fold(F.col("doc_id"), folds) == held_out_fold, F.lit(False))
+    held_out = in_fold(F.col("doc_id"), folds, held_out_fold)
     training = docs.where(~held_out).select("text")
     counts = durable(training.mapInArrow(counted, "h long, suffix int, n long").groupBy("h").agg(F.sum("n").alias("n"), F.min("suffix").alias("suffix")))
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()

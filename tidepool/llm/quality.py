@@ -6,7 +6,8 @@ does not see (Platt's method), and rows are scored in Arrow batches against fixe
 
 Defined results: a null text counts as empty; an empty text has zero counts and fails the base rules; ties and
 repeated rows are scored alike, one output row for each input row; an empty table gives no rows; without labelled rows
-of both classes the probability is 1 for every text, so the base rules alone decide. Further columns are ignored.
+of both classes the probability is 1 for every text, so the base rules alone decide; a document with two labels is learned
+from under both. Further columns are ignored.
 """
 
 from __future__ import annotations

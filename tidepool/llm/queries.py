@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.sampling import fold
+from tidepool.llm.sampling import in_fold
 from tidepool.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,14 +32,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.llm.language import identify_languages
 
     out = identify_languages(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 @query
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.llm.licenses import scan_licenses
 
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    span = lambda s: F.concat_ws(":", s["label"], s["start"].cast("string"), s["end"].cast("string"), s["errors"].cast("string"))
+    return out.withColumn("spans", F.array_join(F.transform("spans", span), ","))
 
 
 @query
@@ -55,7 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.llm.toxicity import score_toxicity
 
     out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
 
 
 @query
@@ -67,11 +69,9 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidepool.llm.mixing import mix
+    from tidepool.llm.mixing import copies
 
-    out = mix(table(spark, sf_dir, "documents"))
-    each = out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 @query
@@ -87,7 +87,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.llm.decontamination import decontaminate
 
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -102,10 +102,24 @@ placed AS (SELECT doc_id, k, total, n, i, array_to_string(w[i:i + n - 1], ' ') A
        FROM (SELECT doc_id, k, w, total, n, unnest(generate_series(1, total - n + 1)) AS i FROM dw, sizes WHERE total >= n)),
 hit AS (SELECT x.doc_id, x.k, x.i, x.n, bw.item_id FROM placed x JOIN bw ON x.p = bw.p AND x.n = bw.n),
 pos AS (SELECT doc_id, k, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, k, unnest(generate_series(i, i + n - 1)) AS j FROM hit) GROUP BY ALL),
-ids AS (SELECT doc_id, k, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, k, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY ALL)
+ids AS (SELECT doc_id, k, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, k, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY ALL),
+phrases AS (SELECT DISTINCT p FROM bw),
+terms AS (SELECT p, unnest(string_split(p, ' ')) AS term, generate_subscripts(string_split(p, ' '), 1) - 1 AS o FROM phrases),
+counts AS (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM d) GROUP BY term),
+ranked AS (SELECT p, terms.term, o, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY p ORDER BY coalesce(n, 0), o) AS r FROM terms LEFT JOIN counts ON terms.term = counts.term),
+anchor AS (SELECT * FROM ranked WHERE r = 1 AND n > 0),
+rest AS (SELECT x.p, x.r, x.term FROM ranked x JOIN anchor a ON x.p = a.p WHERE x.r IN (2, 3) AND x.n <= 16 * a.n),
+lists AS (SELECT p, count(*) AS n FROM rest GROUP BY p),
+seek AS (SELECT term FROM anchor UNION SELECT term FROM rest),
+post AS (SELECT * FROM (SELECT doc_id, k, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS j FROM dw) WHERE term IN (SELECT term FROM seek)),
+found AS (SELECT DISTINCT post.doc_id, post.k, a.p, post.j FROM anchor a JOIN post ON a.term = post.term WHERE post.j >= a.o),
+close AS (SELECT f.doc_id, f.k, f.p, f.j FROM found f JOIN rest ON f.p = rest.p JOIN post ON post.doc_id IS NOT DISTINCT FROM f.doc_id AND post.k = f.k AND post.term = rest.term AND abs(post.j - f.j) < 13
+       JOIN lists ON f.p = lists.p GROUP BY f.doc_id, f.k, f.p, f.j, lists.n HAVING count(DISTINCT rest.r) = lists.n),
+near AS (SELECT close.doc_id, close.k, count(DISTINCT bw.item_id) AS n_near FROM close JOIN bw ON close.p = bw.p GROUP BY ALL)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, coalesce(n_near, 0) AS n_near
 FROM d LEFT JOIN pos ON d.doc_id IS NOT DISTINCT FROM pos.doc_id AND d.k = pos.k LEFT JOIN ids ON d.doc_id IS NOT DISTINCT FROM ids.doc_id AND d.k = ids.k
+LEFT JOIN near ON d.doc_id IS NOT DISTINCT FROM near.doc_id AND d.k = near.k
 """
 
 

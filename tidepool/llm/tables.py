@@ -1,28 +1,27 @@
-"""Reading the tables that the queries of this subpackage run over."""
+"""Reading the tables that the queries of this subpackage run over, and cutting lineage."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepool.session import shared_folder, spread
 
+#: Rows of a small table that a broadcast may hold.
+SMALL_ROWS = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(rows) if name == "documents" else rows
 
 
-#: Rows of a small table that a broadcast may hold.
-SMALL_ROWS = 100_000
-
-
-def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Rows that the driver holds, as a table: broadcast if they are few, joined by a shuffle otherwise."""
-    df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) <= SMALL_ROWS else df
+def bounded(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its counted rows are few; left to a shuffled join otherwise."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -36,3 +35,25 @@ def stored(df: DataFrame) -> DataFrame:
     at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.parquet(at)
+
+
+def held(c: Column, kind: T.DataType) -> Column:
+    """A column as something that can be hashed: maps can't."""
+    return F.to_json(F.struct(c.alias("v"))) if "map<" in kind.simpleString() or "variant" in kind.simpleString() else c
+
+
+def row_keys(docs: DataFrame, columns: list[str] | None = None) -> list[Column]:
+    """Two hashes, 96 bits together, that tell rows apart by the named columns (all of them by default); never null."""
+    fields = [f for f in docs.schema.fields if columns is None or f.name in columns]
+    parts = [x for f in fields for x in (held(F.col(f"`{f.name}`"), f.dataType), F.col(f"`{f.name}`").isNull())]
+    return [F.xxhash64(*parts).alias("__a"), F.hash(*parts).alias("__b")]
+
+
+def distinct_rows(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Docs with their keys __a and __b, one row of those that are equal in the named columns.
+
+    Equal rows are merged in each task before the shuffle, so a hot row travels once from each; whole rows travel once
+    at most, and what is joined by the keys afterwards finds them in place.
+    """
+    keyed = docs.select("*", *row_keys(docs, columns))
+    return keyed.dropDuplicates(["__a", "__b"])
