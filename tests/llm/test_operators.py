@@ -182,7 +182,7 @@ def test_mixing_keeps_mass(spark):
 
 
 def test_mixing_keeps_mass_of_repeated_rows(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "DEALT", 64)  # several blocks
+    monkeypatch.setattr(tables, "DEALT", 64)  # several blocks
     hot = " ".join(["w"] * 10)
     rows = [(7, hot, "en", "a")] * 1000 + [(None, f"x{i} " * 10, "en", "a") for i in range(50)] + [(i, "v " * (i % 9), "en", "b") for i in range(100, 900)]
     frame = docs(spark, rows)
@@ -458,11 +458,76 @@ def test_language_model(spark):
 
 
 def test_language_model_cache_is_no_cap(spark, monkeypatch):
-    frame = docs(spark, [(i, f"a b a c{i % 11} d{i % 5}") for i in range(80)])
-    whole = rows_of(language_model.score_texts(frame), "doc_id", "n_known", "base_score")
+    monkeypatch.setattr(language_model, "UNIT_WORDS", 3)  # the end and two words; all others are moved one by one
+    frame = docs(spark, [(i, f"a b a c{i % 11} d{i % 5} e{i % 31} f{i}") for i in range(80)])
+    whole = rows_of(language_model.score_texts(frame), "doc_id", "n_known", "base_score", "score")
     monkeypatch.setattr(language_model, "CACHED_WORDS", 3)
-    few = rows_of(language_model.score_texts(frame), "doc_id", "n_known", "base_score")
-    assert [(i, k, pytest.approx(s)) for i, k, s in whole] == few
+    few = rows_of(language_model.score_texts(frame.repartition(3)), "doc_id", "n_known", "base_score", "score")
+    assert [(i, k, pytest.approx(s), pytest.approx(t)) for i, k, s, t in whole] == few
+
+
+def test_language_model_score_by_hand(spark, monkeypatch):
+    """Classes are taken from the model; counts, transitions, emissions and scores are worked out anew, word by word."""
+    monkeypatch.setattr(language_model, "UNIT_WORDS", 6)
+    monkeypatch.setattr(language_model, "CACHED_WORDS", 12)
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, int(rng.integers(0, 30))) % 90)) for i in range(200)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    model, words, total, _ = language_model.learned(docs(spark, [r for r in rows if not held(r[0])]).select("text"))
+    kinds = {r.h & (2**64 - 1): (r.n, r["class"]) for r in words.collect()}
+    code, group = {None: int(language_model.END)}, {}
+    for w in {w for _, t in rows for w in t.split()}:
+        t = language_model.tokens(blocks.Block.of(pa.array([w])))
+        code[w], group[w] = int(t.hashes[0]), int(model.label[language_model.UNIT_WORDS + t.suffix[0]])
+    unit = {int(h): int(model.label[k]) for h, k in zip(model.units.hashes, model.units.number)}
+    context = lambda w: unit[code[w]] if code[w] in unit else group[w]
+    own = lambda w: kinds[code[w]][1] if code[w] in kinds else group[w]
+    toks = {i: [*t.split(), None] for i, t in rows}
+    counts = Counter(w for i, t in toks.items() if not held(i) for w in t)
+    assert {code[w]: n for w, n in counts.items()} == {h: n for h, (n, _) in kinds.items()} and total["n"] == sum(counts.values())
+    k = language_model.CLASSES
+    n = np.zeros((k, k))
+    for i, t in toks.items():
+        for a, b in zip([None, *t], t):
+            n[context(a), own(b)] += not held(i)
+    into = (n.sum(0) + 1) / (n.sum() + k)
+    step = (n + language_model.TRANSITION_PRIOR * into) / (n.sum(1, keepdims=True) + language_model.TRANSITION_PRIOR)
+    mass, kept = Counter(), Counter()
+    for w, c in counts.items():
+        mass[own(w)] += c
+        kept[own(w)] += 1
+    want = {i: sum(math.log10(step[context(a), own(b)] * (counts[b] + 0.1) / (mass[own(b)] + 0.1 * (kept[own(b)] + 1))) for a, b in zip([None, *t], t)) for i, t in toks.items()}
+    got = {r.doc_id: r for r in language_model.score_texts(docs(spark, rows)).collect()}
+    assert {i: r.score for i, r in got.items()} == {i: pytest.approx(s, abs=1e-6) for i, s in want.items()}
+    assert all(r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens)) for r in got.values())
+
+
+def test_words_move_to_their_best_class():
+    """Of words outside the units, each class is tried in full."""
+    k = language_model.CLASSES
+    rng = np.random.default_rng(13)
+    n = rng.poisson(20, (k, k)).astype(float)
+    h, slot, count = [], [], []
+    for w in range(30):
+        slots = np.sort(rng.choice(2 * k, 6, replace=False))
+        h += [w] * 6
+        slot += slots.tolist()
+        count += rng.integers(1, 9, 6).tolist()
+    batches = [pa.record_batch({"h": pa.array(h[a : a + 7], pa.int64()), "slot": pa.array(slot[a : a + 7], pa.int32()), "n": pa.array(count[a : a + 7], pa.int64())}) for a in range(0, len(h), 7)]
+    got = {r["h"]: r["class"] for b in language_model.assigned(iter(batches), n) for r in b.to_pylist() if r["h"] is not None}
+    f = language_model.xlogx
+    for w in range(30):
+        left, right = np.zeros(k), np.zeros(k)
+        for x, s, c in zip(h, slot, count):
+            if x == w:
+                (left if s < k else right)[s % k] += c
+        scores = []
+        for c in range(k):
+            m = n.copy()
+            # Counts of the word stand in a row and a column of their own until it moves.
+            value = f(m[c] + right).sum() - f(m[c]).sum() + f(m[:, c] + left).sum() - f(m[:, c]).sum()
+            scores.append(value - f(m[c].sum() + right.sum()) + f(m[c].sum()) - f(m[:, c].sum() + left.sum()) + f(m[:, c].sum()))
+        assert scores[got[w]] == pytest.approx(max(scores))
 
 
 def test_language_model_beats_unigrams(spark, sf_dir):
@@ -532,6 +597,49 @@ def test_personal_data_discovers(spark):
     assert personal_data.find_personal_data(awkward(spark)).count() == 11 and personal_data.find_personal_data(docs(spark, [])).count() == 0
 
 
+def test_personal_data_precision_and_recall(spark):
+    """Identifiers planted in the contexts of seeds are found, the same shapes in other contexts are left alone."""
+    rng = np.random.default_rng(21)
+    filler = "people walk along the river while clouds drift over quiet hills and children play near old stone houses".split()
+    prose = lambda k: " ".join(rng.choice(filler, k))
+    lead = ["you can reach me at", "please send the invoice to", "my new number is", "for questions contact", "customer account:"]
+    seed = [lambda i: f"user{i}@mail{i % 7}.example.com", lambda i: f"+1 555 01{i % 10} {1000 + i}", lambda i: f"10.{i % 200}.3.{i % 250}"]
+    rows, planted, decoys = [], set(), set()
+    for i in range(600):
+        known = seed[i % 3](i)
+        hidden, decoy = f"agent-{i}K{i * 7 % 1000}X", f"part-{i}Q{i * 3 % 1000}Z"
+        if i % 3:
+            rows.append((i, f"{prose(8)} {lead[i % 5]} {known} {prose(6)}"))
+        else:
+            rows.append((i, f"{prose(8)} {lead[i % 5]} {hidden} {prose(9)} {decoy} {prose(4)}"))
+            planted.add(hidden)
+            decoys.add(decoy)
+    rows.append((900, 'config: api_key = "k9f8e7d6c5b4a3" and password: hunter2hunter2 end'))
+    got = personal_data.find_personal_data(docs(spark, rows)).collect()
+    ids = {s.value for r in got for s in r.added if s.kind == "id"}
+    assert len(ids & planted) >= 0.9 * len(planted) and len(ids & planted) >= 0.9 * len(ids) and not ids & decoys
+    assert [s.value for r in got for s in r.added if s.kind == "secret"] == ["k9f8e7d6c5b4a3", "hunter2hunter2"]
+
+
+def test_personal_data_scores_by_hand(spark):
+    """The graph's fixed point, worked out in plain loops."""
+    rng = np.random.default_rng(22)
+    edges = {(f"v{rng.integers(0, 40)}", f"p{rng.integers(0, 8)}"): int(rng.integers(1, 4)) for _ in range(160)}
+    seed = {f"v{i}" for i in range(18)}
+    frame = spark.createDataFrame([(v, v in seed, p, n) for (v, p), n in edges.items()], "value string, seed boolean, pattern string, n long")
+    score, last = {v: float(v in seed) for v, _ in edges}, None
+    while last != score:
+        last, sure = dict(score), {}
+        for p in {p for _, p in edges}:
+            mine = [(v, n) for (v, q), n in edges.items() if q == p]
+            c = round(sum(n * score[v] for v, n in mine) / (sum(n for _, n in mine) + personal_data.SMOOTHING), 4)
+            if c >= personal_data.CONFIDENT and sum(v in seed for v, _ in mine) >= personal_data.LEAST_SEEDS:
+                sure[p] = c
+        score = {v: 1.0 if v in seed else max((sure[p] for (w, p) in edges if w == v and p in sure), default=0.0) for v in score}
+    got = {r.value: r.score for r in personal_data.confident(frame).collect()}
+    assert got == {v: pytest.approx(x, abs=2e-4) for v, x in score.items() if v not in seed and x > 0}
+
+
 def test_personal_data_digest(spark, sf_dir):
     texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
     for r in QUERIES["op9_personal_data"](spark, sf_dir).collect():
@@ -543,12 +651,63 @@ def test_personal_data_digest(spark, sf_dir):
 # 10. Toxicity.
 
 
+def clause_by_hand(symbols, weights, f):
+    """Straight from the rules: what is emitted at each word, by what stands in the words before it."""
+    total = 0.0
+    for i, (s, w) in enumerate(zip(symbols, weights)):
+        before = lambda kind, n, i=i: kind in symbols[max(0, i - n) : i]
+        t = toxicity
+        out = w if s == t.INSULT else 0.0
+        if s == t.INSULT and before(t.TARGET, 3):
+            out *= f["target"]
+        if s == t.TARGET:
+            out += f["threat"] * before(t.THREAT, 3) + f["addressed"] * before(t.INSULT, 4)
+        if s in (t.INSULT, t.TARGET):
+            out *= (f["negation"] if before(t.NEGATION, 4) else 1.0) * (f["report"] if before(t.REPORT, 8) else 1.0)
+        total += out
+    return total
+
+
 def test_toxic_grammar():
+    factors = toxicity.FACTORS
     machine = toxicity.grammar()
-    s = lambda *symbols: toxicity.clause_score(machine, list(symbols), [1.0 if x == toxicity.INSULT else 0.0 for x in symbols])
-    plain = s(toxicity.OTHER, toxicity.INSULT)
-    assert s(toxicity.TARGET, toxicity.OTHER, toxicity.INSULT) > plain > s(toxicity.NEGATION, toxicity.INSULT) > 0
-    assert s(toxicity.REPORT, toxicity.OTHER, toxicity.INSULT) < plain and s(toxicity.THREAT, toxicity.TARGET) > 0 == s(toxicity.THREAT, toxicity.OTHER)
+    t = toxicity
+
+    def s(*symbols):
+        weights = np.array([1.0 if x == t.INSULT else 0.0 for x in symbols])
+        return float(t.clause_scores(machine, np.array(symbols), weights, np.array([0]), np.array([len(symbols)]))[0])
+
+    plain = s(t.OTHER, t.INSULT)
+    assert s(t.TARGET, t.OTHER, t.INSULT) > plain > s(t.NEGATION, t.INSULT) > 0
+    assert s(t.REPORT, t.OTHER, t.INSULT) < plain and s(t.THREAT, t.TARGET) > 0 == s(t.THREAT, t.OTHER)
+    assert s(t.NEGATION, t.THREAT, t.TARGET) < s(t.THREAT, t.TARGET) > s(t.REPORT, t.OTHER, t.THREAT, t.TARGET) and s(t.INSULT, t.TARGET) > plain
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 30, 60)
+    symbols, weights = rng.integers(0, 6, sizes.sum()), rng.random(sizes.sum())
+    end = np.cumsum(sizes)
+    got = t.clause_scores(machine, symbols, weights, end - sizes, end)
+    assert got.tolist() == pytest.approx([clause_by_hand(symbols[a:b].tolist(), weights[a:b].tolist(), factors) for a, b in zip(end - sizes, end)])
+
+
+def test_toxic_evidence_by_hand():
+    lexicon = {(0, "idiot"): 3.0, (3, "zzq"): 2.0, (4, "zzqx"): 1.5, (3, "übe"): 2.5}
+    model = toxicity.build(lexicon, np.zeros(4))
+    kinds = {w: k for words, k in ((toxicity.TARGETS, toxicity.TARGET), (toxicity.NEGATIONS, toxicity.NEGATION), (toxicity.THREATS, toxicity.THREAT), (toxicity.REPORTS, toxicity.REPORT)) for w in words}
+    rng = np.random.default_rng(3)
+    parts = ["idiot", "Zzqab", "zzqxy", "übel", "zz", "you", "not", "kill", "said", "fine", "day", "漢字", ". ", "! ", "\n", ", "]
+    texts = [" ".join(rng.choice(parts, int(rng.integers(0, 40)))) for _ in range(80)] + ["", None, "I will kill you", "I will not kill you", "idiot"]
+    got = toxicity.evidence(toxicity.clauses(blocks.Block.of(pa.array(texts, pa.string())), model), model.machine)
+    for t, row in zip(texts, got):
+        t = (t or "").translate(LOW)
+        scores = []
+        for clause in re.split(r"[.!?;\n]", t):
+            words = PLAIN.findall(clause)
+            weight = [next((lexicon[n, w[: n or None]] for n in (0, 4, 3) if len(w) >= n and (n, w[: n or None]) in lexicon), 0.0) for w in words]
+            symbols = [toxicity.INSULT if x else kinds.get(w, toxicity.OTHER) for w, x in zip(words, weight)]
+            scores.append(clause_by_hand(symbols, weight, toxicity.FACTORS))
+        best, total = max(scores), sum(scores)
+        assert row.tolist() == pytest.approx(np.log1p([best, total, 20 * total / max(20, len(PLAIN.findall(t)))]).tolist())
+    assert got[-3, 0] > got[-2, 0] > 0
 
 
 def test_toxicity_learns_stems(spark):

@@ -26,15 +26,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.tables import bounded, distinct_rows, durable, row_keys
+from tidepool.llm.tables import bounded, dealt, distinct_rows, durable, row_keys
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CEILING = 1.5, 2.0
 #: Documents that meet in one fold, on average.
 GROUP = 128
 EDGE = 1e-9
-#: Rows that one task makes of one unit.
-DEALT = 1024
 
 
 def n_words(text: Column) -> Column:
@@ -153,25 +151,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     return out.withColumn("extra", F.col("sure") + F.col("up").cast("long")).drop("sure", "up")
 
 
-def dealt(units: DataFrame, times: Column, n: str = "__nth") -> DataFrame:
-    """Units as often as times says, numbered from 1; what is above DEALT is cut into blocks for several tasks."""
-    few = units.where(times <= DEALT).withColumn(n, F.explode(F.sequence(F.lit(1), times, F.lit(1))))
-    blocks = units.where(times > DEALT).withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((times - 1) / F.lit(DEALT)).cast("long")))).repartition(n_parts(units), *times_keys(units), "__block")
-    many = blocks.withColumn(n, F.explode(F.sequence(F.col("__block") * DEALT + 1, F.least(times, (F.col("__block") + 1) * DEALT)))).drop("__block")
-    return few.withColumn(n, F.col(n).cast("long")).unionByName(many)
-
-
-def n_parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def times_keys(df: DataFrame) -> list[str]:
-    return [c for c in ("a", "b", "__a", "__b") if c in df.columns]
-
-
 def copies(docs: DataFrame) -> DataFrame:
     """``mix`` with a row for each row of docs: (doc_id, source, size, source_size, target, copies)."""
-    each = dealt(mix(docs).where("rows > 0"), F.col("rows"))
+    each = dealt(mix(docs), F.col("rows"), "__nth", ["a", "b"])
     return each.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.when(F.col("__nth") <= F.col("extra"), 1).otherwise(0)).alias("copies"))
 
 
@@ -180,4 +162,4 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
     plan = mix(docs, weights, share, ceiling, seed, tuple(docs.columns))
     times = plan.select(F.col("a").alias("__a"), F.col("b").alias("__b"), (F.col("whole") * F.col("rows") + F.col("extra")).alias("__times")).where("__times > 0")
     rows = distinct_rows(docs).join(times, ["__a", "__b"])
-    return dealt(rows, F.col("__times")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return dealt(rows, F.col("__times"), "__nth", ["__a", "__b"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,17 +1,21 @@
 """Personal data: fixed patterns as seeds, and identifiers found from the contexts that seeds stand in.
 
-Emails, IP addresses, payment cards and phone numbers are found by pattern and check. They seed a graph of instances
-(identifier-like strings) and lexical patterns (the word before, the word after). Spark scores it iteratively: a
-pattern's confidence is the share of its instances' scores, smoothed; an instance that is no seed takes the best
-confidence among its patterns. Identifier-like strings whose best pattern is confident and has several distinct seeds
-are reported as spans of kind ``id``. All of it is DataFrame expressions.
+Emails, IP addresses, payment cards and phone numbers are found by pattern and check, and secrets by what they are
+assigned to (`token = "..."`). They seed a graph of instances (seeds, and identifier-like strings) and lexical patterns:
+two or three words before, one word before with one after, and one before that ends in a mark such as `:`. Single words
+are no patterns, most stand before anything; neither are words after alone, which follow by chance. Spark scores the graph iteratively: a pattern's confidence is
+the share of its instances' scores, smoothed; an instance that is no seed takes the best confidence among its trusted
+patterns, those that are confident and have several distinct seeds. Confidences only rise and are rounded, so this comes
+to a fixed point, where it stops. Identifier-like strings with a trusted pattern are reported as spans of kind ``id``,
+assigned values as ``secret``. All of it is DataFrame expressions.
 
 Positions are recovered without a UDF: what ``split`` leaves between matches and what ``regexp_extract_all`` returns,
 laid end to end, give each match's start in code points. Patterns use possessive forms that match the same spans but
 neither recurse nor rescan a run, so very long texts take linear time.
 
 Defined results: a null text counts as empty; an empty text has no span; repeated rows have equal spans, one output row
-for each input row; an added span never overlaps a seed; an empty table gives no rows. Further columns are ignored.
+for each input row; an added span never overlaps a seed, nor an id a secret; an empty table gives no rows. Further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.tables import durable
+from tidepool.llm.tables import bounded, durable
 
 #: Kinds in their listed order, and their patterns.
 PATTERNS = {
@@ -28,13 +32,19 @@ PATTERNS = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: A value assigned to a name that promises a secret; 8 letters at least.
+SECRET_NAME = r"(?i:password|passwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)"
+SECRET = r"(?<=\b" + SECRET_NAME + r"[\x22']?[\x20\t]{0,3}[:=][\x20\t]{0,3}[\x22']?)(?=[A-Za-z_+/=.-]{0,63}+[0-9])[A-Za-z0-9_+/-][A-Za-z0-9_+/=.-]{7,127}+"
 #: Texts without this hold no match of the kind.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 #: Identifier-like: 8 to 64 letters, digits, `_`, `=` or `-`, with a digit.
 IDENTIFIER = r"(?<![A-Za-z0-9_=@.-])(?=[A-Za-z_=-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_=-]{6,62}[A-Za-z0-9](?![A-Za-z0-9_=@-])"
-ADDED_KIND = "id"
-CONTEXT = 48
-ROUNDS, SMOOTHING, CONFIDENT, LEAST_SEEDS = 3, 2.0, 0.5, 3
+#: Kinds beyond the fixed ones, in the order they are listed in.
+SECRET_KIND, ADDED_KIND = "secret", "id"
+CONTEXT = 64
+SMOOTHING, CONFIDENT, LEAST_SEEDS = 2.0, 0.5, 3
+#: Decimals that confidences are rounded to.
+PLACES = 4
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,value:string>"
 
 
@@ -76,54 +86,79 @@ def seeds_sql() -> str:
     return f"array_sort(concat({', '.join(parts)}))"
 
 
+def outside(spans: str, kind: str, rank: int, taken: str) -> str:
+    """SQL: spans under a kind, without those that overlap what is taken."""
+    named = f"transform({spans}, s -> named_struct('start', s.start, 'rank', {rank}, 'end', s.end, 'kind', '{kind}', 'value', s.value))"
+    return f"filter({named}, s -> not exists({taken}, t -> t.start < s.end and s.start < t.end))"
+
+
+BLANK, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+
+
+def context_sql(of: str) -> str:
+    """SQL: array of (value, seed, patterns) of the spans of an array; `<` names what stands before, `<>` both sides."""
+    before = f"split(trim(translate(lower(substring(text, int(greatest(1, s.start + 1 - {CONTEXT})), int(least({CONTEXT}, s.start)))), '0123456789\t\n\r', '0000000000   ')), ' +')"
+    after = f"split(trim(translate(lower(substring(text, int(s.end + 1), {CONTEXT})), '0123456789\t\n\r', '0000000000   ')), ' +')"
+    # The words next to the span come first; what is cut off at the window's edge is the last of many.
+    near = f"named_struct('b', reverse({before}), 'a', {after})"
+    patterns = """transform(array(w), c -> filter(array(
+        if(size(c.b) > 1, concat('< ', c.b[1], ' ', c.b[0]), null),
+        if(size(c.b) > 2, concat('< ', c.b[2], ' ', c.b[1], ' ', c.b[0]), null),
+        if(c.b[0] <> '' and c.a[0] <> '', concat('<> ', c.b[0], ' | ', c.a[0]), null),
+        if(c.b[0] rlike '[a-z][^a-z ]*[:=#]$', concat('< ', c.b[0]), null)), p -> p is not null))[0]"""
+    return f"transform({of}, s -> transform(array({near}), w -> named_struct('value', s.value, 'seed', s.rank < {RANKS[ADDED_KIND]}, 'patterns', {patterns}))[0])"
+
+
+RANKS = {kind: k for k, kind in enumerate([*PATTERNS, SECRET_KIND, ADDED_KIND])}
+
+
 def spans_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, seeds, others): spans of the fixed patterns, and identifier-like spans outside them."""
+    """(doc_id, text_key, seeds, secrets, others, contexts): spans of the fixed patterns, assigned secrets, identifier-like spans outside both."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("seeds", F.expr(seeds_sql()))
-    others = f"""filter(transform({found(IDENTIFIER, '[0-9]')}, s -> named_struct('start', s.start, 'rank', {len(PATTERNS)}, 'end', s.end, 'kind', '{ADDED_KIND}', 'value', s.value)),
-        s -> not exists(seeds, t -> t.start < s.end and s.start < t.end))"""
-    rows = rows.withColumn("others", F.expr(others))
-    before = f"regexp_extract(substring(text, int(greatest(1, s.start + 1 - {CONTEXT})), int(least({CONTEXT}, s.start))), r'([^\\x20\\x09-\\x0D]+)[\\x20\\x09-\\x0D]*$', 1)"
-    after = f"regexp_extract(substring(text, int(s.end + 1), {CONTEXT}), r'^[^\\x20\\x09-\\x0D]{{0,2}}[\\x20\\x09-\\x0D]*([^\\x20\\x09-\\x0D]+)', 1)"
-    contexts = f"transform(concat(seeds, others), s -> named_struct('value', s.value, 'seed', s.rank < {len(PATTERNS)}, 'patterns', array('<' || lower({before}), '>' || lower({after}))))"
-    return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "seeds", "others", F.expr(contexts).alias("contexts"))
+    rows = rows.withColumn("secrets", F.expr(outside(found(SECRET, SECRET_NAME), SECRET_KIND, RANKS[SECRET_KIND], "seeds")))
+    rows = rows.withColumn("others", F.expr(outside(found(IDENTIFIER, "[0-9]"), ADDED_KIND, RANKS[ADDED_KIND], "concat(seeds, secrets)")))
+    return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "seeds", "secrets", "others", F.expr(context_sql("concat(seeds, secrets, others)")).alias("contexts"))
 
 
 def graph(spans: DataFrame) -> DataFrame:
     """(value, seed, pattern, n): how often an instance stands in a pattern."""
     each = spans.select(F.explode("contexts").alias("c")).select("c.value", "c.seed", F.explode("c.patterns").alias("pattern"))
-    return each.where(F.length("pattern") > 1).groupBy("value", "seed", "pattern").agg(F.count("*").alias("n"))
-
-
-def confident(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(value, score) of the instances that are no seeds and stand in a confident pattern."""
-    scores = edges.select("value", "seed", "pattern", "n", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score"))
-    best = None
-    for k in range(rounds):
-        # Doubles are summed after rounding, so that reruns agree.
-        mass = F.sum(F.round(F.col("n") * F.col("score"), 6).cast("decimal(38,6)")).cast("double")
-        patterns = scores.groupBy("pattern").agg(
-            (mass / (F.sum("n") + F.lit(SMOOTHING))).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("seeds")
-        )
-        trusted = patterns.where((F.col("confidence") >= CONFIDENT) & (F.col("seeds") >= LEAST_SEEDS))
-        best = scores.join(trusted, "pattern").groupBy("value", "seed").agg(F.max("confidence").alias("best"))
-        if k + 1 < rounds:
-            scores = durable(
-                edges.join(best, ["value", "seed"], "left").select("value", "seed", "pattern", "n", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"))
-            )
-    return best.where(~F.col("seed")).select("value", F.col("best").alias("score"))
+    return each.groupBy("value", "seed", "pattern").agg(F.count("*").alias("n"))
+
+
+def trusted(scores: DataFrame) -> DataFrame:
+    """(pattern, confidence) of the patterns that edges with scores make trusted; the sums are exact."""
+    mass = F.sum(F.col("n") * F.col("score").cast(f"decimal(12,{PLACES})")).cast("double")
+    patterns = scores.groupBy("pattern").agg(
+        F.round(mass / (F.sum("n") + F.lit(SMOOTHING)), PLACES).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("seeds")
+    )
+    return patterns.where((F.col("confidence") >= CONFIDENT) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern", "confidence")
+
+
+def confident(edges: DataFrame) -> DataFrame:
+    """(value, score) of the instances that are no seeds and stand in a trusted pattern, at the fixed point."""
+    first = F.when(F.col("seed"), 1.0).otherwise(0.0)
+    scores, mark = edges.withColumn("score", first), None
+    while True:
+        kept = durable(trusted(scores))
+        seen = kept.agg(F.count("*"), F.sum(F.col("confidence").cast(f"decimal(12,{PLACES})"))).first()
+        best = edges.where(~F.col("seed")).join(bounded(kept), "pattern").groupBy("value").agg(F.max("confidence").alias("best"))
+        if mark == tuple(seen):
+            return best.select("value", F.col("best").alias("score"))
+        mark, best = tuple(seen), durable(best)
+        scores = edges.join(bounded(best), "value", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0)))).drop("best")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, seeds, added): spans (start, rank, end, kind, value) for each row of docs (doc_id, text)."""
-    spans = durable(spans_of(docs))
-    accepted = confident(durable(graph(spans)))
-    places = spans.where(F.size("others") > 0).select("doc_id", "text_key", F.explode("others").alias("s")).distinct()
-    held = places.join(accepted, F.col("s.value") == accepted["value"])
-    added = held.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("s")).alias("added"))  # spans of one text
-    added = added.withColumnsRenamed({"doc_id": "to_id", "text_key": "to_key"})
-    same = F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("text_key") == F.col("to_key"))
-    return spans.join(added, same, "left").select("doc_id", "seeds", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"))
+    spans = durable(spans_of(docs).withColumn("id_key", F.xxhash64("doc_id")))
+    accepted = durable(confident(durable(graph(spans))))
+    places = spans.where(F.size("others") > 0).select("id_key", "text_key", F.explode("others").alias("s")).distinct()
+    held = places.join(bounded(accepted), F.col("s.value") == accepted["value"])
+    ids = durable(held.groupBy("id_key", "text_key").agg(F.collect_list("s").alias("ids")))  # spans of one text
+    added = F.array_sort(F.concat("secrets", F.coalesce("ids", F.array().cast(f"array<{SPAN}>"))))
+    return spans.join(bounded(ids), ["id_key", "text_key"], "left").select("doc_id", "seeds", added.alias("added"))
 
 
 def listed(spans: Column) -> Column:

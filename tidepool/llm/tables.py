@@ -12,6 +12,8 @@ from tidepool.session import shared_folder, spread
 
 #: Rows of a small table that a broadcast may hold.
 SMALL_ROWS = 200_000
+#: Copies that one task makes of one row.
+DEALT = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,3 +59,12 @@ def distinct_rows(docs: DataFrame, columns: list[str] | None = None) -> DataFram
     """
     keyed = docs.select("*", *row_keys(docs, columns))
     return keyed.dropDuplicates(["__a", "__b"])
+
+
+def dealt(rows: DataFrame, times: Column, nth: str, by: list[str]) -> DataFrame:
+    """Rows as often as times says, numbered from 1; more than DEALT copies are made in blocks, dealt to tasks by ``by``."""
+    few = rows.where(times <= DEALT).withColumn(nth, F.explode(F.sequence(F.lit(1), times.cast("long"), F.lit(1))))
+    blocks = rows.where(times > DEALT).withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / F.lit(DEALT)).cast("long"))))
+    blocks = blocks.repartition(*by, "__block")
+    many = blocks.withColumn(nth, F.explode(F.sequence(F.col("__block") * DEALT + 1, F.least(times.cast("long"), (F.col("__block") + 1) * DEALT)))).drop("__block")
+    return few.unionByName(many)
