@@ -249,14 +249,37 @@ def test_records_and_jobs(spark):
     assert rows.count() == 1 and (r.item_key, r.title, r.category, r.content_text, r.duration) == ("radios:1", "T", "cat", "a\nb", 12.5)
     assert [u.nickname for u in r.users] == ["N"] and [t.title for t in r.media[0].timelines] == ["early", "late"]
     jobs = {j.job_id: j for j in records.media_jobs(rows).collect()}
-    assert set(jobs) == {"radios:1:speech:1", "radios:1:item:9", "radios:1:timeline:2"} and jobs["radios:1:timeline:2"].transcript_status == "skipped" and jobs["radios:1:item:9"].relpath.endswith("/9.mp3")
+    asset, medium = "radios:1:item:1:timeline:2:asset", "radios:1:item:1:media:9"
+    assert set(jobs) == {"radios:1:item:1:speech", medium, asset} and jobs[asset].transcript_status == "skipped" and jobs[medium].relpath == "downloads/radios/1/item/1/9.mp3"
+    assert jobs[asset].segment_title == "late" and jobs[asset].relpath == "downloads/radios/1/timeline/2/2_asset.png"
     assert "cat" in records.hot_words_of(rows).first().terms
 
 
+ALBUM = """{"data": {"type": "albums", "id": "5", "attributes": {"title": "A", "duration": "9"}, "relationships": {"published-radios": {"data": [{"type": "radios", "id": "c"}]}, "media": {"data": {"type": "medias", "id": "own"}}}},
+"included": [{"type": "radios", "id": "c", "attributes": {"title": "C", "published-at": "2024", "duration": "7"}, "relationships": {"media": {"data": [{"type": "medias", "id": "t"}, {"type": "medias", "id": "v"}, {"type": "medias", "id": "p"}, {"type": "medias", "id": "x"}, {"type": "medias", "id": "o"}]}}},
+{"type": "medias", "id": "own", "attributes": {"media-type": "audio", "audio": "a.mp3"}},
+{"type": "medias", "id": "t", "attributes": {"media-type": "taptap", "playlist": "/p.m3u8"}}, {"type": "medias", "id": "v", "attributes": {"media-type": "vod"}}, {"type": "medias", "id": "p", "attributes": {"media-type": "hls", "playlist": "//h/q.m3u8"}},
+{"type": "medias", "id": "x", "attributes": {"media-type": "protected_audio", "original-src": "y"}, "relationships": {"timelines": {"data": [{"type": "timelines", "id": "z"}]}}}, {"type": "timelines", "id": "z", "attributes": {"asset": "i.png"}}, {"type": "medias", "id": "o", "attributes": {"media-type": "video", "original-src": "/v.mp4"}}]}"""
+
+
+def test_chapters_and_all_sources(spark):
+    site = records.Site("https://s.example", "https://img.example", "https://aud.example")
+    answers = {"t": ("taptap", "https://m/x.m3u8", None), "v": ("vod", None, "key")}
+    raw = spark.createDataFrame([(ALBUM, answers)], f"raw string, answers map<string,{records.RESOLVED}>").select(records.parse_document(F.col("raw")).alias("document"), "answers")
+    rows = records.normalize_documents(raw, site=site, resolved="answers")
+    r = rows.first()
+    assert r.url == "https://s.example/albums/5" and r.chapters[0].url == "https://s.example/radios/c" and r.media[0].audio_url == "https://aud.example/a.mp3"
+    got = {j.media_id: (j.segment_type, j.access_mode, j.media_url, j.play_auth, j.duration, j.chapter_index) for j in records.media_jobs(rows).collect()}
+    assert got == {
+        "own": ("item", "audio_url", "https://aud.example/a.mp3", None, 9.0, None), "t": ("chapter", "m3u8", "https://m/x.m3u8", None, 7.0, 1), "v": ("chapter", "play_auth", None, "key", 7.0, 1),
+        "p": ("chapter", "playlist_url", "https://h/q.m3u8", None, 7.0, 1), "o": ("chapter", "original_src", "https://s.example/v.mp4", None, 7.0, 1), "z_asset": ("timeline", "asset_url", "https://img.example/i.png", None, None, 1),
+    }
+
+
 def test_search_end_to_end(spark, tmp_path):
     from tidepool.functions.embed import HashProvider, hash_embed
     from tidepool.operators.documents import build_documents
-    from tidepool.plans.search import Memory
+    from tidepool.plans.search import RESULT, Memory
 
     raw = spark.createDataFrame([(DOC,), (DOC.replace('"id": "1", "att', '"id": "2", "att').replace('"title": "T"', '"title": "Other"'),)], "raw string").select(records.parse_document(F.col("raw")).alias("document"))
     rows = records.normalize_documents(raw)
@@ -269,6 +292,9 @@ def test_search_end_to_end(spark, tmp_path):
     found, how = memory.search("price", limit=3)
     best = found.first()
     assert not how["degraded"] and best.item_key == "radios:1" and "price" in best.matched_terms and best.rerank_score > 0
+    assert found.columns == list(RESULT) and best.neighbor_atoms and best.display_timestamp and best.match_details[0].kind == "keyword" and best.source_url is None
+    shown, _ = Memory(docs, items=rows.withColumn("cover_url", F.lit("c.png"))).search("price", limit=1)
+    assert shown.first().cover_url == "c.png" and shown.first().duration == 12.5
     lexical, how = Memory(docs).search("price", limit=3)
     assert how["degraded_reason"] == "semantic_recall_unavailable" and lexical.first().item_key == "radios:1"
     assert memory.participants().first()["name"] == "N" and memory.meta()["items"] == 2 and memory.episode_details("radios:1").count() == 5
@@ -319,3 +345,70 @@ def test_nearest_in_blocks(spark, monkeypatch):
         best = sorted((-round(sum(a * b for a, b in zip(q, v)), 9), j) for j, v in vectors)[:3]
         want += [(i, n + 1, j) for n, (_, j) in enumerate(best)]
     assert got == sorted(want)
+
+
+def test_index_is_built_and_synced(spark, tmp_path):
+    from tidepool.plans.indexing import sync_index
+
+    raw = spark.createDataFrame([(DOC,), (DOC.replace('"id": "1", "att', '"id": "2", "att'),)], "raw string").select(records.parse_document(F.col("raw")).alias("document"))
+    rows = records.normalize_documents(raw)
+    items = spark.createDataFrame([("radios:1", "2024-01-01T10:00:00+08:00"), ("radios:2", "2024-01-02"), ("radios:3", "2024-01-03")], "item_key string, updated_at string")
+    said = [(f"radios:{i}", "2024-01-01T03:00:00Z", [(k * 9000, k * 9000 + 8000, f"segment {k}", None) for k in range(6)] if i < 4 else None) for i in (1, 2, 3)]
+    transcripts = spark.createDataFrame(said, f"item_key string, updated_at string, segments array<{segments.SEGMENT}>")
+    docs = spark.createDataFrame([], "doc_id string, doc_type string, item_key string, collection_name string")
+    jobs = spark.createDataFrame([], "job_key string, item_key string, transcript_id string, job_type string, payload_json string, attempt_count int, status string, last_error string, updated_at string, completed_at string")
+    one = sync_index(docs, jobs, items, rows, transcripts, "c", "t1")
+    assert one.indexed == 2 and {r.item_key: r.error for r in one.errors.collect()} == {"radios:3": "no normalised record"} and one.mark == "2024-01-01T03:00:00Z"
+    assert {(r.item_key, r.status, r.attempt_count) for r in one.jobs.collect()} == {("radios:1", "completed", 1), ("radios:2", "completed", 1), ("radios:3", "error", 1)}
+    held = one.documents.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else one.documents
+    two = sync_index(held, one.jobs, items, rows, transcripts, "c", "t2", since="2024-01-01T12:30:00+08:00")
+    # Later than half past four in the morning, UTC: the second item by its own time, the third by its own as well, or as it has no title.
+    assert two.indexed == 1 and {r.item_key: r.attempt_count for r in two.jobs.collect()} == {"radios:1": 1, "radios:2": 2, "radios:3": 2}
+
+
+def test_overlapping_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, i % 2, a, a + rng.choice([0, 10, 3000, 200_000, 10**9])) for i, a in enumerate(rng.randint(0, 10**6) for _ in range(120))]
+    got = Counter((r.id, r.other) for r in context.overlapping(spark.createDataFrame(rows, "id int, k int, a long, b long"), ["k"], "id", "a", "b").collect())
+    want = Counter((x[0], y[0]) for x in rows for y in rows if x[0] != y[0] and x[1] == y[1] and y[2] <= x[3] and y[3] >= x[2])
+    assert got == want
+
+
+def test_web(spark):
+    from tidepool.functions import web
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(web.highlight(F.lit("a<b & b"), ["b", "a<b"])) == "<mark>a&lt;<mark>b</mark></mark> &amp; <mark>b</mark>"
+    assert one(web.overlap_terms("abcdefg xyz", F.lit("..bcdefg..xy.."))) == ["bcdefg", "xy"] and one(web.overlap_terms("什么", F.lit("什么"))) == []
+    assert one(web.version(F.lit("1.x.10"))) == [1, 0, 10] and one(web.media_suffix(F.lit("https://h.x/a/b.MP3?q=1.z"))) == ".MP3" and one(web.media_suffix(F.lit("https://h.x"))) == ""
+    assert one(web.media_url_fault(F.lit("https://a.h.x/i"), "h.x")) is None and one(web.json_object(F.lit("[1]"))) is None
+    assert one(web.timestamp(F.lit("2024"))) is None and str(one(web.timestamp(F.lit("2024-01-01T08:00:00+0800"))))[:10] == "2024-01-01"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from tidepool.__main__ import main
+
+    (tmp_path / "raw.jsonl").write_text(DOC.replace("\n", "") + "\n")
+    main(["normalize", f"{tmp_path}/raw.jsonl", f"{tmp_path}/records"])
+    rows = spark.read.parquet(f"{tmp_path}/records")
+    rows.drop("item_key").withColumn("type", F.lit("radios")).coalesce(1).write.json(f"{tmp_path}/files/radios")
+    spark.createDataFrame([("radios:1", [(k * 9000, k * 9000 + 8000, f"price {k}", None) for k in range(6)])], f"item_key string, segments array<{segments.SEGMENT}>").write.parquet(f"{tmp_path}/said")
+    main(["build-index", f"{tmp_path}/files", f"{tmp_path}/said", f"{tmp_path}/index", "--collection", "c"])
+    main(["search", f"{tmp_path}/index", "price", "--limit", "2"])
+    found = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert found["results"][0]["item_key"] == "radios:1" and len(found["results"][0]) == 34
+    main(["participants", f"{tmp_path}/index"])
+    assert json.loads(capsys.readouterr().out)["name"] == "N"
+    main(["set-state", f"{tmp_path}/log", "k", "1", "--payload", '{"a": 1}'])
+    main(["state", f"{tmp_path}/log", "k"])
+    assert '{\\"a\\": 1}' in capsys.readouterr().out
+    main(["media-jobs", f"{tmp_path}/files", f"{tmp_path}/jobs"])
+    main(["queue", f"{tmp_path}/jobs", "download", "--limit", "1"])
+    assert json.loads(capsys.readouterr().out)["transcript_status"] == "pending"
+    main(["export-bundle", f"{tmp_path}/index", f"{tmp_path}/bundle", "--collection", "c"])
+    assert json.loads(capsys.readouterr().out)["documents"] > 3
+    main(["copy-vectors", f"{tmp_path}/index/vectors", f"{tmp_path}/copied", "c", "d"])
+    main(["count-vectors", f"{tmp_path}/copied", "--collection", "d"])
+    assert int(capsys.readouterr().out) == spark.read.parquet(f"{tmp_path}/index/vectors").count()

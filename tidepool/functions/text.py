@@ -43,17 +43,26 @@ def like_literal(term: str) -> str:
     return term.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
 
 
+def folded(term: str) -> str:
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in term)
+
+
+def folds_plainly(term: str) -> bool:
+    """Whether a term is found alike in text that is lower-cased as a whole: no cased letters beyond ASCII."""
+    return not any(c > "\x7f" and c.lower() != c.upper() for c in term) and "\u0307" not in term and "\x01" not in term
+
+
+def lowered(text: Column) -> Column:
+    """The whole text in lower case, the two characters whose lower case holds an ASCII letter out of the way."""
+    return F.lower(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\x01")), F.lit("\u0130"), F.lit("\x01")))
+
+
 def contains_term(text: Column, term: str) -> Column:
     """LIKE '%term%' with wildcards escaped and ASCII case folded; substring search needs no pattern.
 
-    Lower-casing the whole text is much faster than folding A-Z alone and finds the same for a term without cased
-    letters beyond ASCII, once the two characters whose lower case holds an ASCII letter are out of the way.
+    Lower-casing the whole text is much faster than folding A-Z alone and finds the same for most terms.
     """
-    held, folded = F.coalesce(text, F.lit("")), "".join(c.lower() if "A" <= c <= "Z" else c for c in term)
-    if any(c > "\x7f" and c.lower() != c.upper() for c in term) or "\u0307" in term:
-        return F.contains(fold_ascii(held), F.lit(folded))
-    plain = F.replace(F.replace(held, F.lit("\u212a"), F.lit("\x01")), F.lit("\u0130"), F.lit("\x01")) if "\x01" not in term else fold_ascii(held)
-    return F.contains(F.lower(plain), F.lit(folded))
+    return F.contains(lowered(text) if folds_plainly(term) else fold_ascii(F.coalesce(text, F.lit(""))), F.lit(folded(term)))
 
 
 def quoted_phrases(text: Column) -> Column:
@@ -70,6 +79,7 @@ def has_anchor(text: Column) -> Column:
 
 def is_low_signal(text: Column) -> Column:
     """Empty, a character 12 times in a row, a run of laughter, or at most 24 characters without a letter or digit."""
+    # The lengths of runs.
     clean = normalize(text)
     return (clean == "") | F.rlike(clean, F.lit(r"(.)\1{11,}")) | F.contains(clean, F.lit(LAUGHTER)) | ((F.regexp_replace(clean, r"(?U)[\W_]+", "") == "") & (F.length(clean) <= 24))
 
@@ -118,6 +128,12 @@ def repetition_reason(text: Column) -> Column:
     )
 
 
+def letter_grams(word: Column, sizes: Sequence[int]) -> Column:
+    """All parts of a word of the given lengths, in order of length and place."""
+    cut = lambda n: F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.concat(*[cut(n) for n in sizes])
+
+
 def sentence_units(text: Column) -> Column:
     """Stripped non-empty units: paragraphs, cut after sentence ends."""
     paragraphs = F.split(normalize_lines(text), r"\n+")
@@ -228,6 +244,7 @@ def rescue_plan(category: Column, seconds: Column) -> Column:
     """Strategy, chunk and overlap seconds, resets and priority of a second transcription attempt."""
     seconds = F.coalesce(seconds.cast("double"), F.lit(0.0))
 
+    # Fixed values below: seconds and priorities of the plans.
     def plan(strategy: Column | str, chunk: int, overlap: int, before: bool, each: bool, priority: int) -> Column:
         how = F.lit(strategy) if isinstance(strategy, str) else strategy
         return F.struct(how.alias("strategy"), F.lit(chunk).alias("chunk_seconds"), F.lit(overlap).alias("overlap_seconds"), F.lit(before).alias("reset_before"), F.lit(each).alias("reset_each_chunk"), F.lit(priority).alias("priority"))

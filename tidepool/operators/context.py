@@ -59,6 +59,31 @@ def timeline_hints(atoms: DataFrame, notes: DataFrame, reach: int = 12_000) -> D
     )
 
 
+def overlapping(rows: DataFrame, keys: Sequence[str], name: str, start: str, end: str, least: int = 1000) -> DataFrame:
+    """(keys, name, other): pairs of rows of equal keys whose closed intervals overlap, both ways round.
+
+    An interval has the level of its length, doubling from ``least``; at its own level it touches two buckets at most, and
+    it also stands in the buckets of the longer levels that occur, some forty at most. Of a pair the longer one meets the
+    other in the bucket of the later start, so a long interval is never cut into the buckets of short ones.
+    """
+    length = F.greatest(F.col(end) - F.col(start), F.lit(1)).cast("double")
+    own = F.greatest(F.lit(0), F.ceil(F.log2(length / F.lit(least)))).cast("int")
+    held = rows.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start))).select(*keys, name, start, end, own.alias("level"))
+    levels = held.select("level").distinct().withColumnRenamed("level", "at_level")  # some forty rows at most
+    width = lambda level: F.lit(least) * F.pow(F.lit(2.0), level).cast("long")
+    bucket = lambda c, level: F.floor(c / width(level)).cast("long")
+    placed = lambda df, level: df.withColumn("bucket", F.explode(F.sequence(bucket(F.col(start), F.col(level)), bucket(F.col(end), F.col(level)))))
+    longer = placed(held.withColumn("at_level", F.col("level")), "at_level").drop("level")
+    guests = held.join(F.broadcast(levels), F.col("at_level") >= F.col("level"))
+    guests = placed(guests, "at_level").select(*keys, "at_level", "bucket", F.col(name).alias("other"), F.col(start).alias("o_start"), F.col(end).alias("o_end"), F.col("level").alias("o_level"))
+    met = longer.join(guests, [*keys, "at_level", "bucket"])
+    over = (F.col(name) != F.col("other")) & (F.col("o_start") <= F.col(end)) & (F.col("o_end") >= F.col(start)) & (bucket(F.greatest(start, "o_start"), F.col("at_level")) == F.col("bucket"))
+    pairs = met.where(over)
+    # Rows of one level meet both ways round already.
+    turned = pairs.where(F.col("o_level") < F.col("at_level")).select(*keys, F.col("other").alias(name), F.col(name).alias("other"))
+    return pairs.select(*keys, name, "other").unionByName(turned)
+
+
 def lookup_ordered(docs: DataFrame, ids: Sequence, key: str = "doc_id") -> DataFrame:
     """Documents in the order of the given ids, with that position as ``pos``."""
     kind = docs.schema[key].dataType

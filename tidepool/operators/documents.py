@@ -13,9 +13,11 @@ LEAD_MS, WINDOW_MS, SHORT_ATOM = 8_000, 12_000, 30
 
 def envelope(rows: DataFrame, doc_type: str, suffix: Column, **columns: Column) -> DataFrame:
     none, no_ids = F.lit(None).cast("string"), F.array().cast("array<string>")
-    made = {"title": none, "text_raw": none, "keyword_text": none, "vector_text": none, "start_ms": F.lit(None).cast("long"), "end_ms": F.lit(None).cast("long"), "doc_index": F.lit(0), "atom_ids": no_ids} | columns
+    made = {"title": none, "text_raw": none, "keyword_text": none, "vector_text": none, "start_ms": F.lit(None).cast("long"), "end_ms": F.lit(None).cast("long"), "doc_index": F.lit(0), "atom_ids": no_ids}
+    made |= {"timeline_ms": F.lit(None).cast("long")} | dict.fromkeys(("summary", "timeline_content", "timeline_at", "asset_url", "quote_href"), none) | columns
+    of_item = {"item_id": F.col("id"), "item_url": F.col("url"), "tags": F.col("tags")}
     return rows.select(
-        F.concat_ws(":", "item_key", suffix).alias("doc_id"), F.lit(doc_type).alias("doc_type"), "item_key", F.col("item_title"), "category", "users", "published_at", *[c.alias(k) for k, c in made.items()]
+        F.concat_ws(":", "item_key", suffix).alias("doc_id"), F.lit(doc_type).alias("doc_type"), "item_key", F.col("item_title"), "category", "users", "published_at", *[c.alias(k) for k, c in (of_item | made).items()]
     )
 
 
@@ -40,7 +42,8 @@ def note_documents(records: DataFrame) -> DataFrame:
     text = lines(F.col("t.title"), F.col("t.content"))
     return envelope(
         rows, "timeline_note", F.concat(F.lit("timeline:"), F.col("t.id")), title=F.col("t.title"), text_raw=text, keyword_text=text, vector_text=lines(F.col("item_title"), F.col("t.title"), F.col("t.content")),
-        start_ms=F.greatest(F.lit(0), at - LEAD_MS).cast("long"), end_ms=at + WINDOW_MS, doc_index=F.col("nth"),
+        start_ms=F.greatest(F.lit(0), at - LEAD_MS).cast("long"), end_ms=at + WINDOW_MS, doc_index=F.col("nth"), timeline_ms=at,
+        timeline_content=F.col("t.content"), timeline_at=F.col("t.at"), asset_url=F.col("t.asset_url"), quote_href=F.col("t.quote_href"),
     )
 
 
@@ -55,13 +58,14 @@ def atom_documents(records: DataFrame, transcripts: DataFrame) -> DataFrame:
 
 def scene_documents(atoms: DataFrame) -> DataFrame:
     """Rule-based scenes over atom documents: the texts of up to eight atoms, and a summary of their first letters."""
-    packed = atoms.groupBy("item_key", "item_title", "category", "users", "published_at").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_index").alias("idx"), "start_ms", "end_ms", "doc_id", "text_raw"))).alias("a"))
+    packed = atoms.withColumnsRenamed({"item_id": "id", "item_url": "url"}).groupBy("item_key", "item_title", "category", "users", "published_at", "id", "url", "tags").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_index").alias("idx"), "start_ms", "end_ms", "doc_id", "text_raw"))).alias("a"))
     groups = fallback_scenes(F.transform("a", lambda x: F.struct(x["idx"].alias("idx"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"))))
     rows = packed.select("*", F.posexplode(groups).alias("scene", "ids")).withColumn("mine", F.filter("a", lambda x: F.array_contains("ids", x["idx"])))
     text = F.array_join(F.transform("mine", lambda x: x["text_raw"]), " ")
     return envelope(
         rows, "scene_summary", F.format_string("scene:%04d", F.col("scene")), title=F.substring(text, 1, 24), text_raw=text, keyword_text=text, vector_text=lines(F.col("item_title"), F.substring(text, 1, 280)),
         start_ms=F.array_min(F.transform("mine", lambda x: x["start_ms"])), end_ms=F.array_max(F.transform("mine", lambda x: x["end_ms"])), doc_index=F.col("scene"), atom_ids=F.transform("mine", lambda x: x["doc_id"]),
+        summary=F.substring(text, 1, 280),
     )
 
 
@@ -70,7 +74,7 @@ def card_documents(records: DataFrame, scenes: DataFrame) -> DataFrame:
     told = scenes.groupBy("item_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_index", "title"))), lambda s: s["title"]).alias("told"))
     rows = headed(records).join(told, "item_key")
     text = lines(F.col("title"), F.col("excerpt"), F.array_join("told", "，"))
-    return envelope(rows, "episode_card", F.lit("episode:0000"), title=F.col("title"), text_raw=text, keyword_text=text, vector_text=F.substring(text, 1, 280))
+    return envelope(rows, "episode_card", F.lit("episode:0000"), title=F.col("title"), text_raw=text, keyword_text=text, vector_text=F.substring(text, 1, 280), summary=F.substring(text, 1, 280))
 
 
 def build_documents(records: DataFrame, transcripts: DataFrame) -> DataFrame:

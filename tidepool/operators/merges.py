@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.functions.text import classify_error, rescue_plan
+from tidepool.functions.web import timestamp
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """New rows, and the old ones whose key no new row has."""
@@ -79,20 +82,73 @@ def transcription_order() -> list[Column]:
     return [F.when(F.col("duration").isNull(), 1).otherwise(0), F.asc("duration"), F.desc_nulls_last("published_at"), F.asc("job_id")]
 
 
+def rescue_order() -> list[Column]:
+    """Failed first, known durations first, shortest first, newest, id."""
+    return [F.when(F.col("status") == "error", 0).otherwise(1), *transcription_order()]
+
+
+def failed_transcriptions(jobs: DataFrame, job_ids: Sequence[str] = (), content_type: str = "radios") -> DataFrame:
+    """Downloaded audio whose transcription failed, last changed first, longest first."""
+    failed = (F.col("status") == "downloaded") & (F.col("content_type") == content_type) & (F.col("media_type") == "audio") & (F.col("transcript_status") == "error")
+    rows = jobs.where(failed)
+    rows = rows.where(F.col("job_id").isin(*job_ids)) if job_ids else rows
+    return rows.orderBy(F.desc_nulls_last("updated_at"), F.desc_nulls_last("duration"), F.desc_nulls_last("published_at"), F.asc("job_id"))
+
+
+def submitted_transcriptions(jobs: DataFrame, job_ids: Sequence[str] = ()) -> DataFrame:
+    rows = jobs.where(F.col("transcript_status") == "submitted")
+    rows = rows.where(F.col("job_id").isin(*job_ids)) if job_ids else rows
+    return rows.orderBy(F.desc_nulls_last("published_at"), F.asc("job_id"))
+
+
+def remote_transcriptions(jobs: DataFrame, job_ids: Sequence[str] = (), include_errors: bool = False) -> DataFrame:
+    """Audio with an address that waits for a remote transcription, newest first."""
+    waiting = F.col("transcript_status").isin("pending", "error") if include_errors else F.col("transcript_status") == "pending"
+    rows = jobs.where(F.col("media_type").isin("audio", "speech") & F.col("media_url").isNotNull() & waiting)
+    rows = rows.where(F.col("job_id").isin(*job_ids)) if job_ids else rows
+    return rows.orderBy(F.desc_nulls_last("published_at"), F.asc("job_id"))
+
+
+def rescue_jobs(jobs: DataFrame, limit: int, categories: Sequence[str] = (), job_ids: Sequence[str] = ()) -> DataFrame:
+    """Failed transcriptions by the priority of their second attempt, longest first; categories filter before the limit."""
+    category = classify_error(F.col("transcript_error"))
+    rows = failed_transcriptions(jobs, job_ids).withColumn("category", category).withColumn("priority", rescue_plan(F.col("category"), F.col("duration"))["priority"])
+    rows = rows.where(F.col("category").isin(*categories)) if categories else rows
+    return rows.orderBy("priority", F.desc(F.coalesce("duration", F.lit(0.0))), F.coalesce("updated_at", F.lit("")), "job_id").limit(limit)
+
+
+def repairable(jobs: DataFrame, prefixes: Sequence[str], items: Sequence[str] = (), job_ids: Sequence[str] = ()) -> DataFrame:
+    """Failed audio transcripts that were written, with an error that begins with one of the prefixes."""
+    begins = F.lit(False)
+    for p in prefixes:
+        begins = begins | F.startswith(F.lower(F.col("transcript_error")), F.lit(p.lower()))
+    rows = jobs.where((F.col("media_type") == "audio") & (F.col("transcript_status") == "error") & F.col("transcript_path").isNotNull() & begins)
+    rows = rows.where(F.col("item_key").isin(*items)) if items else rows
+    return rows.where(F.col("job_id").isin(*job_ids)) if job_ids else rows
+
+
+def chronological(results: DataFrame) -> DataFrame:
+    """Results by when what they point to was published, plus their offset; undated ones last."""
+    at = F.unix_millis(timestamp(F.coalesce("published_at", "timeline_at"))) + F.coalesce("start_ms", "timeline_ms", F.lit(0))
+    return results.orderBy(at.asc_nulls_last(), F.asc("doc_id"))
+
+
 def index_candidates(items: DataFrame, transcripts: DataFrame, title_docs: DataFrame, since: str | None = None, need_transcript: bool = True, official_owner: str | None = None) -> DataFrame:
     """Items to index, with their latest transcript: those changed since a mark, or with newer transcripts, or without a title document.
 
-    Transcripts are aggregated before the join, so nothing fans out.
+    Transcripts are aggregated before the join, so nothing fans out. Times are compared as times, whatever their offset.
     """
-    newest = transcripts.groupBy("item_key").agg(F.max("updated_at").alias("transcript_updated_at"))
+    newest = transcripts.groupBy("item_key").agg(F.max_by("updated_at", timestamp(F.col("updated_at"))).alias("transcript_updated_at"))
     rows = items.join(newest, "item_key", "inner" if need_transcript else "left")
     if official_owner is not None:
         rows = rows.where((F.coalesce("owner_type", F.lit("")) == official_owner) & F.coalesce("option_is_official", F.lit(False)))
     if since is not None:
         titled = title_docs.select("item_key").distinct().withColumn("titled", F.lit(True))
-        rows = rows.join(titled, "item_key", "left").where((F.col("updated_at") > since) | (F.col("transcript_updated_at") > since) | F.col("titled").isNull()).drop("titled")
-    last = F.coalesce("transcript_updated_at", "updated_at")
-    return rows.orderBy(F.col("transcript_updated_at").isNull(), last.desc(), "item_key")
+        mark = timestamp(F.lit(since))
+        later = lambda c: F.coalesce(timestamp(F.col(c)) > mark, F.lit(False))
+        rows = rows.join(titled, "item_key", "left").where(later("updated_at") | later("transcript_updated_at") | F.col("titled").isNull()).drop("titled")
+    last = timestamp(F.coalesce("transcript_updated_at", "updated_at"))
+    return rows.orderBy(F.col("transcript_updated_at").isNull(), last.desc_nulls_last(), "item_key")
 
 
 def bridge_done(existing: DataFrame, results: DataFrame, accepted: Sequence[str], full: bool = False) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import guess_extension, media_source
+from tidepool.functions.web import absolute_url, asset_url, entry_url
 
 ATTRIBUTES = "map<string,string>"
 REF = "struct<type:string,id:string>"
@@ -49,59 +51,132 @@ def rich_text(content: Column) -> Column:
     return F.coalesce(F.array_join(texts, "\n"), F.lit(""))
 
 
-def timelines(medium: Column, included: Column) -> Column:
+@dataclass(frozen=True)
+class Site:
+    """Where a site's pages and assets are; without bases addresses stay as they are given."""
+
+    base: str | None = None
+    images: str | None = None
+    audio: str | None = None
+    kinds: tuple[str, ...] = ("articles", "radios", "videos", "albums", "talks", "topics", "games")
+    official_flag: str = "is-official"
+
+
+#: What providers answered for protected media, by medium; unknown until a connector has asked them.
+RESOLVED = "struct<provider:string,m3u8:string,play_auth:string>"
+
+
+def timelines(medium: Column, included: Column, site: Site = Site()) -> Column:
     made = F.transform(
         related(medium, included, "timelines"),
-        lambda t: F.struct(F.coalesce(attribute(t, "at").try_cast("double").cast("bigint"), F.lit(0)).alias("order"), t["id"].alias("id"), attribute(t, "at").alias("at"), attribute(t, "title").alias("title"), attribute(t, "content").alias("content"), attribute(t, "asset").alias("asset_url"), attribute(t, "quote-href").alias("quote_href")),
-    )
+        lambda t: F.struct(
+            F.coalesce(attribute(t, "at").try_cast("double").cast("bigint"), F.lit(0)).alias("order"), t["id"].alias("id"), attribute(t, "at").alias("at"), attribute(t, "title").alias("title"),
+            attribute(t, "content").alias("content"), asset_url(attribute(t, "asset"), site.images).alias("asset_url"), attribute(t, "quote-href").alias("quote_href"), attribute(t, "comments-count").try_cast("bigint").alias("comments_count"),
+        ),
+    )
     return F.transform(F.array_sort(made, lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0)), lambda t: t.dropFields("order"))
 
 
-def normalize_documents(rows: DataFrame, column: str = "document") -> DataFrame:
-    """Records of parsed documents: attributes as columns, relationships resolved within the row."""
-    data, included = F.col(f"{column}.data"), F.col(f"{column}.included")
-    a = lambda name: attribute(data, name)
-    flag = lambda name: a(name).try_cast("boolean")
-    names = lambda rel: F.filter(F.transform(related(data, included, rel), lambda o: attribute(o, "name")), lambda n: F.coalesce(n, F.lit("")) != "")
-    users = F.transform(related(data, included, "user"), lambda u: F.struct(u["id"].alias("id"), attribute(u, "nickname").alias("nickname"), F.coalesce(attribute(u, "is-official").try_cast("boolean"), F.lit(False)).alias("is_official")))
-    media = F.transform(
-        F.concat(related(data, included, "media"), related(data, included, "medias")),
+def label(o: Column) -> Column:
+    """An included object's name, or else its title."""
+    given = lambda name: F.nullif(attribute(o, name), F.lit(""))
+    return F.coalesce(given("name"), given("title"))
+
+
+def media_of(owner: Column, included: Column, site: Site = Site(), resolved: Column | None = None) -> Column:
+    """Media of a record or chapter; ``resolved`` is a map from a medium's id to RESOLVED."""
+    answer = lambda m: F.lit(None).cast(RESOLVED) if resolved is None else F.try_element_at(resolved, m["id"])
+    return F.transform(
+        F.concat(related(owner, included, "media"), related(owner, included, "medias")),
         lambda m: F.struct(
             m["id"].alias("id"), m["type"].alias("type"), attribute(m, "media-type").alias("media_type"), attribute(m, "title").alias("title"), attribute(m, "duration").try_cast("double").alias("duration"),
-            attribute(m, "audio").alias("audio_url"), attribute(m, "original-src").alias("original_src"), attribute(m, "playlist").alias("playlist_url"), timelines(m, included).alias("timelines"),
+            attribute(m, "created-at").alias("created_at"), asset_url(attribute(m, "audio"), site.audio).alias("audio_url"), absolute_url(attribute(m, "original-src"), site.base).alias("original_src"),
+            absolute_url(attribute(m, "playlist"), site.base).alias("playlist_url"), attribute(m, "vod-file-id").alias("vod_file_id"), attribute(m, "process-state").alias("process_state"),
+            timelines(m, included, site).alias("timelines"), answer(m).alias("resolved"),
+        ),
+    )
+
+
+def chapters_of(owner: Column, included: Column, site: Site = Site(), resolved: Column | None = None) -> Column:
+    """An album's chapters with their media."""
+    given = lambda o, name: attribute(o, name)
+    listed = related(owner, included, "published-radios")
+    return F.transform(
+        F.when(F.size(listed) > 0, listed).otherwise(related(owner, included, "radios")),
+        lambda c: F.struct(
+            c["id"].alias("id"), c["type"].alias("type"), (entry_url(F.lit("radios"), c["id"], site.base, site.kinds) if site.base else F.lit(None).cast("string")).alias("url"), given(c, "title").alias("title"),
+            given(c, "excerpt").alias("excerpt"), given(c, "published-at").alias("published_at"), given(c, "duration").try_cast("double").alias("duration"), given(c, "is-free").try_cast("boolean").alias("is_free"),
+            rich_text(given(c, "content")).alias("content_text"), media_of(c, included, site, resolved).alias("media"),
         ),
     )
+
+
+def named_records(owner: Column, included: Column, name: str) -> Column:
+    """(id, type, title, name) of related objects."""
+    return F.transform(related(owner, included, name), lambda o: F.struct(o["id"].alias("id"), o["type"].alias("type"), attribute(o, "title").alias("title"), attribute(o, "name").alias("name")))
+
+
+def normalize_documents(rows: DataFrame, column: str = "document", site: Site = Site(), resolved: str | None = None) -> DataFrame:
+    """Records of parsed documents: attributes as columns, relationships resolved within the row.
+
+    ``resolved`` names a column of rows, a map from a medium's id to what its provider answered.
+    """
+    data, included = F.col(f"{column}.data"), F.col(f"{column}.included")
+    a = lambda name: attribute(data, name)
+    flag = lambda name: a(name).try_cast("boolean")
+    names = lambda rel: F.array_compact(F.transform(related(data, included, rel), label))
+    people = F.concat(related(data, included, "user"), related(data, included, "djs"))
+    users = F.array_distinct(F.transform(people, lambda u: F.struct(u["id"].alias("id"), attribute(u, "nickname").alias("nickname"), F.coalesce(attribute(u, site.official_flag).try_cast("boolean"), F.lit(False)).alias("is_official"))))
+    answers = None if resolved is None else F.col(resolved)
+    url = entry_url(data["type"], data["id"], site.base, site.kinds) if site.base else F.lit(None).cast("string")
     return rows.where(data.isNotNull()).select(
-        F.concat_ws(":", data["type"], data["id"]).alias("item_key"), data["id"].alias("id"), data["type"].alias("type"), a("title").alias("title"), a("excerpt").alias("excerpt"), a("desc").alias("desc"), a("published-at").alias("published_at"),
-        a("duration").try_cast("double").alias("duration"), flag("is-free").alias("is_free"), a("owner-type").alias("owner_type"), flag("option-is-official").alias("option_is_official"), flag("is-official").alias("is_official"),
-        rich_text(a("content")).alias("content_text"), F.get(names("category"), F.lit(0)).alias("category"), names("tags").alias("tags"), users.alias("users"), media.alias("media"), a("speech-path").alias("speech_audio_url"),
+        F.concat_ws(":", data["type"], data["id"]).alias("item_key"), data["id"].alias("id"), data["type"].alias("type"), url.alias("url"), a("title").alias("title"), a("excerpt").alias("excerpt"), a("desc").alias("desc"),
+        a("published-at").alias("published_at"), a("created-at").alias("created_at"), a("duration").try_cast("double").alias("duration"), flag("is-free").alias("is_free"), a("owner-type").alias("owner_type"),
+        flag("option-is-official").alias("option_is_official"), flag("is-official").alias("is_official"), asset_url(a("cover"), site.images).alias("cover_url"), asset_url(a("thumb"), site.images).alias("thumb_url"),
+        asset_url(a("speech-path"), site.audio).alias("speech_audio_url"), rich_text(a("content")).alias("content_text"), F.get(names("category"), F.lit(0)).alias("category"), names("tags").alias("tags"), users.alias("users"),
+        named_records(data, included, "albums").alias("albums"), named_records(data, included, "djs").alias("djs"), media_of(data, included, site, answers).alias("media"), chapters_of(data, included, site, answers).alias("chapters"),
     )
 
 
-def media_jobs(records: DataFrame) -> DataFrame:
-    """A job for each speech, medium and timeline asset of records, with its source and its place on disk."""
+def media_jobs(records: DataFrame, include_speech: bool = True) -> DataFrame:
+    """A job for each speech, medium and timeline asset of records and their chapters, with its source and its place on disk."""
     none = F.lit(None).cast("string")
-    base = ["item_key", "published_at"]
-    speech = records.where(F.coalesce("speech_audio_url", F.lit("")) != "").select(
-        *base, F.lit("speech").alias("segment_type"), F.col("id").alias("media_id"), F.lit("speech").alias("media_type"), F.lit("audio_url").alias("access_mode"), F.col("speech_audio_url").alias("media_url"), F.lit("direct").alias("download_method"), F.col("duration")
-    )
-    each = records.select(*base, F.explode("media").alias("m"))
-    source = media_source(F.col("m.audio_url"), F.col("m.media_type"), none, none, none, F.col("m.original_src"), F.col("m.playlist_url"))
+    whole = ["item_key", "type", "id"]
+    names = [*whole, "item_title", "published_at", "url", "duration"]
+    owned = records.withColumn("item_title", F.col("title"))
+    job = lambda *rest: F.concat_ws(":", *whole[1:], *rest)
+    of_item = owned.select(*names, F.lit("item").alias("kind"), F.col("id").alias("part_id"), F.col("title").alias("part_title"), F.col("url").alias("part_url"), none.alias("part_published"), F.lit(None).cast("double").alias("part_duration"), F.lit(None).cast("int").alias("chapter_index"), "media")
+    parts = of_item
+    if "chapters" in records.columns:
+        c = owned.select(*names, F.posexplode("chapters").alias("nth", "c"))
+        parts = parts.unionByName(
+            c.select(*names, F.lit("chapter").alias("kind"), F.col("c.id").alias("part_id"), F.col("c.title").alias("part_title"), F.col("c.url").alias("part_url"),
+                     F.col("c.published_at").alias("part_published"), F.col("c.duration").cast("double").alias("part_duration"), (F.col("nth") + 1).alias("chapter_index"), F.col("c.media").alias("media"))
+        )
+    parts = parts.withColumns({"published_at": F.coalesce("part_published", "published_at"), "part_url": F.coalesce("part_url", "url")})
+    each = parts.withColumn("m", F.explode("media")).drop("media")
+    resolved = F.col("m.resolved")
+    source = media_source(F.col("m.audio_url"), F.col("m.media_type"), resolved["provider"], resolved["m3u8"], resolved["play_auth"], F.col("m.original_src"), F.col("m.playlist_url"))
+    shared = [*whole, "item_title", "published_at", "chapter_index"]
     media = each.withColumn("s", source).where(F.col("s").isNotNull()).select(
-        *base, F.lit("item").alias("segment_type"), F.col("m.id").alias("media_id"), F.col("m.media_type").alias("media_type"), F.col("s.access_mode"), F.col("s.media_url"), F.col("s.download_method"), F.col("m.duration").alias("duration")
-    )
-    assets = each.select(*base, F.explode("m.timelines").alias("t")).where(F.coalesce("t.asset_url", F.lit("")) != "").select(
-        *base, F.lit("timeline").alias("segment_type"), F.col("t.id").alias("media_id"), F.lit("image").alias("media_type"), F.lit("asset_url").alias("access_mode"), F.col("t.asset_url").alias("media_url"), F.lit("direct").alias("download_method"), F.lit(None).cast("double").alias("duration")
-    )
-    jobs = speech.unionByName(media).unionByName(assets)
-    return jobs.withColumns(
-        {
-            "job_id": F.concat_ws(":", "item_key", "segment_type", "media_id"),
-            "status": F.lit("pending"),
-            "transcript_status": F.when(F.col("segment_type") == "timeline", "skipped").otherwise("pending"),
-            "relpath": F.concat(F.lit("downloads/"), F.replace("item_key", F.lit(":"), F.lit("/")), F.lit("/"), F.col("segment_type"), F.lit("/"), F.col("media_id"), guess_extension(F.col("media_url"), F.col("access_mode"), F.col("media_type"))),
-        }
-    )
+        *shared, job("kind", "part_id", F.lit("media"), F.col("m.id")).alias("job_id"), F.col("kind").alias("segment_type"), F.col("part_id").alias("segment_id"), F.col("part_title").alias("segment_title"), F.col("part_url").alias("segment_url"), F.col("m.id").alias("media_id"), F.col("m.title").alias("media_title"),
+        F.col("m.media_type").alias("media_type"), F.col("s.provider"), F.col("s.access_mode"), F.col("s.media_url"), F.col("m.playlist_url").alias("playlist_url"), F.col("s.play_auth"), F.col("s.download_method"), F.coalesce("m.duration", "part_duration", F.when(F.col("kind") == "item", F.col("duration"))).alias("duration"), F.lit("pending").alias("transcript_status"),
+    )
+    assets = each.withColumn("t", F.explode("m.timelines")).where(F.coalesce("t.asset_url", F.lit("")) != "").select(
+        *shared, job("kind", "part_id", F.lit("timeline"), F.col("t.id"), F.lit("asset")).alias("job_id"), F.lit("timeline").alias("segment_type"), F.col("t.id").alias("segment_id"), F.coalesce("t.title", "m.title", "part_title").alias("segment_title"), F.coalesce("t.quote_href", "part_url").alias("segment_url"),
+        F.concat("t.id", F.lit("_asset")).alias("media_id"), F.coalesce("t.title", "m.title").alias("media_title"), F.lit("timeline_asset").alias("media_type"), F.lit("direct").alias("provider"), F.lit("asset_url").alias("access_mode"), F.col("t.asset_url").alias("media_url"), none.alias("playlist_url"),
+        none.alias("play_auth"), F.lit("direct").alias("download_method"), F.lit(None).cast("double").alias("duration"), F.lit("skipped").alias("transcript_status"),
+    )
+    jobs = media.unionByName(assets)
+    if include_speech:
+        jobs = jobs.unionByName(
+            owned.withColumn("chapter_index", F.lit(None).cast("int")).where(F.coalesce("speech_audio_url", F.lit("")) != "").select(
+                *shared, job(F.lit("item"), "id", F.lit("speech")).alias("job_id"), F.lit("item").alias("segment_type"), F.col("id").alias("segment_id"), F.col("item_title").alias("segment_title"), F.col("url").alias("segment_url"), F.lit("speech").alias("media_id"), F.col("item_title").alias("media_title"),
+                F.lit("speech").alias("media_type"), F.lit("direct").alias("provider"), F.lit("audio_url").alias("access_mode"), F.col("speech_audio_url").alias("media_url"), none.alias("playlist_url"), none.alias("play_auth"), F.lit("direct").alias("download_method"), "duration", F.lit("pending").alias("transcript_status"),
+            )
+        )
+    place = F.concat_ws("/", F.lit("downloads"), "type", "id", "segment_type", "segment_id", F.concat("media_id", guess_extension(F.col("media_url"), F.col("access_mode"), F.col("media_type"))))
+    return jobs.withColumns({"status": F.lit("pending"), "relpath": place})
 
 
 def hot_words_of(records: DataFrame, stop: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.embed import cosine, dot
-from tidepool.functions.text import contains_term
+from tidepool.functions.text import fold_ascii, folded, folds_plainly, lowered
 
 # What a hit's document type adds.
 TYPE_PRIORS = {"item_title": 0.18, "episode_card": 0.16, "scene_summary": 0.12, "timeline_note": 0.06, "evidence_atom": 0.0}
@@ -43,17 +43,27 @@ def term_weight(term: str) -> int:
 
 
 def lexical_score(text: Column, terms: Sequence[str]) -> Column:
-    """Sum of the weights of the terms that stand in the text, ASCII case folded."""
-    out = F.lit(0)
-    for t in terms:
-        out = out + F.when(contains_term(text, t), F.lit(term_weight(t))).otherwise(F.lit(0))
-    return out
+    """Sum of the weights of the terms that stand in the text, ASCII case folded; the text is folded once."""
+
+    def summed(held: Column, mine: Sequence[str]) -> Column:
+        out = F.lit(0)
+        for t in mine:
+            out = out + F.when(F.contains(held, F.lit(folded(t))), F.lit(term_weight(t))).otherwise(F.lit(0))
+        return out
+
+    plain, others = [t for t in terms if folds_plainly(t)], [t for t in terms if not folds_plainly(t)]
+    # An element of an array is worked out once, however often it is named.
+    once = lambda held, mine: F.get(F.transform(F.array(held), lambda h: summed(h, mine)), F.lit(0)) if mine else F.lit(0)
+    return once(lowered(text), plain) + once(fold_ascii(F.coalesce(text, F.lit(""))), others)
 
 
 def lexical_topk(docs: DataFrame, terms: Sequence[str], k: int, text: Column | None = None, order: Sequence[str] = ("doc_type", "item_key", "doc_index")) -> DataFrame:
-    """The k documents of the highest positive lexical_score; ``docs`` is filtered already."""
-    scored = docs.withColumn("lexical_score", lexical_score(F.col("text") if text is None else text, terms)).where("lexical_score > 0")
-    return scored.orderBy(F.desc("lexical_score"), *order).limit(k)
+    """The k documents of the highest positive lexical_score; ``docs`` is filtered already.
+
+    Scores of zero come last, so they are dropped behind the top-k: before it the score would be worked out twice.
+    """
+    scored = docs.withColumn("lexical_score", lexical_score(F.col("text") if text is None else text, terms))
+    return scored.orderBy(F.desc("lexical_score"), *order).limit(k).where("lexical_score > 0")
 
 
 def hit_score(score: Column, over: Column) -> Column:
@@ -143,6 +153,7 @@ def rerank(hits: DataFrame, terms: Sequence[str], tuning: Tuning = Tuning(), dig
         + multi * tuning.multi_hit_weight
         - F.when(second, 0.015).otherwise(0.0)
     )
+    # Labels of the reasons; the bonuses above are fixed as well.
     reasons = F.array_compact(
         F.array(
             F.when(F.size(held) > 0, F.concat(F.lit("命中词: "), F.array_join(F.slice(held, 1, 4), ", "))),
@@ -172,6 +183,21 @@ def degrade_reason(error: object) -> str:
     return "embedding_quota_exhausted" if spent else "semantic_recall_unavailable"
 
 
+# Labels of what a result matched by.
+DETAILS = {"keyword": "关键词", "semantic": "语义命中片段", "related": "相关片段"}
+DETAIL = "struct<kind:string,label:string,terms:array<string>,text:string>"
+
+
+def match_details(terms: Column, shown: Column) -> Column:
+    """What a hit matched by: its first six terms, and a snippet."""
+    named = F.array_distinct(F.filter(terms, lambda t: t != ""))
+    none = F.lit(None)
+    keyword = F.struct(F.lit("keyword").alias("kind"), F.lit(DETAILS["keyword"]).alias("label"), F.slice(named, 1, 6).alias("terms"), none.cast("string").alias("text"))
+    label = F.when(F.size(named) > 0, DETAILS["related"]).otherwise(DETAILS["semantic"])
+    snippet = F.struct(F.lit("semantic").alias("kind"), label.alias("label"), none.cast("array<string>").alias("terms"), shown.alias("text"))
+    return F.array_compact(F.array(F.when(F.size(named) > 0, keyword), F.when(F.coalesce(shown, F.lit("")) != "", snippet))).cast(f"array<{DETAIL}>")
+
+
 # How a result of each type is told of.
 TOLD = {"timeline_note": "命中时间轴记录", "episode_card": "命中节目摘要", "scene_summary": "命中节目片段摘要", "evidence_atom": "命中原始转录片段", "item_title": "命中节目标题"}
 

@@ -185,15 +185,46 @@ def boundary_votes(votes: DataFrame, n_windows: Column, key: str = "item_key") -
 
 def shifted(payloads: Column) -> Column:
     """One payload (text, segments, words, model_name, language, chunk_count) of chunk payloads with offset_ms, in order."""
-    late = lambda xs, by: F.transform(F.coalesce(xs, F.array().cast(f"array<{SEGMENT}>")), lambda s: s.withField("start_ms", s["start_ms"] + by).withField("end_ms", s["end_ms"] + by))
+    late = lambda xs, by: F.transform(xs, lambda s: s.withField("start_ms", s["start_ms"] + by).withField("end_ms", s["end_ms"] + by))
+    moved = lambda name: F.flatten(F.filter(F.transform(payloads, lambda p: late(p[name], p["offset_ms"])), lambda xs: xs.isNotNull()))
     first = lambda name: F.get(F.filter(F.transform(payloads, lambda p: p[name]), lambda v: F.coalesce(v, F.lit("")) != ""), F.lit(0))
     texts = F.filter(F.transform(payloads, lambda p: F.trim(F.coalesce(p["text"], F.lit("")))), lambda t: t != "")
     return F.struct(
-        F.array_join(texts, "\n").alias("text"), F.flatten(F.transform(payloads, lambda p: late(p["segments"], p["offset_ms"]))).alias("segments"),
+        F.array_join(texts, "\n").alias("text"), moved("segments").alias("segments"), moved("words").alias("words"),
         first("model_name").alias("model_name"), first("language").alias("language"), F.size(payloads).alias("chunk_count"),
     )
 
 
+def first_bound(u: Column, *names: str) -> Column:
+    """The first of several fields of an utterance that is neither NULL nor zero, in whole milliseconds."""
+    return F.coalesce(*[F.nullif(u[n].try_cast("double").cast("bigint"), F.lit(0)) for n in names])
+
+
+def remote_segment(u: Column, starts: tuple[str, ...] = ("start_time",), ends: tuple[str, ...] = ("end_time", "stop_time")) -> Column:
+    """A remote recogniser's utterance (with a map ``additions``) as a segment."""
+    said = lambda *names: F.coalesce(*[F.nullif(F.try_element_at(u["additions"], F.lit(n)), F.lit("")) for n in names])
+    return F.struct(
+        first_bound(u, *starts).alias("start_ms"), first_bound(u, *ends).alias("end_ms"), u["text"].alias("text"), said("speaker_id", "speaker").alias("speaker_id"),
+        said("lid_lang").alias("language"), said("emotion").alias("emotion"), said("gender").alias("gender"), said("volume").alias("volume"), said("speech_rate").alias("speech_rate"),
+    )
+
+
+def remote_words(utterances: Column) -> Column:
+    """Words of all utterances with the index of theirs."""
+    one = lambda i, w: F.struct(i.alias("segment_index"), w["start_time"].alias("start_ms"), w["end_time"].alias("end_ms"), w["text"].alias("text"))
+    return F.flatten(F.filter(F.transform(utterances, lambda u, i: F.transform(u["words"], lambda w: one(i, w))), lambda ws: ws.isNotNull()))
+
+
+def aliased(text: Column, segments: Column, aliases: dict[str, str]) -> tuple[Column, Column, dict[str, Column]]:
+    """Text and segments with aliases replaced, and for each `from->to` how often in all."""
+    from tidepool.functions.text import replace_aliases
+
+    whole, counts = replace_aliases(text, aliases)
+    parts = F.transform(segments, lambda s: s.withField("text", replace_aliases(s["text"], aliases)[0]))
+    inside = lambda name: F.aggregate(segments, F.lit(0), lambda acc, s: acc + F.coalesce(replace_aliases(s["text"], aliases)[1][name], F.lit(0)))
+    return whole, parts, {name: c + inside(name) for name, c in counts.items()}
+
+
 def repaired(rows: DataFrame, segments: str = "segments", text: str = "text") -> DataFrame:
     """Adds cleaned segments, their text, and why a repair is refused (NULL if it is not)."""
     from tidepool.functions.text import drop_segment, repetition_reason

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidepool.streaming.incremental import progress
 
 
-def grouped_counts(rows: DataFrame, key: str) -> DataFrame:
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+def grouped_counts(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of each value of the first key, by the others too; those without a value aren't counted."""
+    return rows.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 def trimmed_counts(rows: DataFrame, key: str, limit: int | None = None) -> DataFrame:

@@ -114,16 +114,16 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     named = read(spark, d, "labels").select("doc_id").distinct()
     best = retrieval.diversify(ranked(docs.join(named, "doc_id", "left_semi")), 10)
     shown = text.excerpt(F.col("text"), F.array(*[F.lit(t) for t in TERMS]))
-    return best.select("doc_id", F.col("source").alias("item_key"), F.col("lang").alias("category"), "rerank_score", F.array_join("matched_terms", ",").alias("matched_terms"), F.length(shown).cast("long").alias("excerpt_chars"))
+    return best.select("doc_id", F.col("source").alias("item_key"), F.col("lang").alias("category"), "rerank_score", F.array_join("matched_terms", ",").alias("matched_terms"), shown.alias("excerpt"))
 
 
 _FLAG = DIVERSE.replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 _CLEAN = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 _MATCHED = "array_to_string(list_filter([" + ", ".join(f"'{t}'" for t in TERMS) + "], lambda t: contains(text, t)), ',')"
 _AT = f"instr({_CLEAN}, list_filter([" + ", ".join(f"'{t}'" for t in TERMS) + f"], lambda t: contains({_CLEAN}, t))[1]) - 1"
-_SHOWN = f"""length(trim(substring(c, greatest(0, a - 60)::INT + 1, (least(length(c), a + 180) - greatest(0, a - 60))::INT)))
-    + CASE WHEN a - 60 > 0 THEN 3 ELSE 0 END + CASE WHEN a + 180 < length(c) THEN 3 ELSE 0 END"""
-FLAG_SQL = f"SELECT doc_id, source AS item_key, lang AS category, rerank_score, {_MATCHED} AS matched_terms, {_SHOWN} AS excerpt_chars FROM (SELECT *, {_CLEAN} AS c, {_AT} AS a FROM ({_FLAG}))"
+_SHOWN = f"""CASE WHEN a - 60 > 0 THEN '...' ELSE '' END || trim(substring(c, greatest(0, a - 60)::INT + 1, (least(length(c), a + 180) - greatest(0, a - 60))::INT))
+    || CASE WHEN a + 180 < length(c) THEN '...' ELSE '' END"""
+FLAG_SQL = f"SELECT doc_id, source AS item_key, lang AS category, rerank_score, {_MATCHED} AS matched_terms, {_SHOWN} AS excerpt FROM (SELECT *, {_CLEAN} AS c, {_AT} AS a FROM ({_FLAG}))"
 
 
 @query(FLAG_SQL)
@@ -131,16 +131,10 @@ def search_flagship(spark, d):
     return flagship(spark, d)
 
 
-@query(FLAG_SQL.replace("SELECT doc_id,", "SELECT 'semantic_recall_unavailable' AS degraded, doc_id,", 1))
-def degraded_search(spark, d):
-    reason = retrieval.degrade_reason("connection refused")
-    return flagship(spark, d).withColumn("degraded", F.lit(reason))
-
-
-@query(f"SELECT doc_id, {_SHOWN} AS excerpt_chars FROM (SELECT *, {_CLEAN} AS c, {_AT} AS a FROM documents WHERE contains(text, 'tion'))".replace(str(_AT), f"instr({_CLEAN}, 'tion') - 1"))
+@query(f"SELECT doc_id, {_SHOWN} AS excerpt FROM (SELECT *, {_CLEAN} AS c, {_AT} AS a FROM documents WHERE contains(text, 'tion'))".replace(str(_AT), f"instr({_CLEAN}, 'tion') - 1"))
 def excerpt(spark, d):
     docs = texts(spark, d).where(F.contains("text", F.lit("tion")))
-    return docs.select("doc_id", F.length(text.excerpt(F.col("text"), F.array(F.lit("tion")))).cast("long").alias("excerpt_chars"))
+    return docs.select("doc_id", text.excerpt(F.col("text"), F.array(F.lit("tion"))).alias("excerpt"))
 
 
 VECTORS = "SELECT e.vec_id, e.label, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
@@ -244,13 +238,8 @@ def lookup_by_ids_ordered(spark, d):
 SELECT x.event_id, count(y.event_id) AS overlaps FROM e x JOIN e y ON x.user_id = y.user_id AND x.event_id <> y.event_id AND y.a <= x.b AND y.b >= x.a GROUP BY x.event_id"""
 )
 def interval_overlap(spark, d):
-    size = 600_000
-    e = intervals(read(spark, d, "events"))
-    spread = e.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a") / size), F.floor(F.col("b") / size))))
-    y = spread.select("user_id", "bucket", F.col("event_id").alias("y"), F.col("a").alias("ya"), F.col("b").alias("yb"))
-    # A pair meets in the bucket where the later of its starts lies, and only there.
-    meets = (F.col("event_id") != F.col("y")) & (F.col("ya") <= F.col("b")) & (F.col("yb") >= F.col("a")) & (F.floor(F.greatest("a", "ya") / size) == F.col("bucket"))
-    return spread.join(y, ["user_id", "bucket"]).where(meets).groupBy("event_id").agg(F.count("*").alias("overlaps"))
+    pairs = context.overlapping(intervals(read(spark, d, "events")), ["user_id"], "event_id", "a", "b")
+    return pairs.groupBy("event_id").agg(F.count("*").alias("overlaps"))
 
 
 def ms(c: str = "ts") -> Column:
@@ -353,22 +342,6 @@ def pipeline_failures_topn(spark, d):
     return merges.by_priority(read(spark, d, "events").where("event_type = 'error'"), F.desc("ts"), F.asc("event_id"), limit=10).select("event_id", "user_id")
 
 
-@query(
-    """SELECT o_orderkey FROM orders ORDER BY CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END, CASE WHEN o_orderpriority LIKE '1%' THEN 0 ELSE 1 END, CASE WHEN o_totalprice > 100000 THEN 0 ELSE 1 END,
-o_orderdate DESC, o_orderkey LIMIT 50"""
-)
-def job_priority_queue(spark, d):
-    first = lambda c: F.when(c, 0).otherwise(1)
-    keys = [first(F.col("o_orderstatus") == "O"), first(F.startswith("o_orderpriority", F.lit("1"))), first(F.col("o_totalprice") > 100000), F.desc("o_orderdate"), F.asc("o_orderkey")]
-    return merges.by_priority(read(spark, d, "orders"), *keys, limit=50).select("o_orderkey")
-
-
-@query("SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality IS NULL, l.quality, n_chars DESC, d.doc_id LIMIT 40")
-def null_last_queue(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", "n_chars").join(read(spark, d, "labels"), "doc_id", "left")
-    return rows.orderBy(F.asc_nulls_last("quality"), F.desc("n_chars"), "doc_id").limit(40).select("doc_id", "quality")
-
-
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def latest_per_key(spark, d):
     return merges.latest(read(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id")
@@ -383,30 +356,35 @@ def item_multi_hit(spark, d):
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def distinct_first(spark, d):
-    # Equal texts meet by two hashes and their length instead of travelling whole.
-    docs = read(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    # Equal texts meet by a hash instead of travelling whole; no text is not an empty one.
+    docs = read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     return docs.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
 
 
-@query("SELECT conv_id, role, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id, role")
+@query(
+    """SELECT source, lang, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (nth <= 8) AS first_ids
+FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS nth FROM documents) GROUP BY source, lang"""
+)
 def documents_grouped(spark, d):
-    # A group is one item's documents of one type.
-    turns = read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.array_sort(F.collect_list("turn")).alias("t"))
-    return turns.select("conv_id", "role", F.array_join(F.col("t").cast("array<string>"), ",").alias("turns"))
+    # Counts are aggregated and the first rows ranked, so no group is ever collected whole.
+    docs = read(spark, d, "documents").select("source", "lang", "doc_id")
+    first = docs.withColumn("nth", F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id"))).where("nth <= 8")
+    named = first.groupBy("source", "lang").agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("first_ids"))
+    return stats.grouped_counts(docs, "source", "lang").join(named, ["source", "lang"])
 
 
 @query(
-    """SELECT doc_id, length(replace(replace(text, 'tion', 'XX'), 'the', 'YYYY')) AS chars, CAST((length(text) - length(replace(text, 'tion', ''))) / 4 AS BIGINT) AS a,
+    """SELECT doc_id, md5(replace(replace(text, 'tion', 'XX'), 'the', 'YYYY')) AS digest, CAST((length(text) - length(replace(text, 'tion', ''))) / 4 AS BIGINT) AS a,
 CAST((length(replace(text, 'tion', 'XX')) - length(replace(replace(text, 'tion', 'XX'), 'the', ''))) / 3 AS BIGINT) AS b FROM documents"""
 )
 def alias_replace(spark, d):
     out, counts = text.replace_aliases(F.col("text"), {"tion": "XX", "the": "YYYY"})
-    return texts(spark, d).select("doc_id", F.length(out).cast("long").alias("chars"), counts["tion->XX"].cast("long").alias("a"), counts["the->YYYY"].cast("long").alias("b"))
+    return texts(spark, d).select("doc_id", F.md5(out).alias("digest"), counts["tion->XX"].cast("long").alias("a"), counts["the->YYYY"].cast("long").alias("b"))
 
 
-@query(f"SELECT doc_id, length({_CLEAN}) AS chars FROM documents")
+@query(f"SELECT doc_id, md5({_CLEAN}) AS digest FROM documents")
 def normalize_ws(spark, d):
-    return texts(spark, d).select("doc_id", F.length(text.normalize(F.col("text"))).cast("long").alias("chars"))
+    return texts(spark, d).select("doc_id", F.md5(text.normalize(F.col("text"))).alias("digest"))
 
 
 @query("SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]{2,23}')) AS term FROM documents) GROUP BY term ORDER BY df DESC, term LIMIT 50")
@@ -416,20 +394,29 @@ def hotwords_top(spark, d):
 
 @query(
     """SELECT item_id, n, count(*) AS grams, count(DISTINCT g) AS distinct_grams FROM (SELECT item_id, n, substring(w, i, n) AS g FROM (SELECT item_id, w, n, unnest(generate_series(1, length(w) - n + 1)) AS i
-FROM (SELECT item_id, regexp_extract(text, '[A-Za-z]+', 0) AS w, unnest([2, 3, 4]) AS n FROM benchmark) WHERE length(w) >= n)) GROUP BY item_id, n"""
+FROM (SELECT item_id, w, unnest([2, 3, 4]) AS n FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark)) WHERE length(w) >= n)) GROUP BY item_id, n"""
 )
 def query_ngrams(spark, d):
-    words = read(spark, d, "benchmark").select("item_id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("w"), F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("n")).where(F.length("w") >= F.col("n"))
-    grams = words.select("item_id", "n", F.transform(F.sequence(F.lit(1), F.length("w") - F.col("n") + 1), lambda i: F.substring("w", i, F.col("n"))).alias("g"))
-    return grams.select("item_id", "n", F.size("g").cast("long").alias("grams"), F.size(F.array_distinct("g")).cast("long").alias("distinct_grams"))
+    words = read(spark, d, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
+    grams = words.select("item_id", F.explode(text.letter_grams(F.col("w"), (2, 3, 4))).alias("g"))
+    return grams.groupBy("item_id", F.length("g").alias("n")).agg(F.count("*").alias("grams"), F.count_distinct("g").alias("distinct_grams"))
 
 
 # Text shapes.
 
 
-@query()
+_UNITS = r"list_filter(string_split_regex(regexp_replace(text, '([!?;])', '\1' || chr(10), 'g'), '\s*\n\s*'), lambda u: trim(u, ' ' || chr(9) || chr(10) || chr(13)) <> '')"
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN len(u) = 0 THEN 0 ELSE r.done + CASE WHEN r.run > 0 THEN 1 ELSE 0 END END::BIGINT AS chunks FROM (SELECT doc_id, u, list_reduce(u, lambda a, x: CASE
+WHEN x.run > 800 THEN {{'done': a.done + CASE WHEN a.run > 0 THEN 1 ELSE 0 END + (x.run + 799) // 800, 'run': 0::BIGINT}}
+WHEN a.run = 0 THEN {{'done': a.done, 'run': x.run}} WHEN a.run + 1 + x.run <= 800 THEN {{'done': a.done, 'run': a.run + 1 + x.run}}
+ELSE {{'done': a.done + 1, 'run': x.run}} END, {{'done': 0::BIGINT, 'run': 0::BIGINT}}) AS r
+FROM (SELECT doc_id, list_transform({_UNITS}, lambda u: {{'done': 0::BIGINT, 'run': length(trim(u, ' ' || chr(9) || chr(10) || chr(13)))::BIGINT}}) AS u FROM documents))"""
+)
 def chunk_count(spark, d):
-    return texts(spark, d).select("doc_id", F.size(text.text_chunks(F.col("text"))).alias("chunks"))
+    return texts(spark, d).select("doc_id", F.size(text.text_chunks(F.col("text"))).cast("long").alias("chunks"))
 
 
 @query("SELECT doc_id, i AS nth, trim(substring(text, i * 800 + 1, 800)) AS chunk FROM (SELECT doc_id, text, unnest(range((length(text) - 1) // 800 + 1)) AS i FROM documents) WHERE trim(substring(text, i * 800 + 1, 800)) <> ''")
@@ -444,18 +431,26 @@ def sentence_units(spark, d):
     return texts(spark, d).select("doc_id", F.size(text.sentence_units(F.col("text"))).cast("long").alias("units"))
 
 
-@query(f"SELECT doc_id, {_CLEAN} = '' AS empty, length({_CLEAN}) < 20 AS short FROM documents")
+def run_sql(of: str, n: int) -> str:
+    """Whether a character stands n times in a row; DuckDB's patterns have no back references."""
+    return f"len(list_filter(generate_series(1, length({of}) - {n - 1}), lambda i: substring({of}, i::INT, {n}) = repeat(substring({of}, i::INT, 1), {n}))) > 0"
+
+
+@query(
+    f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN c = '' THEN 'empty' END, CASE WHEN {run_sql('c', 12)} THEN 'repeated_chars' END, CASE WHEN length(c) < 20 THEN 'short' END,
+CASE WHEN contains(c, repeat('哈', 14)) THEN 'laughter_run' END], lambda f: f IS NOT NULL), ',') AS flags FROM (SELECT doc_id, {_CLEAN} AS c FROM documents)"""
+)
 def low_signal_flags(spark, d):
-    flags = text.quality_flags(F.col("text"))
-    return texts(spark, d).select("doc_id", F.array_contains(flags, "empty").alias("empty"), F.array_contains(flags, "short").alias("short"))
+    return texts(spark, d).select("doc_id", F.array_join(text.quality_flags(F.col("text")), ",").alias("flags"))
 
 
 @query(
-    r"""SELECT doc_id, round(len(list_distinct(string_split(c, ''))) / length(c), 6) AS unique_ratio, round(top / n, 6) AS token_ratio FROM (SELECT doc_id, regexp_replace(lower(text), '\s+', '', 'g') AS c FROM documents)
-JOIN (SELECT doc_id, max(k)::DOUBLE AS top, sum(k)::DOUBLE AS n FROM (SELECT doc_id, t, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\pL\pN\pM_]+')) AS t FROM documents) GROUP BY ALL) GROUP BY doc_id) USING (doc_id)"""
+    rf"""SELECT doc_id, round(u, 6) AS unique_ratio, round(t, 6) AS token_ratio, CASE WHEN c = '' THEN 'empty' WHEN length(c) >= 180 AND u < 0.02 THEN 'low_unique_ratio' WHEN length(c) >= 180 AND {run_sql('c', 24)} THEN 'char_run'
+WHEN n >= 40 AND t > 0.45 THEN 'token_ratio' END AS reason FROM (SELECT doc_id, c, len(list_distinct(string_split(c, ''))) / length(c) AS u, top / n AS t, n FROM (SELECT doc_id, regexp_replace(lower(text), '\s+', '', 'g') AS c FROM documents)
+JOIN (SELECT doc_id, max(k)::DOUBLE AS top, sum(k)::DOUBLE AS n FROM (SELECT doc_id, t, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\pL\pN\pM_]+')) AS t FROM documents) GROUP BY ALL) GROUP BY doc_id) USING (doc_id))"""
 )
 def repetition_check(spark, d):
-    return texts(spark, d).select("doc_id", F.round(text.unique_char_ratio(F.col("text")), 6).alias("unique_ratio"), F.round(text.top_token_ratio(F.col("text")), 6).alias("token_ratio"))
+    return texts(spark, d).select("doc_id", F.round(text.unique_char_ratio(F.col("text")), 6).alias("unique_ratio"), F.round(text.top_token_ratio(F.col("text")), 6).alias("token_ratio"), text.repetition_reason(F.col("text")).alias("reason"))
 
 
 @query(
@@ -507,44 +502,63 @@ def media_source_case(spark, d):
     return read(spark, d, "part").select("p_partkey", source["access_mode"].alias("access_mode"))
 
 
-@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) FILTER (role <> 'system') AS roles, sum(length(text)) AS chars FROM conversations GROUP BY conv_id")
-def json_records(spark, d):
-    record = F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("chars")))).alias("turns")
-    rows = read(spark, d, "conversations").groupBy("conv_id").agg(record)
-    spoken = F.transform(F.filter("turns", lambda t: t["role"] != "system"), lambda t: t["role"])
-    return rows.select("conv_id", F.when(F.size(spoken) > 0, F.array_join(spoken, ",")).alias("roles"), F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t["chars"]).alias("chars"))
-
-
 @query(
-    """SELECT item_id, idx, round(sum(w), 6) AS w FROM (SELECT item_id, CAST(('0x' || substring(h, 1, 8))::BIGINT % 256 AS INT) AS idx,
+    r"""WITH p AS (SELECT doc_id, idx, sum(w) AS w FROM (SELECT doc_id, CAST(('0x' || substring(h, 1, 8))::BIGINT % 256 AS INT) AS idx,
 CASE WHEN ('0x' || substring(h, 9, 2))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE * (1 + ('0x' || substring(h, 11, 2))::BIGINT / 255.0::DOUBLE) AS w
-FROM (SELECT item_id, sha256(unnest(regexp_extract_all(text, '[A-Za-z0-9_:+./-]+'))) AS h FROM benchmark)) GROUP BY item_id, idx"""
+FROM (SELECT doc_id, sha256(unnest(regexp_extract_all(text, '[A-Za-z0-9_:+./-]+|[\x{4e00}-\x{9fff}]'))) AS h FROM documents)) GROUP BY doc_id, idx)
+SELECT doc_id, idx, round((w / sqrt(n))::FLOAT::DOUBLE, 6) AS w FROM p JOIN (SELECT doc_id, sum(w * w) AS n FROM p GROUP BY doc_id) USING (doc_id) WHERE n > 0 AND abs(w) > 1e-9"""
 )
 def hash_embed(spark, d):
-    places = embed.token_places(read(spark, d, "benchmark"), 256, key="item_id")
-    return places.select("item_id", "idx", F.round("w", 6).alias("w"))
+    vectors = embed.hash_embed(texts(spark, d), 256)
+    return vectors.select("doc_id", F.posexplode("embedding").alias("idx", "w")).where(F.abs("w") > 1e-9).select("doc_id", "idx", F.round(F.col("w").cast("double"), 6).alias("w"))
 
 
 # Transcripts.
 
 
 def spoken(turns: DataFrame) -> DataFrame:
-    """Conversations as timed segments: 40 ms a letter, one after the other."""
+    """Conversations as timed segments: 40 ms a letter, one after the other; a conversation is one item."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     end = F.sum(F.length("text") * 40).over(w)
     s = turns.select("conv_id", F.struct((end - F.length("text") * 40).alias("start_ms"), end.alias("end_ms"), "text", F.col("role").alias("speaker_id")).alias("s"))
-    return s.groupBy(F.col("conv_id").alias("item_key")).agg(F.collect_list("s").alias("segments"))
+    return s.groupBy(F.col("conv_id").alias("item_key")).agg(F.array_sort(F.collect_list("s")).alias("segments"))
+
+
+_SPOKEN = "SELECT conv_id, turn, text, role, (sum(length(text)) OVER w - length(text)) * 40 AS a, sum(length(text)) OVER w * 40 AS b, row_number() OVER w AS rn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)"
+
 
+#: Turns with the atom that each belongs to, by the same rules walked turn by turn.
+_WALK = f"""WITH RECURSIVE s AS MATERIALIZED ({_SPOKEN}),
+walk AS (SELECT conv_id, rn, 0 AS idx, a AS first, a, b, role, b - a >= 30000 AS closed FROM s WHERE rn = 1
+UNION ALL SELECT n.conv_id, n.rn, w.idx + CASE WHEN cut THEN 1 ELSE 0 END, CASE WHEN cut THEN n.a ELSE w.first END, n.a, n.b, n.role, n.b - CASE WHEN cut THEN n.a ELSE w.first END >= 30000
+FROM walk w JOIN s n ON n.conv_id = w.conv_id AND n.rn = w.rn + 1, LATERAL (SELECT w.closed OR n.b - w.first > 25000 AND w.b - w.first >= 12000 OR w.role <> n.role AND w.role <> '' AND n.role <> '' AND w.b - w.first >= 12000 AS cut)),
+atoms AS (SELECT conv_id, idx, min(a)::BIGINT AS a, max(b)::BIGINT AS b, count(*) AS n FROM walk GROUP BY conv_id, idx)"""
 
-@query()
+
+@query(f"{_WALK} SELECT conv_id AS item_key, idx AS doc_index, a AS start_ms, b AS end_ms, n AS n_segments FROM atoms")
 def atoms_fold(spark, d):
-    return segments.atom_rows(spoken(read(spark, d, "conversations"))).select("item_key", "doc_index", "start_ms", "end_ms", "n_segments")
+    return segments.atom_rows(spoken(read(spark, d, "conversations"))).select("item_key", "doc_index", "start_ms", "end_ms", F.col("n_segments").cast("long").alias("n_segments"))
+
 
+_GROUP = "STRUCT(s BIGINT, e BIGINT, ids BIGINT[])"
+_BEGIN = "CASE WHEN len(a.g.ids) = 0 THEN x.g.s ELSE a.g.s END"
 
-@query()
+
+@query(
+    f"""{_WALK}, listed AS (SELECT conv_id, list({{'done': []::{_GROUP}[], 'g': {{'s': a, 'e': b, 'ids': [idx::BIGINT]}}}} ORDER BY idx) AS steps, list(idx::BIGINT ORDER BY idx) AS every FROM atoms GROUP BY conv_id),
+folded AS (SELECT conv_id, every, list_reduce(steps, lambda a, x: CASE WHEN len(a.g.ids) >= 7 OR x.g.e - {_BEGIN} >= 180000
+    THEN {{'done': list_append(a.done, {{'s': {_BEGIN}, 'e': x.g.e, 'ids': list_concat(a.g.ids, x.g.ids)}}), 'g': {{'s': 0::BIGINT, 'e': 0::BIGINT, 'ids': []::BIGINT[]}}}}
+    ELSE {{'done': a.done, 'g': {{'s': {_BEGIN}, 'e': x.g.e, 'ids': list_concat(a.g.ids, x.g.ids)}}}} END, {{'done': []::{_GROUP}[], 'g': {{'s': 0::BIGINT, 'e': 0::BIGINT, 'ids': []::BIGINT[]}}}}) AS r FROM listed),
+closed AS (SELECT conv_id, every, CASE WHEN len(r.g.ids) = 0 THEN r.done WHEN len(r.done) > 0 AND len(r.g.ids) < 4
+    THEN list_append(r.done[1:len(r.done) - 1], {{'s': r.done[-1].s, 'e': r.g.e, 'ids': list_concat(r.done[-1].ids, r.g.ids)}}) ELSE list_append(r.done, r.g) END AS groups FROM folded),
+merged AS (SELECT conv_id, every, list_reduce(list_transform(groups, lambda g: [g]), lambda a, x: CASE WHEN len(a) > 0 AND x[1].e - x[1].s < 45000 AND x[1].e - a[-1].s <= 300000
+    THEN list_append(a[1:len(a) - 1], {{'s': a[-1].s, 'e': x[1].e, 'ids': list_concat(a[-1].ids, x[1].ids)}}) ELSE list_append(a, x[1]) END, []::{_GROUP}[]) AS m FROM closed),
+chosen AS (SELECT conv_id, CASE WHEN len(list_filter(m, lambda g: g.e - g.s > 300000)) = 0 AND len(list_filter(m[2:len(m) - 1], lambda g: g.e - g.s < 45000)) = 0 THEN list_transform(m, lambda g: g.ids) ELSE [every] END AS c FROM merged)
+SELECT conv_id AS item_key, i - 1 AS scene, array_to_string(c[i], ',') AS ids FROM (SELECT conv_id, c, unnest(generate_series(1, len(c))) AS i FROM chosen)"""
+)
 def scene_groups(spark, d):
     atoms = segments.atom_rows(spoken(read(spark, d, "conversations"))).groupBy("item_key").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_index").alias("idx"), "start_ms", "end_ms"))).alias("atoms"))
-    return atoms.select("item_key", F.posexplode(segments.fallback_scenes(F.col("atoms"))).alias("scene", "ids")).select("item_key", "scene", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    return atoms.select("item_key", F.posexplode(segments.fallback_scenes(F.col("atoms"))).alias("scene", "ids")).select("item_key", F.col("scene").cast("long").alias("scene"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 @query("SELECT source, s AS start, least(s + 14, n) AS stop FROM (SELECT source, n, unnest(generate_series(0, n - 1, 11)) AS s FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)) WHERE s = 0 OR s + 3 < n")
@@ -595,17 +609,25 @@ def replace_documents(spark, d):
     return merges.replace_scope(docs, new, scope, ["lang"])
 
 
-MARK, TIES = "SELECT max(ts) FROM events WHERE event_id % 10 < 7 AND event_id < 500", (3, 13)
+_SEEN = "event_id % 10 < 7 AND ts < (SELECT max(ts) - INTERVAL 1 DAY FROM events)"
+MARK = f"SELECT max(ts) FROM events WHERE {_SEEN}"
+
+
+def seen_events(spark: SparkSession, d: str) -> DataFrame:
+    events = read(spark, d, "events")
+    cut = events.agg((F.max("ts") - F.expr("interval 1 day")).alias("cut")).first()["cut"]
+    return events.where((F.col("event_id") % 10 < 7) & (F.col("ts") < F.lit(cut)))
 
 
-def mark_of(spark: SparkSession, d: str) -> str:
-    seen = read(spark, d, "events").where("event_id % 10 < 7 AND event_id < 500")
-    return str(incremental.next_mark(seen, "ts", "event_id").first()["mark"])
+def mark_of(spark: SparkSession, d: str) -> tuple[str, list[str]]:
+    """The mark that the seen events leave, and the ids that share it."""
+    row = incremental.next_mark(seen_events(spark, d), "ts", "event_id").first()
+    return str(row["mark"]), row["ties"]
 
 
-@query(f"SELECT event_id, user_id FROM events WHERE ts >= ({MARK}) AND NOT (ts = ({MARK}) AND event_id IN (3, 13))")
+@query(f"SELECT event_id, user_id FROM events WHERE ts > ({MARK}) OR ts = ({MARK}) AND NOT ({_SEEN})")
 def incremental_since(spark, d):
-    return incremental.since(read(spark, d, "events"), "ts", "event_id", mark_of(spark, d), TIES).select("event_id", "user_id")
+    return incremental.since(read(spark, d, "events"), "ts", "event_id", *mark_of(spark, d)).select("event_id", "user_id")
 
 
 @query(ORACLES["incremental_since"])
@@ -613,7 +635,7 @@ def stream_incremental(spark, d):
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     mark, schema = mark_of(spark, d), read(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    new = incremental.since(stream, "ts", "event_id", mark, TIES).select("event_id", "user_id")
+    new = incremental.since(stream, "ts", "event_id", *mark).select("event_id", "user_id")
     new.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("event_id long, user_id long").parquet(f"{at}/rows")
 

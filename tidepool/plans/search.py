@@ -11,19 +11,38 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import terms as clues
 from tidepool.functions.embed import Provider
-from tidepool.functions.text import excerpt, format_ms
+from tidepool.functions.text import excerpt, format_ms, or_else, replace_aliases
 from tidepool.operators import context, retrieval, stats
 from tidepool.operators.retrieval import Tuning
-
-HIT = ["doc_type", "item_key", "item_title", "category", "users", "published_at", "title", "keyword_text", "text_raw", "start_ms", "end_ms", "doc_index", "atom_ids", "timeline_title", "recall_stage", "score"]
+from tidepool.session import shared_folder
+
+#: Columns that a hit carries from its document, and their types where documents lack them.
+CARRIED = {
+    "doc_type": "string", "item_key": "string", "item_id": "string", "item_title": "string", "item_url": "string", "category": "string", "users": "array<string>", "tags": "array<string>", "published_at": "string",
+    "title": "string", "keyword_text": "string", "text_raw": "string", "summary": "string", "start_ms": "bigint", "end_ms": "bigint", "timeline_ms": "bigint", "doc_index": "int", "atom_ids": "array<string>",
+    "timeline_title": "string", "timeline_content": "string", "timeline_at": "string", "asset_url": "string", "quote_href": "string",
+}
+HIT = [*CARRIED, "recall_stage", "score"]
+#: Columns of an item's display record.
+DISPLAY = {"cover_url": "string", "thumb_url": "string", "excerpt": "string", "desc": "string", "duration": "double", "url": "string"}
+#: The fields of a result, in order.
+RESULT = (
+    "doc_id doc_type score rerank_score item_key item_id item_title title published_at category users tags cover_url thumb_url excerpt desc duration start_ms end_ms timeline_ms display_timestamp display_text "
+    "timeline_title timeline_content timeline_at timeline_asset_url timeline_quote_href recall_stage why_matched matched_terms match_details match_summary source_url neighbor_atoms"
+).split()
+NEIGHBOUR = "struct<doc_id:string,start_ms:bigint,end_ms:bigint,text:string,display_timestamp:string>"
+#: How far around a note its atoms may be.
+NOTE_REACH_MS = 24_000
 
 
 class Memory:
-    """A collection: ``docs`` as the builders make them, ``vectors`` (doc_id, embedding), and a provider for queries."""
+    """A collection: ``docs`` as the builders make them, ``vectors`` (doc_id, embedding), a provider for queries, and ``items``,
+    the display records (item_key and any of DISPLAY)."""
 
-    def __init__(self, docs: DataFrame, vectors: DataFrame | None = None, provider: Provider | None = None, aliases: dict[str, str] | None = None) -> None:
-        self.docs = docs.withColumn("timeline_title", F.when(F.col("doc_type") == "timeline_note", F.col("title")))
-        self.vectors, self.provider, self.aliases = vectors, provider, aliases or {}
+    def __init__(self, docs: DataFrame, vectors: DataFrame | None = None, provider: Provider | None = None, aliases: dict[str, str] | None = None, items: DataFrame | None = None) -> None:
+        whole = docs.withColumns({c: F.lit(None).cast(kind) for c, kind in CARRIED.items() if c not in docs.columns})
+        self.docs = whole.withColumn("timeline_title", F.when(F.col("doc_type") == "timeline_note", F.col("title")))
+        self.vectors, self.provider, self.aliases, self.items = vectors, provider, aliases or {}, items
         self.embed = lru_cache(maxsize=256)(self._embed)
 
     def _embed(self, query: str) -> tuple[float, ...]:
@@ -32,21 +51,34 @@ class Memory:
         return tuple(self.provider.embed_queries([query])[0])
 
     def _recall(self, query: str, types: Sequence[str], categories: Sequence[str], users: Sequence[str], k: int, stage: str) -> DataFrame:
+        """The k nearest documents: ids are filtered, vectors ranked, and only the k rows that are left looked up."""
         rows = retrieval.payload_filter(self.docs, types, categories, users)
-        top = retrieval.vector_topk(rows.join(self.vectors, "doc_id"), self.embed(query), k)
-        return top.withColumn("recall_stage", F.lit(stage))
+        points = self.vectors.select("doc_id", "embedding").join(rows.select("doc_id"), "doc_id", "left_semi")
+        top = retrieval.vector_topk(points, self.embed(query), k).select("doc_id", "score")
+        return self.docs.join(F.broadcast(top), "doc_id").withColumn("recall_stage", F.lit(stage))  # k rows
 
     def _lexical(self, wanted: Sequence[str], types: Sequence[str], categories: Sequence[str], users: Sequence[str], k: int) -> DataFrame:
         rows = retrieval.payload_filter(self.docs, types, categories, users)
         text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "item_title", "keyword_text", "text_raw")])
         top = retrieval.lexical_topk(rows, clues.recall_terms(wanted), k, text=text)
-        return top.withColumn("score", retrieval.hit_score(F.col("lexical_score"), F.max("lexical_score").over(Window.partitionBy()))).withColumn("recall_stage", F.lit("lexical"))
+        return top.withColumn("score", retrieval.hit_score(F.col("lexical_score"), F.max("lexical_score").over(Window.partitionBy()))).withColumn("recall_stage", F.lit("lexical_fallback"))
+
+    def normalized(self, query: str) -> tuple[str, dict[str, int]]:
+        """The query with its aliases replaced, and how often each was."""
+        spark = self.docs.sparkSession
+        text, counts = replace_aliases(F.lit(query), self.aliases)
+        row = spark.range(1).select(text.alias("text"), *[c.alias(str(k)) for k, c in enumerate(counts.values())]).first()
+        return row["text"], {name: row[str(k)] for k, name in enumerate(counts) if row[str(k)]}
 
     def candidates(self, query: str, limit: int = 10, scope: str = "content", doc_types: Sequence[str] = (), categories: Sequence[str] = (), participants: Sequence[str] = (), tuning: Tuning = Tuning()) -> tuple[DataFrame, str | None, list[str]]:
-        """Hits with their position, the reason if vectors couldn't be used, and the query's terms."""
-        for a, b in sorted(self.aliases.items(), key=lambda p: -len(p[0])):
-            query = query.replace(a, b)
+        """Hits with their position, the reason if vectors couldn't be used, and the query's terms.
+
+        Recall runs here, its some hundred rows checkpointed, so that a failure of the vectors at any point, the reading of
+        their table included, leads to the lexical branch.
+        """
+        query, _ = self.normalized(query)
         wanted, types, reason = clues.query_terms(query), clues.scope_doc_types(scope, doc_types), None
+        shared_folder(self.docs.sparkSession)
         try:
             hits = self._recall(query, types, categories, participants, tuning.primary_limit(limit), "primary")
             order = [F.col("stage"), F.desc("score"), F.col("doc_id")]
@@ -54,29 +86,60 @@ class Memory:
             if (scope or "content").strip().lower() == "content" and tuning.second_pass_atom_enabled:
                 second = self._recall(query, ["evidence_atom"], categories, participants, tuning.second_limit(limit), "second_pass_atom")
                 hits = hits.unionByName(second.withColumn("stage", F.lit(1)))
-        except Exception as error:  # the embedding service may fail in any way; the lexical branch answers
+            hits = hits.checkpoint(eager=True)
+        except Exception as error:  # the embedding service and the vector table may fail in any way; the lexical branch answers
             reason = retrieval.degrade_reason(error)
-            hits = self._lexical(wanted, types, categories, participants, tuning.primary_limit(limit)).withColumn("stage", F.lit(0))
+            hits = self._lexical(wanted, types, categories, participants, tuning.primary_limit(limit)).withColumn("stage", F.lit(0)).checkpoint(eager=True)
             order = [F.desc("lexical_score"), F.col("doc_type"), F.col("item_key"), F.col("doc_index")]
         # Recall limits bound what this window sees: some hundred rows.
         placed = hits.withColumn("ord", F.row_number().over(Window.orderBy(*order)) - 1)
         return retrieval.dedupe_hits(placed, HIT), reason, wanted
 
+    def neighbours(self, hits: DataFrame) -> DataFrame:
+        """(hit_id, neighbor_atoms): the atoms beside an atom, those of a scene, and those around a note in time."""
+        told = lambda start, text: F.struct(F.col("doc_id"), F.col("start_ms"), F.col("end_ms"), F.col(text).alias("text"), F.when(F.col(start).isNotNull(), format_ms(F.col(start))).alias("display_timestamp"))
+        atoms = self.docs.where(F.col("doc_type") == "evidence_atom").select("doc_id", "item_key", "doc_index", "start_ms", "end_ms", "text_raw").join(F.broadcast(hits.select("item_key").distinct()), "item_key", "left_semi")
+        of = lambda kind: hits.where(F.col("doc_type") == kind).select(F.col("doc_id").alias("hit_id"), "item_key", "doc_index", "atom_ids", F.coalesce("timeline_ms", "start_ms", F.lit(0)).alias("anchor_ms"))
+        beside = context.neighbours_by_index(of("evidence_atom"), atoms.withColumn("text", F.struct("doc_id", "start_ms", "end_ms", "text_raw")))
+        beside = beside.select("hit_id", F.col("neighbour_index").cast("long").alias("place"), "neighbour_text.*")
+        inside = context.neighbours_by_ids(of("scene_summary"), atoms).select("hit_id", F.col("nth").cast("long").alias("place"), "doc_id", "start_ms", "end_ms", "text_raw")
+        around = context.neighbours_by_time(of("timeline_note"), atoms.withColumn("atom_id", F.col("doc_id")), reach=NOTE_REACH_MS).select("hit_id", F.col("nth").cast("long").alias("place"), "doc_id", "start_ms", "end_ms", "text_raw")
+        rows = beside.unionByName(inside).unionByName(around).select("hit_id", F.struct("place", told("start_ms", "text_raw").alias("a")).alias("n"))
+        return rows.groupBy("hit_id").agg(F.transform(F.array_sort(F.collect_list("n")), lambda n: n["a"]).alias("neighbor_atoms"))  # six at most
+
+    def results(self, hits: DataFrame) -> DataFrame:
+        """The fields of RESULT for reranked hits, in their order."""
+        packed = self.neighbours(hits)
+        shown = hits.join(packed, hits["doc_id"] == packed["hit_id"], "left").drop("hit_id")
+        items = self.items
+        display = {c: F.lit(None).cast(kind) for c, kind in DISPLAY.items()}
+        if items is not None:
+            named = items.select("item_key", *[F.col(c).cast(kind).alias(f"__{c}") for c, kind in DISPLAY.items() if c in items.columns]).dropDuplicates(["item_key"])
+            shown = shown.join(named, "item_key", "left")
+            display |= {c: F.col(f"__{c}") for c in DISPLAY if c in items.columns}
+        head = (F.col("recall_stage") == "second_pass_atom") | (F.col("doc_type") == "evidence_atom")
+        body = or_else("keyword_text", "text_raw", "summary", "timeline_content", "title")
+        at = F.coalesce("start_ms", "timeline_ms")
+        stamp = F.when(at.isNotNull(), format_ms(at))
+        made = {
+            "users": F.coalesce("users", F.array().cast("array<string>")), "tags": F.coalesce("tags", F.array().cast("array<string>")), **{c: display[c] for c in DISPLAY if c != "url"},
+            "display_timestamp": stamp, "display_text": F.when(F.col("doc_type") == "item_title", "").otherwise(F.coalesce(or_else("text_raw", "summary", "timeline_content"), F.lit(""))),
+            "timeline_asset_url": F.col("asset_url"), "timeline_quote_href": F.col("quote_href"), "source_url": or_else(F.col("item_url"), display["url"]),
+            "match_details": retrieval.match_details(F.col("matched_terms"), excerpt(body, F.col("matched_terms"), head=head)), "match_summary": retrieval.match_summary(F.col("doc_type"), F.col("matched_terms"), stamp),
+            "neighbor_atoms": F.coalesce("neighbor_atoms", F.array().cast(f"array<{NEIGHBOUR}>")),
+        }
+        return shown.select(*[made[c].alias(c) if c in made else F.col(c) for c in RESULT], *[c for c in ("nth", "ord") if c in shown.columns])
+
     def search(self, query: str, limit: int = 10, **options) -> tuple[DataFrame, dict]:
         """Ranked results, and how they came about. Options as for ``candidates``."""
         tuning = options.get("tuning", Tuning())
         hits, reason, wanted = self.candidates(query, limit, **options)
         best = retrieval.diversify(retrieval.rerank(hits, wanted, tuning), limit, enabled=tuning.diversify_enabled)
-        atoms = self.docs.where(F.col("doc_type") == "evidence_atom").select("item_key", "doc_index", F.col("keyword_text").alias("text"), "start_ms")
-        is_atom = F.col("doc_type") == "evidence_atom"
-        near = context.neighbours_by_index(best.where(is_atom).select(F.col("doc_id").alias("hit_id"), "item_key", "doc_index"), atoms)
-        packed = near.groupBy("hit_id").agg(F.array_sort(F.collect_list(F.struct("neighbour_index", "neighbour_text"))).alias("neighbours"))
-        shown = best.join(packed, best["doc_id"] == packed["hit_id"], "left").drop("hit_id")
-        text = excerpt(F.col("keyword_text"), F.col("matched_terms"), head=is_atom | (F.col("recall_stage") == "second_pass_atom"))
-        out = shown.withColumns({"excerpt": text, "display_timestamp": F.when(F.col("start_ms").isNotNull(), format_ms(F.col("start_ms")))})
-        out = out.withColumn("match_summary", retrieval.match_summary(F.col("doc_type"), F.col("matched_terms"), F.col("display_timestamp")))
-        how = {"query": query, "terms": wanted, "degraded": reason is not None, "degraded_reason": reason, "limit": limit, "tuning": tuning.__dict__}
-        return out.orderBy("nth", F.desc("rerank_score"), "ord") if tuning.diversify_enabled else out.orderBy(F.desc("rerank_score"), "ord"), how
+        out = self.results(best.checkpoint(eager=True))  # ``limit`` rows
+        order = ["nth", F.desc("rerank_score"), "ord"] if tuning.diversify_enabled else [F.desc("rerank_score"), "ord"]
+        normalized, replaced = self.normalized(query)
+        how = {"query": query, "normalized_query": normalized, "alias_replacements": replaced, "terms": wanted, "degraded": reason is not None, "degraded_reason": reason, "limit": limit, "tuning": tuning.__dict__}
+        return out.orderBy(*order).drop("nth", "ord"), how
 
     def episode_details(self, item_key: str) -> DataFrame:
         """(doc_type, documents): an item's documents in order, by type."""
