@@ -41,12 +41,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, BREAKS), "")
 
 
-def windows_of(benchmark: DataFrame, n: int) -> DataFrame:
-    """(item_id, phrase, terms): the windows of each item, a shorter item being one."""
+def windows_of(benchmark: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(window, terms): the distinct windows of all items, numbered, a shorter item being one; and (item_id, window)."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - n))
-    cut = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, n))).alias("terms"))
-    return cut.select("item_id", F.array_join("terms", " ").alias("phrase"), "terms").distinct()
+    cut = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, n))).alias("terms")).distinct()
+    windows = durable(cut.select("terms").distinct().withColumn("window", F.monotonically_increasing_id()))
+    return windows, durable(cut.join(windows, "terms").select("item_id", "window"))
 
 
 def key_of() -> list[Column]:
@@ -58,24 +59,22 @@ KEY = ["id_key", "text_key"]
 
 
 def sought(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(phrase, terms, anchor, at, rest): each window with its rarest term, and the next as (term, offset from the anchor)."""
-    phrases = windows.select("phrase", "terms").distinct()
-    vocabulary = durable(phrases.select(F.explode("terms").alias("term")).distinct())
+    """(window, anchor, at, rest): each window with its rarest term, and the next as (term, offset from the anchor)."""
+    vocabulary = durable(windows.select(F.explode("terms").alias("term")).distinct())
     every = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
     counted = lambda rows: rows.groupBy("term").agg(F.count("*").alias("n"))
     few = bounded(vocabulary)
     # A small vocabulary filters words where they are read; a large one meets their counts.
-    counts = counted(every.join(few, "term")) if few is not vocabulary else counted(every).join(vocabulary, "term")
-    counts = durable(counts)
-    placed = phrases.select("phrase", F.posexplode("terms").alias("at", "term")).join(bounded(counts), "term", "left")
-    rank = Window.partitionBy("phrase").orderBy(F.coalesce("n", F.lit(0)), "at")
+    counts = durable(counted(every.join(few, "term")) if few is not vocabulary else counted(every).join(vocabulary, "term"))
+    placed = windows.select("window", F.posexplode("terms").alias("at", "term")).join(bounded(counts), "term", "left")
+    rank = Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "at")
     rarest = placed.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= RAREST)
-    lists = rarest.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("rank", "term", "at", "n"))).alias("r"))
+    lists = rarest.groupBy("window").agg(F.sort_array(F.collect_list(F.struct("rank", "term", "at", "n"))).alias("r"))
     # A window with a term that no document has stands nowhere.
     lists = lists.where(F.col("r")[0]["n"] > 0)
     first = F.col("r")[0]
     rest = F.transform(F.filter(F.slice("r", 2, RAREST), lambda r: r["n"] <= LONGER * first["n"]), lambda r: F.struct(r["term"].alias("term"), (r["at"] - first["at"]).alias("step")))
-    return phrases.join(lists, "phrase").select("phrase", "terms", first["term"].alias("anchor"), first["at"].alias("at"), rest.alias("rest"))
+    return lists.select("window", first["term"].alias("anchor"), first["at"].alias("at"), rest.alias("rest"))
 
 
 def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -84,45 +83,49 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return words.join(bounded(terms), "term").select(*KEY, "term", "pos").distinct()
 
 
-def intersected(postings: DataFrame, plan: DataFrame, n: int) -> DataFrame:
-    """(id_key, text_key, phrase, start, aligned, near): candidates and which intersections they pass.
+def intersected(postings: DataFrame, plan: DataFrame, n: int, proximity: bool = True) -> DataFrame:
+    """(id_key, text_key, window, start, aligned, near): candidates and which intersections they pass.
 
-    Positions are met in blocks of n, each candidate looking into the block of its anchor and the two beside it.
+    Without proximity the next terms' postings are met at their offsets only. With it positions are met in blocks of n,
+    each candidate looking into the block of its anchor and the two beside it.
     """
     anchors = postings.join(bounded(plan), postings["term"] == plan["anchor"])
-    found = anchors.select(*KEY, "phrase", "pos", (F.col("pos") - F.col("at")).alias("start"), "rest").where("start >= 0")
-    alone = found.where(F.size("rest") == 0).select(*KEY, "phrase", "start", F.lit(True).alias("aligned"), F.lit(False).alias("near"))
-    block = lambda c: F.floor(c / F.lit(n)).cast("long")
-    asked = found.where(F.size("rest") > 0).select(*KEY, "phrase", "start", F.col("pos").alias("by"), F.size("rest").alias("lists"), F.posexplode("rest").alias("nth", "r"))
-    asked = asked.select(*KEY, "phrase", "start", "by", "lists", "nth", "r.term", "r.step", F.explode(F.array(*[block(F.col("by")) + k for k in (-1, 0, 1)])).alias("block"))
-    met = asked.join(postings.withColumn("block", block(F.col("pos"))), [*KEY, "term", "block"]).where(F.abs(F.col("pos") - F.col("by")) < n)
+    found = anchors.select(*KEY, "window", "pos", (F.col("pos") - F.col("at")).alias("start"), "rest").where("start >= 0")
+    alone = found.where(F.size("rest") == 0).select(*KEY, "window", "start", F.lit(True).alias("aligned"), F.lit(False).alias("near"))
+    asked = found.where(F.size("rest") > 0).select(*KEY, "window", "start", F.col("pos").alias("by"), F.size("rest").alias("lists"), F.posexplode("rest").alias("nth", "r")).select("*", "r.term", "r.step").drop("r")
+    if proximity:
+        block = lambda c: F.floor(c / F.lit(n)).cast("long")
+        beside = asked.withColumn("block", F.explode(F.array(*[block(F.col("by")) + k for k in (-1, 0, 1)])))
+        met = beside.join(postings.withColumn("block", block(F.col("pos"))), [*KEY, "term", "block"]).where(F.abs(F.col("pos") - F.col("by")) < n)
+    else:
+        met = asked.withColumn("pos", F.col("by") + F.col("step")).join(postings, [*KEY, "term", "pos"])
     bit = lambda hit: F.bit_or(F.when(hit, F.expr("shiftleft(1, nth)")).otherwise(0))
-    masks = met.groupBy(*KEY, "phrase", "start", "lists").agg(bit(F.col("pos") == F.col("by") + F.col("step")).alias("at_steps"), bit(F.lit(True)).alias("around"))
+    masks = met.groupBy(*KEY, "window", "start", "lists").agg(bit(F.col("pos") == F.col("by") + F.col("step")).alias("at_steps"), bit(F.lit(True)).alias("around"))
     full = F.expr("shiftleft(1, lists) - 1")
-    passed = masks.where(F.col("around") == full).select(*KEY, "phrase", "start", (F.col("at_steps") == full).alias("aligned"), F.lit(True).alias("near"))
+    passed = masks.where(F.col("around") == full).select(*KEY, "window", "start", (F.col("at_steps") == full).alias("aligned"), F.lit(proximity).alias("near"))
     return alone.unionByName(passed)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Exact matches (id_key, text_key, phrase, start, words), those of proximity (id_key, text_key, phrase, start), and windows."""
-    windows = durable(windows_of(benchmark, n))
+def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, proximity: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Exact matches (id_key, text_key, window, start, words), those of proximity (id_key, text_key, window, start), and (item_id, window)."""
+    windows, items = windows_of(benchmark, n)
     plan = durable(sought(docs, windows))
     terms = plan.select(F.explode(F.concat(F.array("anchor"), F.col("rest.term"))).alias("term")).distinct()
-    candidates = durable(intersected(durable(index(docs, durable(terms))), plan, n))
-    whole = plan.select("phrase", "terms")
-    asked = durable(candidates.where("aligned").join(bounded(whole), "phrase").select(*KEY, "phrase", "start", "terms"))
+    candidates = durable(intersected(durable(index(docs, durable(terms))), plan, n, proximity))
+    asked = durable(candidates.where("aligned").select(*KEY, "window", "start"))
     words = docs.select(*key_of(), words_of(F.col("text")).alias("w"))
-    exact = words.join(bounded(asked), KEY).where(F.slice("w", F.col("start") + 1, F.size("terms")) == F.col("terms"))
-    exact = durable(exact.select(*KEY, "phrase", "start", F.size("terms").alias("words")).distinct())
-    return exact, candidates.where("near").select(*KEY, "phrase", "start"), windows.select("item_id", "phrase")
+    placed = words.join(bounded(asked), KEY).join(bounded(windows), "window")
+    exact = placed.where(F.slice("w", F.col("start") + 1, F.size("terms")) == F.col("terms"))
+    exact = durable(exact.select(*KEY, "window", "start", F.size("terms").alias("words")).distinct())
+    return exact, candidates.where("near").select(*KEY, "window", "start"), items
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, proximity: bool = True) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, contaminated, n_near) for each row of docs (doc_id, text).
 
-    n_near: items with a match of proximity, exact ones among them.
+    n_near: items with a match of proximity, exact ones among them; 0 where these aren't asked for.
     """
-    exact, near, windows = matches(docs, benchmark, n)
+    exact, near, of_items = matches(docs, benchmark, n, proximity)
     spans = exact.select(*KEY, "start", (F.col("start") + F.col("words")).alias("end")).distinct()
     before = Window.partitionBy(*KEY).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     covered = (
@@ -130,8 +133,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS)
         .groupBy(*KEY)
         .agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "reached"))).alias("n_hit"))
     )
-    named = bounded(windows)
-    items = lambda rows: rows.select(*KEY, "phrase").distinct().join(named, "phrase").groupBy(*KEY)
+    named = bounded(of_items)
+    items = lambda rows: rows.select(*KEY, "window").distinct().join(named, "window").groupBy(*KEY)
     listed = items(exact).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))  # item ids of the benchmark at most
     close = items(near).agg(F.count_distinct("item_id").alias("n_near"))
     hits = durable(covered.join(listed, KEY).join(close, KEY, "full"))
@@ -145,6 +148,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS)
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
     """Docs without the contaminated rows."""
-    bad = durable(decontaminate(docs, benchmark, n).where("contaminated").select(*KEY).distinct())
-    keyed = docs.withColumns(dict(zip(("__id_key", "__text_key"), key_of(), strict=True)))
-    return keyed.join(bounded(bad), (F.col("__id_key") == F.col("id_key")) & (F.col("__text_key") == F.col("text_key")), "left_anti").drop("__id_key", "__text_key")
+    found = decontaminate(docs, benchmark, n, proximity=False).where("contaminated")
+    bad = durable(found.select(F.col("id_key").alias("__bad_id"), F.col("text_key").alias("__bad_text")).distinct())
+    keyed = docs.withColumns(dict(zip(("__id", "__text"), key_of(), strict=True)))
+    return keyed.join(bounded(bad), (F.col("__id") == F.col("__bad_id")) & (F.col("__text") == F.col("__bad_text")), "left_anti").drop("__id", "__text")
