@@ -45,7 +45,10 @@ def neighbours_by_time(hits: DataFrame, atoms: DataFrame, reach: int = 24_000, m
 
 
 def timeline_hints(atoms: DataFrame, notes: DataFrame, reach: int = 12_000) -> DataFrame:
-    """(atom_id, note_ids, note_titles): notes of the item whose anchor is within reach of either end of an atom."""
+    """(atom_id, note_ids, note_titles): notes of the item whose anchor is within reach of either end of an atom.
+
+    An atom's notes are gathered in one row: those of one item within seconds, a handful in practice.
+    """
     size = 2 * reach
     bucket = lambda c: F.floor(c / F.lit(size)).cast("bigint")
     near_ends = F.array_distinct(F.flatten(F.array(*[F.sequence(bucket(F.col(c) - reach), bucket(F.col(c) + reach)) for c in ("start_ms", "end_ms")])))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import terms as clues
 from tidepool.functions import text, web
 from tidepool.operators import documents, merges, records, retrieval, segments, states
-from tidepool.plans.catalogue import _CLEAN, _WALK, LOW, query, read, spoken, texts
+from tidepool.plans.catalogue import _CLEAN, _WALK, LOW, TERMS, TOP50, query, read, spoken, texts
 from tidepool.plans.search import Memory
 from tidepool.session import shared_folder
 from tidepool.sources import readers, sinks, vectors
@@ -781,3 +781,13 @@ def summaries(spark, d):
     made = s.sanitized(answer, F.lit("F"))
     rule = s.fallback_scene(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.array("source")), F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"), F.lit("T"))
     return texts(spark, d).select("doc_id", F.coalesce(made["scene_title"], F.lit("")).alias("title"), F.coalesce(F.array_join(made["memory_clues"], ","), F.lit("")).alias("clues"), F.trim(rule["scene_title"]).alias("by_rule"), F.array_join(s.boundaries(answer).cast("array<string>"), ",").alias("ends"))
+
+
+@query(f"SELECT doc_id, source, lang, lexical_score FROM ({TOP50})")
+def lexical_indexed_topk(spark, d):
+    """The lexical top-k by an index of letter trigrams."""
+    from tidepool.operators import gram_index
+
+    docs = texts(spark, d)
+    gram_index.write_index(docs, at := folder(spark))
+    return gram_index.indexed_topk(docs, spark.read.parquet(at), TERMS, 50, order=("lang", "source", "doc_id")).select("doc_id", "source", "lang", "lexical_score")
