@@ -49,6 +49,8 @@ END = np.uint64(0x0123456789ABCDEF)
 HELD = 1 << 20
 #: Entries that one step of the word exchange weighs against all classes.
 WEIGHED = 1 << 16
+#: Counts whose gains are worked out once.
+FEW = 24
 
 
 @dataclass
@@ -141,13 +143,13 @@ def paired(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.Recor
 def sided(batches: Iterator[pa.RecordBatch], units: Units, label: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(h, slot, n) of the words that are no units: class before (from 0), class after (from CLASSES)."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    slots = 2 * CLASSES
 
     def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, slot, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((slot, h))
-        h, slot, n = h[order], slot[order], n[order]
-        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (slot[1:] != slot[:-1])])) if len(h) else np.zeros(0, np.int64)
-        return h[new], slot[new], np.add.reduceat(n, new) if len(new) else n
+        word, nth = np.unique(h, return_inverse=True)
+        key, inverse = np.unique(nth * slots + slot, return_inverse=True)  # numbers sort faster than pairs
+        return word[key // slots], key % slots, np.bincount(inverse, n, minlength=len(key)).astype(np.int64)
 
     def out(x: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
         return pa.record_batch({"h": x[0].view(np.int64), "slot": x[1].astype(np.int32), "n": x[2].astype(np.int64)})
@@ -155,9 +157,10 @@ def sided(batches: Iterator[pa.RecordBatch], units: Units, label: np.ndarray) ->
     for _, block in split(batches):
         t = tokens(block)
         unit = units.contexts(t)
-        mine = np.flatnonzero(units.find(t.hashes) < 0)  # never the end, so a token follows in the text
-        slots = np.concatenate([label[before(unit)[mine]], CLASSES + label[unit[mine + 1]]])
-        held.append((np.tile(t.hashes[mine], 2), slots, np.ones(2 * len(mine), np.int64)))
+        mine = np.flatnonzero(unit >= units.room)  # never the end, so a token follows in the text
+        word, nth = np.unique(t.hashes[mine], return_inverse=True)
+        key, n = np.unique(np.concatenate([nth * slots + label[before(unit)[mine]], nth * slots + CLASSES + label[unit[mine + 1]]]), return_counts=True)
+        held.append((word[key // slots], key % slots, n))
         if sum(len(x[0]) for x in held) > HELD:
             held = [merged()]
             if len(held[0][0]) > HELD // 2:
@@ -172,6 +175,8 @@ ASSIGNED = "h long, n long, class int, cell int"
 def assigned(batches: Iterator[pa.RecordBatch], n: np.ndarray) -> Iterator[pa.RecordBatch]:
     """From rows (h, slot, n) sorted by h: (h, n, class) of each word, and (cell, n) of class bigrams that end in such words."""
     tables = np.concatenate([n, n.T])  # for class before i, row i: its pairs with each class; for class after, likewise
+    # What so few more pairs add to the likelihood is looked up; most words are rare.
+    few = np.stack([xlogx(tables + k) - xlogx(tables) for k in range(FEW + 1)])
     rows, columns = n.sum(1), n.sum(0)
     cells = np.zeros(CLASSES * CLASSES, np.int64)
 
@@ -181,8 +186,10 @@ def assigned(batches: Iterator[pa.RecordBatch], n: np.ndarray) -> Iterator[pa.Re
         word = np.cumsum(np.concatenate([[False], h[1:] != h[:-1]]))
         for a in range(0, len(h), WEIGHED):
             part = slice(a, a + WEIGHED)
-            base = tables[slot[part]]
-            more = xlogx(base + count[part, None]) - xlogx(base)
+            many = count[part] > FEW
+            more = few[np.where(many, 0, count[part]), slot[part]]
+            base = tables[slot[part][many]]
+            more[many] = xlogx(base + count[part][many, None]) - xlogx(base)
             cut = np.flatnonzero(np.concatenate([[True], np.diff(word[part]) > 0]))
             gain[word[part][cut]] += np.add.reduceat(more, cut, axis=0)
         is_left = slot < CLASSES
@@ -285,27 +292,25 @@ def flat(batches: Iterator[pa.RecordBatch], model: ClassModel) -> Iterator[pa.Re
         per_row = lambda x, first=t.first: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x[:0]
         rare = np.flatnonzero(~known)
         row = np.repeat(np.arange(block.rows), np.diff(t.first))[rare]
-        order = np.lexsort((context[rare], t.hashes[rare], row))
-        rare, row = rare[order], row[order]
-        h, c = t.hashes[rare], context[rare]
-        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1]) | (c[1:] != c[:-1])])) if len(row) else np.zeros(0, np.int64)
-        tf = np.diff(np.concatenate([new, [len(row)]]))
-        who = np.concatenate([np.arange(block.rows), row[new]])
-        blank = np.zeros(len(new))
+        word, at_first, nth = np.unique(t.hashes[rare], return_index=True, return_inverse=True)
+        key, tf = np.unique((row * max(1, len(word)) + nth) * CLASSES + context[rare], return_counts=True)
+        c, nth, row = key % CLASSES, key // CLASSES % max(1, len(word)), key // CLASSES // max(1, len(word))
+        who = np.concatenate([np.arange(block.rows), row])
+        blank = np.zeros(len(key))
         texts = np.zeros(block.rows, np.int64)
         yield pa.record_batch(
             {
                 "doc_id": batch.column("doc_id").take(pa.array(who)),
                 "thash": t.texts[who].view(np.int64),
-                "h": np.concatenate([t.texts, h[new]]).view(np.int64),
+                "h": np.concatenate([t.texts, word[nth]]).view(np.int64),
                 "tf": np.concatenate([texts, tf]),
                 "rows": np.concatenate([texts + 1, blank.astype(np.int64)]),
                 "n_tokens": np.concatenate([np.diff(t.first), blank.astype(np.int64)]),
                 "n_cached": np.concatenate([per_row(known.astype(np.int64)), blank.astype(np.int64)]),
                 "s_cached": np.concatenate([per_row(log), blank]),
                 "s_class": np.concatenate([per_row(step), blank]),
-                "context": np.concatenate([texts, c[new]]).astype(np.int32),
-                "group": np.concatenate([texts, model.label[model.units.room + t.suffix[rare[new]]]]).astype(np.int32),
+                "context": np.concatenate([texts, c]).astype(np.int32),
+                "group": np.concatenate([texts, model.label[model.units.room + t.suffix[rare[at_first[nth]]]]]).astype(np.int32),
             }
         )
 
@@ -393,7 +398,8 @@ def score_texts(docs: DataFrame, held_out_fold: int = 0, folds: int = 10) -> Dat
     one = lambda c: F.col(c).cast("double") / F.col("copies")
     whole_log = float(np.log10(int(total["n"]) + ADDED * (int(total["v"]) + 1)))
     score = one("emitted") + one("classed")
-    return dealt(sums, F.col("copies"), "copy", ["doc_id", "thash"]).select(
+    sums = durable(sums)
+    return dealt(sums, F.col("copies"), "copy", ["doc_id", "thash"], sums).select(
         "doc_id",
         held_out.alias("held_out"),
         one("n_tokens").cast("long").alias("n_tokens"),

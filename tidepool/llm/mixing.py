@@ -153,13 +153,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 def copies(docs: DataFrame) -> DataFrame:
     """``mix`` with a row for each row of docs: (doc_id, source, size, source_size, target, copies)."""
-    each = dealt(mix(docs), F.col("rows"), "__nth", ["a", "b"])
+    units = durable(mix(docs))
+    each = dealt(units, F.col("rows"), "__nth", ["a", "b"], units)
     return each.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.when(F.col("__nth") <= F.col("extra"), 1).otherwise(0)).alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, seed: int = 11) -> DataFrame:
     """Docs with each row as often as the mix takes it; whole rows travel once, equal ones together."""
     plan = mix(docs, weights, share, ceiling, seed, tuple(docs.columns))
-    times = plan.select(F.col("a").alias("__a"), F.col("b").alias("__b"), (F.col("whole") * F.col("rows") + F.col("extra")).alias("__times")).where("__times > 0")
+    times = durable(plan.select(F.col("a").alias("__a"), F.col("b").alias("__b"), (F.col("whole") * F.col("rows") + F.col("extra")).alias("__times")).where("__times > 0"))
     rows = distinct_rows(docs).join(times, ["__a", "__b"])
-    return dealt(rows, F.col("__times"), "__nth", ["__a", "__b"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return dealt(rows, F.col("__times"), "__nth", ["__a", "__b"], times).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -32,13 +32,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a Parquet table in the shared folder."""
-    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+def stored(df: DataFrame, at: str | None = None) -> DataFrame:
+    """Cuts lineage with a Parquet table, in the shared folder if no place is named."""
+    at = at or place(df.sparkSession)
     df.write.parquet(at)
     return df.sparkSession.read.parquet(at)
 
 
+def place(spark: SparkSession) -> str:
+    """A place for a table in the shared folder."""
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def dropped(spark: SparkSession, at: str) -> None:
+    """Deletes a stored table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held(c: Column, kind: T.DataType) -> Column:
     """A column as something that can be hashed: maps can't."""
     return F.to_json(F.struct(c.alias("v"))) if "map<" in kind.simpleString() or "variant" in kind.simpleString() else c
@@ -61,9 +72,14 @@ def distinct_rows(docs: DataFrame, columns: list[str] | None = None) -> DataFram
     return keyed.dropDuplicates(["__a", "__b"])
 
 
-def dealt(rows: DataFrame, times: Column, nth: str, by: list[str]) -> DataFrame:
-    """Rows as often as times says, numbered from 1; more than DEALT copies are made in blocks, dealt to tasks by ``by``."""
-    few = rows.where(times <= DEALT).withColumn(nth, F.explode(F.sequence(F.lit(1), times.cast("long"), F.lit(1))))
+def dealt(rows: DataFrame, times: Column, nth: str, by: list[str], counts: DataFrame) -> DataFrame:
+    """Rows as often as times says, numbered from 1; more than DEALT copies are made in blocks, dealt to tasks by ``by``.
+
+    ``counts`` has times at hand without the rows: where none is above DEALT, rows are read once.
+    """
+    few = rows.where(times <= DEALT).withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"), F.lit(1).cast("long"))))
+    if counts.where(times > DEALT).isEmpty():
+        return few
     blocks = rows.where(times > DEALT).withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / F.lit(DEALT)).cast("long"))))
     blocks = blocks.repartition(*by, "__block")
     many = blocks.withColumn(nth, F.explode(F.sequence(F.col("__block") * DEALT + 1, F.least(times.cast("long"), (F.col("__block") + 1) * DEALT)))).drop("__block")
