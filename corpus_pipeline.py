@@ -18,7 +18,7 @@ from tidepool.llm.language import UNDETERMINED, identify_languages
 from tidepool.llm.mixing import mixed
 from tidepool.llm.sharding import sharded
 from tidepool.llm.simhash import deduplicated
-from tidepool.llm.tables import stored, table
+from tidepool.llm.tables import dropped, place, stored, table
 
 #: Texts whose best language scores below this are rejected. The best of k languages scores 1/k at least, so this takes ten.
 LEAST_SCORE = 0.1
@@ -66,10 +66,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stored in the shared folder before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each stored in the shared folder before the next reads it; what no stage needs any more goes."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs)
+        if name == STAGES[-1][0]:
+            return docs
+        at = place(spark)
+        docs = stored(docs, at)
+        if before:
+            dropped(spark, before)
+        before = at
     return docs
