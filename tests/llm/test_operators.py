@@ -98,6 +98,29 @@ def test_quality_learns(spark):
     assert all(0 <= r.quality <= 1 for r in got.values())
 
 
+def test_quality_score_by_hand():
+    """The probability of a text, feature by feature in plain loops, from the model's weights."""
+    rng = np.random.default_rng(14)
+    size = 1 << quality.BITS
+    model = quality.QualityModel(rng.normal(size=(quality.FAMILIES, size)), 0.3, 1.7, -0.2)
+    texts = ["", "one", "a b a b é漢 c", "the quick brown fox, the quick"]
+    block = blocks.Block.of(pa.array(texts, pa.string()))
+    _, _, first, hashes = quality.word_hashes(block)
+    got = model.probability(quality.raw_scores(block, hashes, first, model))
+    one = lambda w: int(quality.word_hashes(blocks.Block.of(pa.array([w])))[3][0])
+    top = 64 - quality.BITS
+    for t, p in zip(texts, got):
+        words, raw = [one(w) for w in SPACED.findall(t)], model.bias
+        pairs = [int(blocks.chained(np.array(words[i : i + 2], np.uint64), np.array([0, 2]), 2)[0][0]) for i in range(len(words) - 1)]
+        families = [[h >> top for h in words], [h >> top for h in pairs]]
+        for n in quality.CHAR_ORDERS:
+            data = t.encode()
+            families.append([(int.from_bytes(data[i : i + n], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - quality.BITS) for i in range(len(data) - n + 1)])
+        for k, buckets in enumerate(families):
+            raw += sum(model.weights[k][b] for b in buckets) / max(1, len(buckets))
+        assert p == pytest.approx(1 / (1 + math.exp(-(1.7 * raw - 0.2))))
+
+
 def test_quality_awkward(spark):
     out = quality.score_quality(clashing(awkward(spark)), labels(spark, []))
     got = {(r.doc_id, r.n_words): r for r in out.collect()}
@@ -124,6 +147,35 @@ def test_language_kernel_is_presence_cosine():
     assert x[0] @ x[1] == len(grams[0] & grams[1])
 
 
+def test_language_scores_by_hand():
+    """Kernels against landmarks and one-versus-rest scores, by sets of n-grams in plain loops."""
+    rng = np.random.default_rng(15)
+    said = {"xx": ["lorem", "ipsum", "dolor", "sit"], "yy": ["çà", "und", "ñandú", "漢字"]}
+    rows = [{"doc_id": i, "label": k, "text": " ".join(rng.choice(w, 12))} for i in range(20) for k, w in said.items()]
+    model = language.fit(sorted(rows, key=lambda r: r["label"]))
+
+    def buckets(text):
+        data, out = text.lower().encode(), set()
+        for n in language.ORDERS:
+            for i in range(len(data) - n + 1):
+                code = n
+                for b in data[i : i + n]:
+                    code = (code * 0x01000193 + b) & 0xFFFFFFFF
+                out.add((code * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - language.DIM_BITS))
+        return out
+
+    texts = ["Lorem ipsum", "UND çà 漢字", "", "lorem und", "123"]
+    got = next(language.labelled(iter([pa.record_batch({"doc_id": pa.array(range(5)), "text": pa.array(texts)})]), model)).to_pylist()
+    for t, r in zip(texts, got):
+        held = sorted(buckets(t))
+        kernel = np.array([model.landmarks[held, k].sum() / max(1.0, math.sqrt(len(held))) for k in range(model.landmarks.shape[1])])
+        raw = kernel @ model.heads + model.bias
+        if any(c.isalpha() for c in t):
+            assert r["lang_pred"] == model.languages[int(raw.argmax())] and r["score"] == pytest.approx(min(1, max(0, (raw.max() + 1) / 2)), abs=1e-4)
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+
+
 def test_language_awkward(spark):
     out = language.identify_languages(clashing(awkward(spark)))
     got = {r.doc_id: (r.lang_pred, r.score) for r in out.collect()}
@@ -341,7 +393,7 @@ def test_sharding(spark):
     assert all(r.text_crc32 == zlib.crc32((texts[r.doc_id]).encode()) for r in got if r.doc_id in texts and r.doc_id not in (1, 7))
     # Equal texts stand together unless they fill more than a shard.
     assert len({r.shard for r in got if r.text_crc32 == zlib.crc32(b"hot text")}) < 8
-    assert sharding.shard(docs(spark, []), 8).count() == 0 and sharding.shard(awkward(spark), 40).count() == 11
+    assert sharding.shard(docs(spark, []), 8).count() == 0 and sharding.shard(clashing(awkward(spark)), 40).count() == 11
 
 
 def test_sharding_cuts_rows_of_one_id(spark, monkeypatch):
@@ -530,13 +582,21 @@ def test_words_move_to_their_best_class():
         assert scores[got[w]] == pytest.approx(max(scores))
 
 
+def test_null_ids_are_in_no_fold(spark):
+    frame = docs(spark, [(None, "text of none"), (2, "text of two")])
+    got = frame.select("doc_id", *[sampling.in_fold(sampling.F.col("doc_id"), n, k).alias(f"f{n}{k}") for n in (4, 5, 10) for k in range(n)]).collect()
+    for r in got:
+        for n in (4, 5, 10):
+            assert [r[f"f{n}{k}"] for k in range(n)].count(True) == (r.doc_id is not None)
+
+
 def test_language_model_beats_unigrams(spark, sf_dir):
     got = [r for r in QUERIES["op8_language_model"](spark, sf_dir).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
 def test_language_model_awkward(spark):
-    assert language_model.score_texts(awkward(spark)).count() == 11 and language_model.score_texts(docs(spark, [])).count() == 0
+    assert language_model.score_texts(clashing(awkward(spark))).count() == 11 and language_model.score_texts(docs(spark, [])).count() == 0
 
 
 def likelihood(pairs, label, classes):
@@ -739,7 +799,7 @@ def test_toxicity_copies_are_no_evidence(spark):
 
 
 def test_toxicity_awkward(spark):
-    out = toxicity.score_toxicity(awkward(spark), labels(spark, []))
+    out = toxicity.score_toxicity(clashing(awkward(spark)), labels(spark, []))
     got = {r.doc_id: r.predicted for r in out.collect()}
     assert out.count() == 11 and got[1] == got[2] == 0
     assert toxicity.score_toxicity(docs(spark, [(1, "You are a stupid, worthless idiot!")]), labels(spark, [])).first().predicted == 1

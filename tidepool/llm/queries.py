@@ -132,3 +132,97 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns(number).select(
         "doc_id", *number, F.sha2(listed(F.col("seeds")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("seeds", "added"))).alias("spans")
     )
+
+
+# Columns of the operators' results that SQL can express, each from its operator, beside the queries above.
+
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+_PLAIN = _WORDS.format("text")
+
+
+@query
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of op3's sources."""
+    from tidepool.llm.mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.groupBy("source", "source_size").agg(F.round(F.max("target"), 6).alias("target"), F.sum("rows").alias("documents"))
+
+
+ORACLES["mix_targets"] = rf"""
+WITH s AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), {_SPACED})))::BIGINT AS size, count(*) AS documents FROM documents GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+o AS (SELECT *, 2.0::DOUBLE * size / weight AS ratio, row_number() OVER (ORDER BY 2.0::DOUBLE * size / weight, source) AS k FROM w),
+cuts AS (SELECT k, ratio, (1.5 * (SELECT sum(size) FROM w) - coalesce(2.0 * sum(size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, coalesce(lag(ratio) OVER (ORDER BY k), 0) AS below FROM o),
+level AS (SELECT max(level) AS level FROM cuts WHERE below <= level AND level <= ratio)
+SELECT source, size AS source_size, round(least(2.0::DOUBLE * size, weight * level.level), 6) AS target, documents FROM w, level
+"""
+
+
+@query
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of op6's records, and how near to equal its shards are."""
+    from tidepool.llm.sharding import shard
+
+    out = shard(table(spark, sf_dir, "documents"))
+    each = out.groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("slot").alias("last"), F.max("size").alias("largest"))
+    near = F.max("size") - F.min("size") <= 2 * F.max("largest")
+    return each.agg(F.sum("size").alias("bytes"), F.count("*").alias("shards"), F.bool_and(F.col("last") + 1 == F.col("n")).alias("gapless"), near.alias("near"))
+
+
+ORACLES["shard_sizes"] = "SELECT sum(coalesce(strlen(text), 0) + 16)::BIGINT AS bytes, least(40, count(*)) AS shards, true AS gapless, true AS near FROM documents"
+
+
+@query
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base verdict of op1."""
+    from tidepool.llm.quality import score_quality
+
+    out = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").limit(0))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+ORACLES["quality_counts"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS p FROM (SELECT r, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, p) AS n FROM win) WHERE n > 1),
+hit AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(generate_series(i, i + 4)) AS j FROM twice) GROUP BY r),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines, coalesce(hit.n, 0) AS n_repeat_words FROM d LEFT JOIN hit USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
+"""
+
+
+@query
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base phrases of op5."""
+    from tidepool.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+ORACLES["license_base"] = rf"""
+WITH p AS (SELECT doc_id, len(w)::BIGINT AS n_words, list_concat(
+    list_transform(list_filter(generate_series(1, len(w)), lambda i: w[i] = 'mit' AND w[i + 1] = 'license'), lambda i: {{'at': i - 1, 'label': 'mit'}}),
+    list_transform(list_filter(generate_series(1, len(w)), lambda i: w[i] = 'apache' AND w[i + 1] = 'license'), lambda i: {{'at': i - 1, 'label': 'apache'}}),
+    list_transform(list_filter(generate_series(1, len(w)), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license'), lambda i: {{'at': i - 1, 'label': 'gpl'}})) AS x
+FROM (SELECT doc_id, {_PLAIN} AS w FROM documents))
+SELECT doc_id, n_words, len(x)::BIGINT AS n_base, list_min(list_transform(x, lambda e: e.at)) AS first_word, list_max(list_transform(x, lambda e: e.at)) AS last_word,
+    array_to_string(list_sort(list_distinct(list_transform(x, lambda e: e.label))), ',') AS base_labels FROM p
+"""
+
+
+@query
+def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op9."""
+    return op9_personal_data(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+ORACLES["personal_data_counts"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email,
+    len(list_filter(regexp_extract_all(t, '[0-9]+(?:\.[0-9]+){3}'), lambda x: list_max(list_transform(string_split(x, '.'), lambda y: try_cast(y AS HUGEINT))) <= 255))::BIGINT AS n_ip,
+    list_filter(list_transform(regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) BETWEEN 12 AND 19) AS cards,
+    len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15))::BIGINT AS n_phone FROM d)
+SELECT doc_id, n_email, n_ip, n_phone, len(list_filter(cards, lambda x: list_sum(list_transform(string_split(reverse(x), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN c::INT * 2 - 9 ELSE c::INT * 2 END)) % 10 = 0))::BIGINT AS n_card FROM m
+"""
