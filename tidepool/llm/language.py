@@ -25,13 +25,13 @@ from tidepool.llm.blocks import Block, split
 from tidepool.llm.sampling import fold, labelled_sample, narrow
 
 ORDERS = (1, 2, 3, 4)
-DIM_BITS = 16
+DIM_BITS = 15
 #: Labelled rows of each language that are learned from at most, how many of them are landmarks, and landmarks in all
 #: (with more languages each has fewer, one at least), so that the model's size follows the languages only from there on.
 FIT_ROWS = 250
 LANDMARKS, MOST_LANDMARKS = 24, 960
 RIDGE = 1e-3
-#: Rows whose presence vectors stand in memory at once: 32 * 2**16 * 4 bytes.
+#: Rows whose presence vectors stand in memory at once: 32 * 2**15 * 4 bytes.
 ROWS_AT_ONCE = 32
 UNDETERMINED = "und"
 
