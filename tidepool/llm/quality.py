@@ -140,6 +140,22 @@ def design(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(code), np.concatenate(row), np.concatenate(value)
 
 
+class Sums:
+    """Sums of values by a key, for one order of the values: they are sorted by it once."""
+
+    def __init__(self, key: np.ndarray, size: int) -> None:
+        self.order = np.argsort(key, kind="stable")
+        held = key[self.order]
+        self.start = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, np.int64)
+        self.key, self.size = held[self.start], size
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.size)
+        if len(self.start):
+            out[self.key] = np.add.reduceat(values, self.start)
+        return out
+
+
 def logistic(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
@@ -171,15 +187,19 @@ def fit(rows: list, seed: int = 7, rounds: int = 80) -> QualityModel | None:
     half = {c: 0.5 / max(1, (fitted & (y == c)).sum()) for c in (0.0, 1.0)}
     share = np.where(y > 0, half[1.0], half[0.0]) * fitted
     size = FAMILIES << BITS
+    # The matrix by rows for the scores, and by features for the gradient.
+    by_row, by_code = Sums(row, len(y)), Sums(code, size)
+    code, x_row = code[by_row.order], x[by_row.order]
+    row, x_code = row[by_code.order], x[by_code.order]
     w, bias, squares, bias_squares = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
     for _ in range(rounds):
-        g = (logistic(np.bincount(row, x * w[code], minlength=len(y)) + bias) - y) * share
-        grad = np.bincount(code, x * g[row], minlength=size) + 1e-6 * w
+        g = (logistic(by_row.of(x_row * w[code]) + bias) - y) * share
+        grad = by_code.of(x_code * g[row]) + 1e-6 * w
         squares += grad * grad
         w -= 0.2 * grad / np.sqrt(squares)
         bias_squares += g.sum() ** 2
         bias -= 0.2 * g.sum() / np.sqrt(bias_squares)
-    raw = np.bincount(row, x * w[code], minlength=len(y)) + bias
+    raw = by_row.of(x_row * w[code]) + bias
     test = ~fitted if len(set(y[~fitted])) > 1 else fitted
     slope, shift = platt(raw[test], y[test])
     return QualityModel((w * SCALE).reshape(FAMILIES, -1), bias, slope, shift)
