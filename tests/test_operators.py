@@ -172,9 +172,11 @@ def test_repair_and_chunks(spark):
     frame = spark.createDataFrame([(noisy, "x" * 1500), (noisy[1:], "x"), ([], "")], "segments array<struct<text:string,asr_confidence:double>>, text string")
     got = segments.repaired(frame).collect()
     assert [r.refused for r in got] == [None, "nothing removed", "no segments"] and len(got[0].cleaned) == 60
-    parts = spark.createDataFrame([([("a ", [(0, 5, "a", None)], None, "zh", 0), ("", None, "m", None, 1000), ("b", [(1, 2, "b", None)], "n", "en", 2000)],)], f"p array<struct<text:string,segments:array<{segments.SEGMENT}>,model_name:string,language:string,offset_ms:bigint>>")
+    word = "struct<segment_index:int,start_ms:bigint,end_ms:bigint,text:string>"
+    rows = [("a ", [(0, 5, "a", None)], [(0, 1, 2, "a")], None, "zh", 0), ("", None, None, "m", None, 1000), ("b", [(1, 2, "b", None)], [(0, 1, 2, "b")], "n", "en", 2000)]
+    parts = spark.createDataFrame([(rows,)], f"p array<struct<text:string,segments:array<{segments.SEGMENT}>,words:array<{word}>,model_name:string,language:string,offset_ms:bigint>>")
     one = parts.select(segments.shifted(F.col("p")).alias("m")).first().m
-    assert (one.text, one.model_name, one.language, one.chunk_count) == ("a\nb", "m", "zh", 3) and [s.start_ms for s in one.segments] == [0, 2001]
+    assert (one.text, one.model_name, one.language, one.chunk_count) == ("a\nb", "m", "zh", 3) and [s.start_ms for s in one.segments] == [0, 2001] and [(w.text, w.end_ms) for w in one.words] == [("a", 2), ("b", 2002)]
 
 
 def test_bridge_skip(spark):

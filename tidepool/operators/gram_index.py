@@ -46,7 +46,7 @@ def write_index(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
 
 def candidates(index: DataFrame, terms: Sequence[str], key: str = "doc_id") -> DataFrame | None:
     """(key) of the documents that may hold a term; None where a term is too short to be sought."""
-    cut = {t: sorted({(low := t.lower())[i : i + LETTERS] for i in range(len(low) - LETTERS + 1)}) for t in terms}
+    cut = {low: sorted({low[i : i + LETTERS] for i in range(len(low) - LETTERS + 1)}) for low in (t.lower() for t in terms)}
     if not cut or any(not g for g in cut.values()):
         return None
     every = sorted({g for gs in cut.values() for g in gs})
