@@ -344,6 +344,8 @@ def list_pages(spark: SparkSession, d: str) -> crawl.Pages:
     events = read(spark, d, "events").where("event_type = 'purchase'").select(F.date_format("ts", "yyyy-MM-dd").alias("published_at"), "event_id")
     # The list is one interface's, so its places are numbered in one task; a crawled source brings its page numbers along.
     rows = events.withColumn("at", F.row_number().over(order) - 1).select(F.floor(F.col("at") / PAGE).cast("int").alias("page"), (F.col("at") % PAGE).alias("nth"), F.col("event_id").cast("string").alias("item_id"), "published_at")
+    shared_folder(spark)
+    rows = rows.checkpoint(eager=True)
     return lambda a, b: rows.where((F.col("page") >= a) & (F.col("page") < b))
 
 

@@ -55,7 +55,8 @@ def stopping_page(rows: DataFrame, mark: Mark | None, refresh_pages: int) -> int
 def sync_latest(pages: Pages, known: DataFrame, mark: Mark | None, refresh_pages: int = 1, most_pages: int | None = None, block: int = 16) -> tuple[DataFrame, Mark | None]:
     """(item_id, published_at, page, known, before, fetch) of the pages that are visited, and the mark to go on from.
 
-    Pages are read in blocks until one is stale or empty; nothing behind the stale page is read by the caller.
+    Pages are read in blocks, each twice as long as the one before, until one is stale or empty; nothing behind the stale
+    page is visited.
     """
     out, at, new = None, 0, None
     while most_pages is None or at < most_pages:
@@ -69,7 +70,7 @@ def sync_latest(pages: Pages, known: DataFrame, mark: Mark | None, refresh_pages
         out = rows if out is None else out.unionByName(rows)
         if stop is not None:
             break
-        at = to
+        at, block = to, 2 * block
     if out is None:
         out = decided(pages(0, 0), known, mark, refresh_pages)
     return out.select("item_id", "published_at", "page", "known", "before", "fetch"), new or mark
