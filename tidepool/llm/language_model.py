@@ -58,10 +58,10 @@ class Tokens:
     hashes: np.ndarray
     suffix: np.ndarray  # suffix unit, from 0
     first: np.ndarray  # rows + 1
-    texts: np.ndarray  # a hash for each whole text
+    texts: np.ndarray | None  # a hash for each whole text, where it is asked for
 
 
-def tokens(block: Block) -> Tokens:
+def tokens(block: Block, named: bool = False) -> Tokens:
     low = block.lowered()
     starts, ends, first = low.words(SPACED)
     rolling = low.rolling()
@@ -70,7 +70,8 @@ def tokens(block: Block) -> Tokens:
     for k in (1, 2, 3):
         code = code * np.uint32(257) + np.where(ends - k >= starts, low.data[np.maximum(ends - k, 0)], 0).astype(np.uint32)
     suffix = ((code * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.int64) % SUFFIX_UNITS if len(starts) else np.zeros(0, np.int64)
-    return Tokens(np.insert(hashes, first[1:], END), np.insert(suffix, first[1:], 0), first + np.arange(block.rows + 1), span_hash(block.rolling(), block.offsets[:-1], block.offsets[1:]))
+    texts = span_hash(block.rolling(), block.offsets[:-1], block.offsets[1:]) if named else None
+    return Tokens(np.insert(hashes, first[1:], END), np.insert(suffix, first[1:], 0), first + np.arange(block.rows + 1), texts)
 
 
 def summed(keys: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -280,7 +281,7 @@ FLAT = "thash long, h long, tf long, rows long, n_tokens long, n_cached long, s_
 def flat(batches: Iterator[pa.RecordBatch], model: ClassModel) -> Iterator[pa.RecordBatch]:
     """A row for each text with its sums (tf 0), and one for each of its words outside the cache and class before it."""
     for batch, block in split(batches):
-        t = tokens(block)
+        t = tokens(block, named=True)
         at = np.minimum(np.searchsorted(model.cache, t.hashes), max(0, len(model.cache) - 1))
         known = model.cache[at] == t.hashes if len(model.cache) else np.zeros(len(t.hashes), bool)
         unit = model.units.contexts(t)
