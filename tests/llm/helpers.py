@@ -6,7 +6,7 @@ DOCS = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
 )
 #: Extra columns with names that operators use inside.
-CLASHING = ["size", "bits", "label", "key", "range", "component_id", "copies", "n", "h", "shard", "score", "kept", "text_key", "at", "spans", "term"]
+CLASHING = ["size", "bits", "label", "key", "range", "component_id", "copies", "n", "h", "shard", "score", "kept", "text_key", "at", "spans", "term", "part", "seq", "fate", "copies", "pos", "class", "length"]
 
 
 def docs(spark, rows):
