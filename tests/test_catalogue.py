@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from tests.conftest import DATA
-from tidepool.plans import catalogue, upkeep  # noqa: F401
+from tidepool.plans import catalogue, indexes, upkeep  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -424,7 +424,7 @@ def test_gram_index_finds_what_a_scan_finds(spark, tmp_path):
     rows = [(i, "".join(rng.choice("abAB cé漢") for _ in range(rng.randint(0, 30))), "t", str(i % 3), i) for i in range(300)] + [(900, None, "t", "0", 1), (901, "x" * 50_000 + "Needle", "t", "0", 2)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, doc_type string, item_key string, doc_index int")
     gram_index.write_index(docs, f"{tmp_path}/grams")
-    index = spark.read.parquet(f"{tmp_path}/grams")
+    index = gram_index.read_index(spark, f"{tmp_path}/grams")
     for terms in (["abc", "BAB"], ["needle"], ["é漢a", "zzz"], ["ab", "abc"], []):
         want = [r.doc_id for r in retrieval.lexical_topk(docs, terms, 40).collect()]
         assert [r.doc_id for r in gram_index.indexed_topk(docs, index, terms, 40).collect()] == want

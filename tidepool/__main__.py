@@ -52,7 +52,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from tidepool.functions.embed import HashProvider, hash_embed
     from tidepool.operators import documents, merges, records, segments, states, stats
-    from tidepool.plans import catalogue, indexing, upkeep  # noqa: F401
+    from tidepool.plans import catalogue, indexes, indexing, upkeep  # noqa: F401
     from tidepool.plans.search import Memory
     from tidepool.session import session
     from tidepool.sources import sinks, vectors

@@ -34,6 +34,31 @@ def boundary_prompt(title: Column, atoms: Column) -> Column:
     return F.concat_ws("\n\n", F.lit('Which of the numbered segments end a scene? Answer with one JSON object {"boundaries": [numbers]}.'), F.concat(F.lit("Episode: "), F.coalesce(title, F.lit(""))), listed)
 
 
+# What a card is called where its item has no title, and how many entries its parts have at most.
+CARD = "节目记忆卡"
+EPISODE_SCENES, EPISODE_NOTES, EPISODE_CLUES, EPISODE_ENTITIES, EPISODE_BODY = 24, 12, 12, 10, 400
+
+
+def episode_prompt(title: Column, tags: Column, note_titles: Column, scene_titles: Column, scene_texts: Column) -> Column:
+    """What a writer is asked about a whole episode: its first scenes and notes, its tags."""
+    ask = "Write a memory card for the episode below as one JSON object with the fields scene_title, summary, memory_clues, entities, aliases and quoted_phrases. Invent nothing."
+    none = F.array().cast("array<string>")
+    listed = lambda name, values, most: F.concat(F.lit(f"{name}: "), F.array_join(F.slice(F.coalesce(values, none), 1, most), " / "))
+    scenes = F.zip_with(F.slice(F.coalesce(scene_titles, none), 1, EPISODE_SCENES), F.slice(F.coalesce(scene_texts, none), 1, EPISODE_SCENES), lambda a, b: F.concat_ws("\n", a, b))
+    return F.concat_ws("\n\n", F.lit(ask), F.concat(F.lit("Episode: "), F.coalesce(title, F.lit(""))), listed("Tags", tags, 1 << 20), listed("Notes", note_titles, EPISODE_NOTES), F.array_join(scenes, "\n\n"))
+
+
+def fallback_episode(title: Column, excerpt: Column, desc: Column, tags: Column, scene_titles: Column, note_titles: Column) -> Column:
+    """An episode's card by rule: its excerpt and description, or its first scenes' titles; tags, scenes and notes are its clues."""
+    none = F.array().cast("array<string>")
+    given = lambda values: F.filter(F.coalesce(values, none), lambda t: F.coalesce(t, F.lit("")) != "")
+    told = F.array_distinct(F.concat(F.coalesce(tags, none), F.slice(given(scene_titles), 1, 8), F.slice(given(note_titles), 1, 8)))
+    clues = F.filter(told, lambda t: F.coalesce(t, F.lit("")) != "")
+    own = F.substring(F.array_join(given(F.array(excerpt, desc)), "；"), 1, EPISODE_BODY)
+    body = F.when(own != "", own).otherwise(F.substring(F.array_join(F.slice(given(scene_titles), 1, 5), "；"), 1, EPISODE_BODY))
+    return F.struct(or_else(title, F.lit(CARD)).alias("scene_title"), body.alias("summary"), F.slice(clues, 1, EPISODE_CLUES).alias("memory_clues"), F.slice(clues, 1, EPISODE_ENTITIES).alias("entities"), none.alias("aliases"), F.coalesce(quoted_phrases(body), none).alias("quoted_phrases"))
+
+
 def boundaries(answer: Column) -> Column:
     """The indexes of a writer's answer; empty for none."""
     return F.coalesce(F.from_json(F.get_json_object(json_object(answer), "$.boundaries"), "array<int>"), F.array().cast("array<int>"))

@@ -201,15 +201,18 @@ def segment_chunks(header: Sequence[Column], body: Sequence[Column], width: int
 
 def excerpt(text: Column, terms: Column, width: int = 180, head: Column | None = None) -> Column:
     """Snippet around the first term that the text holds; where none does, the text's head if ``head`` is true."""
-    clean = normalize(text)
-    hit = F.filter(terms, lambda t: F.contains(clean, t))
-    index = F.call_function("instr", clean, F.get(hit, F.lit(0))) - 1
-    start = F.greatest(F.lit(0), index - width // 3)
-    end = F.least(F.length(clean), index + width)
-    snippet = F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), F.trim(F.substring(clean, start + 1, end - start)), F.when(end < F.length(clean), F.lit("...")).otherwise(F.lit("")))
-    lead = F.when(F.length(clean) <= width, clean).otherwise(F.concat(F.rtrim(F.substring(clean, 1, width)), F.lit("...")))
-    fallback = F.lit(None).cast("string") if head is None else F.when(head, lead)
-    return F.when(clean == "", F.lit(None)).when(F.size(hit) > 0, snippet).otherwise(fallback)
+
+    def cut(clean: Column) -> Column:
+        hit = F.filter(terms, lambda t: F.contains(clean, t))
+        index = F.call_function("instr", clean, F.get(hit, F.lit(0))) - 1
+        start = F.greatest(F.lit(0), index - width // 3)
+        end = F.least(F.length(clean), index + width)
+        snippet = F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), F.trim(F.substring(clean, start + 1, end - start)), F.when(end < F.length(clean), F.lit("...")).otherwise(F.lit("")))
+        lead = F.when(F.length(clean) <= width, clean).otherwise(F.concat(F.rtrim(F.substring(clean, 1, width)), F.lit("...")))
+        fallback = F.lit(None).cast("string") if head is None else F.when(head, lead)
+        return F.when(clean == "", F.lit(None)).when(F.size(hit) > 0, snippet).otherwise(fallback)
+
+    return F.get(F.transform(F.array(normalize(text)), cut), F.lit(0))  # an element of an array is worked out once
 
 
 def format_ms(ms: Column) -> Column:
@@ -264,6 +267,17 @@ def is_recoverable(message: Column) -> Column:
     return F.rlike(F.lower(F.coalesce(message, F.lit(""))), F.lit("illegal memory access|cuda error|device-side assert|cublas|out of memory|misaligned address"))
 
 
+# What messages of services hold that may answer later, and of tables that are busy.
+LATER = ("429", "rate limit", "too many requests", "timeout", "timed out", "connection reset", "temporary", "temporarily", "503", "502", "504", "service unavailable", "upstream", "quota")
+BUSY = ("readonly", "locked", "busy")
+
+
+def may_pass(message: Column, busy: bool = False) -> Column:
+    """Errors of a search service that a later try may not meet; with ``busy`` those of a table that others write, too."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    return F.exists(F.array(*[F.lit(t) for t in (LATER + BUSY if busy else LATER)]), lambda t: F.contains(low, t))
+
+
 def guess_extension(url: Column, access: Column, media: Column) -> Column:
     suffix = F.lower(F.regexp_extract(F.coalesce(F.regexp_extract(url, r"^[^?#]*", 0), F.lit("")), r"[^/](\.[^./]+)$", 1))
     return (
@@ -301,8 +315,10 @@ def stitch(parts: Column, most: int = 80) -> Column:
     def merge(acc: Column, part: Column) -> Column:
         clean = F.trim(part)
         sizes = F.sequence(F.lit(most), F.lit(1), F.lit(-1))
-        fits = F.filter(sizes, lambda n: (n <= F.length(acc)) & (n <= F.length(clean)) & (F.right(acc, n) == F.left(clean, n)))
-        return F.when(acc == "", clean).when(clean == "", acc).otherwise(F.concat(acc, F.substring(clean, F.coalesce(F.get(fits, F.lit(0)), F.lit(0)) + 1, F.length(clean))))
+        # Of a long text only its end is compared, and cut off once.
+        fits = lambda end: F.filter(sizes, lambda n: (n <= F.length(end)) & (n <= F.length(clean)) & (F.right(end, n) == F.left(clean, n)))
+        held = F.get(F.transform(F.array(F.right(acc, F.lit(most))), lambda end: F.coalesce(F.get(fits(end), F.lit(0)), F.lit(0))), F.lit(0))
+        return F.when(acc == "", clean).when(clean == "", acc).otherwise(F.concat(acc, F.substring(clean, held + 1, F.length(clean))))
 
     return F.aggregate(parts, F.lit(""), merge)
 

@@ -41,7 +41,8 @@ def fit(points: DataFrame, vector: str = "embedding", key: str = "doc_id", cells
     """Spherical k-means; by default as many cells as the square root of the number of vectors, at most MOST_CELLS."""
     n = points.count()
     share = min(1.0, 1.2 * fit_points / max(1, n))
-    drawn = points.where((F.pmod(F.xxhash64(key), F.lit(1_000_003)) / F.lit(1_000_003.0)) < share).select(vector).limit(fit_points).collect()
+    draw = F.pmod(F.xxhash64(key), F.lit(1_000_003))
+    drawn = points.where(draw / F.lit(1_000_003.0) < share).orderBy(draw, key).select(vector).limit(fit_points).collect()  # by the draw, whatever file a row is in
     x = unit(np.array([r[0] for r in drawn], float)) if drawn else np.zeros((0, 1))
     k = min(len(x), cells or max(1, min(MOST_CELLS, round(n**0.5))))
     rng = np.random.default_rng(3)

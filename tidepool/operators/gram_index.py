@@ -1,22 +1,28 @@
 """An inverted index of letter trigrams, so that a substring search reads postings instead of all texts.
 
-Postings (gram, key) stand in files by a hash of the gram. A term is sought by its rarest grams: documents that hold all of
-them are its candidates, and only candidates' texts are read and scored, by the same score as a scan. Terms shorter than a
-gram can't be sought; with one among them the texts are scanned. Texts are cut into letters once, so long ones take time in
-proportion to their length.
+Documents are dealt by their item to parts of some PART_DOCS, and each part has its own postings, sorted by trigram in
+small row groups: a hot trigram's list is split between all parts, a lookup reads the row groups of the trigrams it asks
+for, and a sync rewrites the parts of the items that changed, nothing else. A term is sought by its rarest trigrams:
+documents that hold all of them are its candidates, and only candidates' texts are read and scored, by the same score as a
+scan. Terms shorter than a trigram can't be sought; with one among them the texts are scanned. Texts are cut into letters
+once, so long ones take time in proportion to their length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import lowered
 from tidepool.operators.retrieval import lexical_topk
+from tidepool.sources import parts
 
-LETTERS, BUCKETS = 3, 64
+LETTERS = 3
+#: Documents of a part.
+PART_DOCS = 20_000
 #: Grams that a term is sought by.
 SOUGHT = 3
 
@@ -29,19 +35,31 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.coalesce(F.get(F.transform(F.array(letters), at), F.lit(0)), F.array().cast("array<string>")))
 
 
-def bucket(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+def postings(docs: DataFrame, count: int, text: str = "text", key: str = "doc_id", item: str = "item_key") -> DataFrame:
+    """(part, of_item, gram, key): a row for each document and gram; the item as a hash of 64 bits."""
+    of_item = F.coalesce(F.xxhash64(item), F.lit(0)).alias("of_item")
+    rows = docs.select(key, of_item, F.explode(grams(F.col(text))).alias("gram"))
+    return rows.select(F.pmod("of_item", F.lit(count)).cast("int").alias("part"), "of_item", "gram", key)
 
 
-def postings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(bucket, gram, key): to be written partitioned by bucket."""
-    return docs.select(key, F.explode(grams(F.col(text))).alias("gram")).select(bucket(F.col("gram")).alias("bucket"), "gram", key)
+def write_index(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", item: str = "item_key", part_docs: int = PART_DOCS) -> None:
+    """The index of all documents; how many parts it has is kept beside it."""
+    count = max(1, -(-docs.count() // part_docs))
+    docs.sparkSession.createDataFrame([(count,)], "parts int").coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
+    parts.write(postings(docs, count, text, key, item), f"{path}/postings", ["part"], ["gram", key])
 
 
-def write_index(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> None:
-    """Each bucket's postings in a few files, sorted by gram, so that a lookup prunes row groups as well."""
-    rows = postings(docs, text, key)
-    rows.repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(path)
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return parts.live(spark, f"{path}/postings")
+
+
+def sync_index(path: str, docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_key") -> int:
+    """The postings of docs in place of those of all documents of items (item); the number of parts rewritten."""
+    spark = docs.sparkSession
+    count = spark.read.parquet(f"{path}/size").first()["parts"]
+    gone = items.select(F.coalesce(F.xxhash64(item), F.lit(0)).alias("of_item"))
+    places = gone.select(F.pmod("of_item", F.lit(count)).cast("int").alias("part"))
+    return parts.replace(f"{path}/postings", postings(docs, count, text, key, item), gone, ["part"], ["of_item"], ["gram", key], places=places)
 
 
 def candidates(index: DataFrame, terms: Sequence[str], key: str = "doc_id") -> DataFrame | None:
@@ -49,15 +67,14 @@ def candidates(index: DataFrame, terms: Sequence[str], key: str = "doc_id") -> D
     cut = {low: sorted({low[i : i + LETTERS] for i in range(len(low) - LETTERS + 1)}) for low in (t.lower() for t in terms)}
     if not cut or any(not g for g in cut.values()):
         return None
-    every = sorted({g for gs in cut.values() for g in gs})
-    spark = index.sparkSession
-    places = spark.createDataFrame([(g,) for g in every], "gram string").select("gram", bucket(F.col("gram")).alias("bucket")).collect()  # the query's grams
-    near = index.where(F.col("bucket").isin(*sorted({p["bucket"] for p in places})) & F.col("gram").isin(*every))
-    counts = {r["gram"]: r["n"] for r in near.groupBy("gram").agg(F.count("*").alias("n")).collect()}
+    # Equalities, each of which a row group's least and greatest gram can refute; a long list would be one wide range.
+    among = lambda gs: reduce(lambda a, b: a | b, [F.col("gram") == g for g in gs])
+    near = index.where(among(sorted({g for gs in cut.values() for g in gs})))
+    counts = {r["gram"]: r["n"] for r in near.groupBy("gram").agg(F.count("*").alias("n")).collect()}  # the query's grams
     out = None
     for gs in cut.values():
         rare = sorted(gs, key=lambda g: (counts.get(g, 0), g))[:SOUGHT]
-        held = near.where(F.col("gram").isin(*rare)).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == len(rare)).select(key)
+        held = index.where(among(rare)).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == len(rare)).select(key)
         out = held if out is None else out.unionByName(held)
     return out.distinct()
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.functions.terms import LONGEST_FRAGMENT, LONGEST_TERM, STOP_PARTS, STOP_TERMS
 from tidepool.functions.text import guess_extension, media_source
 from tidepool.functions.web import absolute_url, asset_url, entry_url
 
@@ -179,22 +180,43 @@ def media_jobs(records: DataFrame, include_speech: bool = True) -> DataFrame:
     return jobs.withColumns({"status": F.lit("pending"), "relpath": place})
 
 
-def hot_words_of(records: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
-    """(item_key, terms): tags, category, nicknames, titles and short fragments of a record's texts."""
-    from tidepool.functions.terms import LONGEST_FRAGMENT, LONGEST_TERM, STOP_PARTS, STOP_TERMS
+def squeezed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+
 
-    squeeze = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+def is_term(t: Column, longest: int, stop: Sequence[str] = ()) -> Column:
+    """Whether a squeezed text can be an index term, as ``terms.term`` has it."""
     stops = F.array(*[F.lit(s) for s in sorted({*STOP_TERMS, *stop})])
+    return (
+        F.length(t).between(2, longest) & ~F.array_contains(stops, t) & ~F.rlike(t, F.lit("|".join(STOP_PARTS))) & ~F.rlike(t, F.lit(r"(?U)^(?:[0-9]+|[\W_]+)$")) & ~F.rlike(t, F.lit("https?://"))
+    )
 
-    def good(t: Column, longest: int) -> Column:
-        return (
-            F.length(t).between(2, longest) & ~F.array_contains(stops, t) & ~F.rlike(t, F.lit("|".join(STOP_PARTS))) & ~F.rlike(t, F.lit(r"(?U)^(?:[0-9]+|[\W_]+)$")) & ~F.rlike(t, F.lit("https?://"))
-        )
 
-    kept = lambda terms, longest=LONGEST_TERM: F.filter(F.transform(terms, squeeze), lambda t: good(t, longest))
+def hot_words_of(records: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
+    """(item_key, terms): tags, category, nicknames, titles and short fragments of a record's texts."""
+    kept = lambda terms, longest=LONGEST_TERM: F.filter(F.transform(terms, squeezed), lambda t: is_term(t, longest, stop))
     texts = F.array_compact(F.array("title", "excerpt", "desc"))
     quotes = F.flatten(F.transform(texts, lambda t: F.concat(*[F.regexp_extract_all(t, F.lit(f"{a}([^{b}]{{1,24}}){b}"), F.lit(1)) for a, b in (("《", "》"), ("“", "”"), ("【", "】"), ("（", "）"), (r"\(", r"\)"))])))
     latin = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(r"\b[A-Za-z][A-Za-z0-9+._:-]{1,31}\b"), F.lit(0))))
     fragments = F.flatten(F.transform(texts, lambda t: F.split(F.regexp_replace(t, "[《》“”【】（）()]", " "), r"[，。！？；：、/\n\r\t|]+")))
     names = F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.array("category"), F.transform("users", lambda u: u["nickname"]), F.transform("media", lambda m: m["title"]))
     return records.select("item_key", F.array_distinct(F.concat(kept(names), kept(texts), kept(quotes), kept(latin), kept(fragments, LONGEST_FRAGMENT))).alias("terms"))
+
+
+def merged_terms(lists: DataFrame, limit: int, key: str = "job_id", order: str = "nth") -> DataFrame:
+    """(key, terms): the union of ranked lists of terms for each key, those that are no index terms left out, the first of equal ones kept, at most ``limit``.
+
+    lists: (key, list, nth, term); lists go by their number. By aggregates alone: each term's first place is found before
+    a key's terms are put together, so what is collected for a key are its distinct terms.
+    """
+    wanted = squeezed(F.col("term"))
+    first = lists.where(is_term(wanted, LONGEST_TERM)).groupBy(key, wanted.alias("term")).agg(F.min(F.struct("list", order)).alias("place"))
+    ranked = first.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy("place"))).where(F.col("__r") <= limit)
+    return ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "term"))), lambda t: t["term"]).alias("terms"))
+
+
+def job_terms(dynamic: DataFrame, everywhere: Sequence[str], limit: int, key: str = "job_id") -> DataFrame:
+    """(key, terms): a job's own terms (key, terms), then those of a list for all jobs, each once, at most ``limit``."""
+    given = F.array(*[F.lit(t) for t in everywhere]).cast("array<string>")  # a word list is small
+    whole = F.transform(F.concat(F.coalesce("terms", F.array().cast("array<string>")), given), squeezed)
+    return dynamic.select(key, F.slice(F.array_distinct(F.filter(whole, lambda t: is_term(t, LONGEST_TERM))), 1, limit).alias("terms"))

@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.functions.text import text_chunks
 from tidepool.operators.merges import replace_scope, upsert
+from tidepool.operators.segments import repaired
 
 SPOKEN = ("audio", "protected_audio", "speech")
 NEW = "__new_"
@@ -122,3 +124,18 @@ def search_texts(vector: Column, keyword: Column, search: Column, normalized: Co
     body = first(normalized, raw)
     words = first(keyword, search, body)
     return first(vector, words), words, first(search, words)
+
+
+def repaired_transcripts(transcripts: DataFrame, width: int = 800) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Transcripts (transcript_id, item_key, text, segments, ...) cleaned: what to save, its chunks, and what was refused.
+
+    The first is (transcript_id, item_key, text, segments, removed), the second (chunk_id, transcript_id, item_key, source,
+    chunk_index, text) cut anew from the cleaned text, the third (transcript_id, refused). A transcript is in the first or
+    in the third; ``save_transcripts`` and a library's ``replace_chunks`` take the first two.
+    """
+    rows = repaired(transcripts)
+    good = rows.where(F.col("refused").isNull())
+    saved = good.select("transcript_id", "item_key", F.col("cleaned_text").alias("text"), F.col("cleaned").alias("segments"), (F.size("segments") - F.size("cleaned")).alias("removed"))
+    cut = saved.select("transcript_id", "item_key", F.posexplode(text_chunks(F.col("text"), width)).alias("chunk_index", "text"))
+    chunks = cut.select(F.concat_ws(":", "transcript_id", F.lpad(F.col("chunk_index").cast("string"), 4, "0")).alias("chunk_id"), "transcript_id", "item_key", F.lit("transcript").alias("source"), "chunk_index", "text")
+    return saved, chunks, rows.where(F.col("refused").isNotNull()).select("transcript_id", "refused")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +47,12 @@ def pipeline_report(jobs: DataFrame) -> DataFrame:
         F.count("*").alias("total"), done.alias("download_done"), n(F.col("status").isin("pending", "error")).alias("download_remaining"), progress(done, F.count("*")).alias("download_percent"),
         spoken.alias("transcript_done"), n(F.col("transcript_status").isin("pending", "error", "submitted")).alias("transcript_remaining"), progress(spoken, F.count("*")).alias("transcript_percent"),
     )
+
+
+def filter_options(counts: DataFrame, selected: Sequence[str] = (), name: str = "name", count: str = "n", collation: str = "zh") -> DataFrame:
+    """Options of a filter: the selected first, then by falling count, then by name as a reader of the language expects.
+
+    Adds ``selected``; counts are those of grouped names, as many as there are options.
+    """
+    chosen = F.coalesce(F.col(name).isin(*selected), F.lit(False)) if selected else F.lit(False)
+    return counts.withColumn("selected", chosen).orderBy(F.desc("selected"), F.desc(count), F.collate(F.col(name), collation), name)

@@ -6,15 +6,17 @@ import json
 from collections.abc import Sequence
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import terms as clues
 from tidepool.functions.embed import Provider
 from tidepool.functions.text import excerpt, format_ms, or_else, replace_aliases
-from tidepool.operators import context, retrieval, stats
+from tidepool.operators import context, gram_index, retrieval, stats
 from tidepool.operators.retrieval import Tuning
 from tidepool.session import shared_folder
+from tidepool.sources.points import PointTable
 
 #: Columns that a hit carries from its document, and their types where documents lack them.
 CARRIED = {
@@ -35,14 +37,27 @@ NEIGHBOUR = "struct<doc_id:string,start_ms:bigint,end_ms:bigint,text:string,disp
 NOTE_REACH_MS = 24_000
 
 
-class Memory:
-    """A collection: ``docs`` as the builders make them, ``vectors`` (doc_id, embedding), a provider for queries, and ``items``,
-    the display records (item_key and any of DISPLAY)."""
+def searched() -> Column:
+    """The text that the lexical branch searches."""
+    return F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "item_title", "keyword_text", "text_raw")])
+
 
-    def __init__(self, docs: DataFrame, vectors: DataFrame | None = None, provider: Provider | None = None, aliases: dict[str, str] | None = None, items: DataFrame | None = None) -> None:
+class Memory:
+    """A collection: ``docs`` as the builders make them, a provider for queries, and ``items``, the display records (item_key
+    and any of DISPLAY).
+
+    ``vectors`` is a point table, whose rows carry what searches filter by (all of ``collection``, where one is named), or
+    plain rows (doc_id, embedding), which are filtered by a join with docs. ``postings`` is a trigram index of the texts that
+    the lexical branch searches (as ``searched`` gives them); without one that branch scans them.
+    """
+
+    def __init__(
+        self, docs: DataFrame, vectors: DataFrame | PointTable | None = None, provider: Provider | None = None, aliases: dict[str, str] | None = None, items: DataFrame | None = None, collection: str | None = None,
+        postings: DataFrame | None = None,
+    ) -> None:
         whole = docs.withColumns({c: F.lit(None).cast(kind) for c, kind in CARRIED.items() if c not in docs.columns})
         self.docs = whole.withColumn("timeline_title", F.when(F.col("doc_type") == "timeline_note", F.col("title")))
-        self.vectors, self.provider, self.aliases, self.items = vectors, provider, aliases or {}, items
+        self.vectors, self.provider, self.aliases, self.items, self.collection, self.postings = vectors, provider, aliases or {}, items, collection, postings
         self.embed = lru_cache(maxsize=256)(self._embed)
 
     def _embed(self, query: str) -> tuple[float, ...]:
@@ -51,16 +66,22 @@ class Memory:
         return tuple(self.provider.embed_queries([query])[0])
 
     def _recall(self, query: str, types: Sequence[str], categories: Sequence[str], users: Sequence[str], k: int, stage: str) -> DataFrame:
-        """The k nearest documents: ids are filtered, vectors ranked, and only the k rows that are left looked up."""
-        rows = retrieval.payload_filter(self.docs, types, categories, users)
-        points = self.vectors.select("doc_id", "embedding").join(rows.select("doc_id"), "doc_id", "left_semi")
-        top = retrieval.vector_topk(points, self.embed(query), k).select("doc_id", "score")
-        return self.docs.join(F.broadcast(top), "doc_id").withColumn("recall_stage", F.lit(stage))  # k rows
+        """The k nearest documents: rows are filtered, vectors ranked, and only the k documents that are left looked up by id."""
+        if isinstance(self.vectors, PointTable):
+            top = self.vectors.search(self.embed(query), k, collection=self.collection, doc_types=types, categories=categories, participants=users)
+        else:
+            rows = retrieval.payload_filter(self.docs, types, categories, users)
+            top = retrieval.vector_topk(self.vectors.select("doc_id", "embedding").join(rows.select("doc_id"), "doc_id", "left_semi"), self.embed(query), k)
+        found = [(r["doc_id"], r["score"]) for r in top.select("doc_id", "score").collect()]  # k rows
+        scores = self.docs.sparkSession.createDataFrame(found, f"doc_id {self.docs.schema['doc_id'].dataType.simpleString()}, score double")
+        return self.docs.where(F.col("doc_id").isin(*[i for i, _ in found])).join(F.broadcast(scores), "doc_id").withColumn("recall_stage", F.lit(stage))
 
     def _lexical(self, wanted: Sequence[str], types: Sequence[str], categories: Sequence[str], users: Sequence[str], k: int) -> DataFrame:
-        rows = retrieval.payload_filter(self.docs, types, categories, users)
-        text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "item_title", "keyword_text", "text_raw")])
-        top = retrieval.lexical_topk(rows, clues.recall_terms(wanted), k, text=text)
+        rows, terms = retrieval.payload_filter(self.docs, types, categories, users), clues.recall_terms(wanted)
+        near = None if self.postings is None else gram_index.candidates(self.postings, terms)
+        if near is not None:
+            rows = rows.join(near, "doc_id", "left_semi")
+        top = retrieval.lexical_topk(rows, terms, k, text=searched())
         return top.withColumn("score", retrieval.hit_score(F.col("lexical_score"), F.max("lexical_score").over(Window.partitionBy()))).withColumn("recall_stage", F.lit("lexical_fallback"))
 
     def normalized(self, query: str) -> tuple[str, dict[str, int]]:
@@ -87,6 +108,8 @@ class Memory:
                 second = self._recall(query, ["evidence_atom"], categories, participants, tuning.second_limit(limit), "second_pass_atom")
                 hits = hits.unionByName(second.withColumn("stage", F.lit(1)))
             hits = hits.checkpoint(eager=True)
+        except (AnalysisException, TypeError):  # a fault of the plan, not of a service
+            raise
         except Exception as error:  # the embedding service and the vector table may fail in any way; the lexical branch answers
             reason = retrieval.degrade_reason(error)
             hits = self._lexical(wanted, types, categories, participants, tuning.primary_limit(limit)).withColumn("stage", F.lit(0)).checkpoint(eager=True)
@@ -98,7 +121,8 @@ class Memory:
     def neighbours(self, hits: DataFrame) -> DataFrame:
         """(hit_id, neighbor_atoms): the atoms beside an atom, those of a scene, and those around a note in time."""
         told = lambda start, text: F.struct(F.col("doc_id"), F.col("start_ms"), F.col("end_ms"), F.col(text).alias("text"), F.when(F.col(start).isNotNull(), format_ms(F.col(start))).alias("display_timestamp"))
-        atoms = self.docs.where(F.col("doc_type") == "evidence_atom").select("doc_id", "item_key", "doc_index", "start_ms", "end_ms", "text_raw").join(F.broadcast(hits.select("item_key").distinct()), "item_key", "left_semi")
+        named = [r["item_key"] for r in hits.select("item_key").distinct().collect()]  # as many as results
+        atoms = self.docs.where((F.col("doc_type") == "evidence_atom") & F.col("item_key").isin(*named)).select("doc_id", "item_key", "doc_index", "start_ms", "end_ms", "text_raw").checkpoint(eager=True)  # read once for the three kinds
         of = lambda kind: hits.where(F.col("doc_type") == kind).select(F.col("doc_id").alias("hit_id"), "item_key", "doc_index", "atom_ids", F.coalesce("timeline_ms", "start_ms", F.lit(0)).alias("anchor_ms"))
         beside = context.neighbours_by_index(of("evidence_atom"), atoms.withColumn("text", F.struct("doc_id", "start_ms", "end_ms", "text_raw")))
         beside = beside.select("hit_id", F.col("neighbour_index").cast("long").alias("place"), "neighbour_text.*")
@@ -157,6 +181,17 @@ class Memory:
         counts = {r["doc_type"]: r["n"] for r in stats.grouped_counts(self.docs, "doc_type").collect()}
         return {"doc_types": counts, "items": self.docs.select("item_key").distinct().count(), "categories": [r.asDict() for r in self.categories(200).collect()]}
 
+    def ui_meta(self, updated_at: str | None = None, participants_limit: int | None = None) -> dict:
+        """What a viewer shows before any search: counts, participants and categories of the collection."""
+        titles = self.docs.where(F.col("doc_type") == "item_title")
+        people, kinds = stats.member_counts(titles, F.col("users")), stats.trimmed_counts(titles, "category")
+        listed = people if participants_limit is None else people.limit(participants_limit)
+        return {
+            "library_updated_at": updated_at, "eligible_items": titles.select("item_key").distinct().count(), "doc_type_counts": {r["doc_type"]: r["n"] for r in stats.grouped_counts(self.docs, "doc_type").collect()},
+            "participants_count": people.count(), "participants": [r.asDict() for r in listed.collect()], "participants_limit": participants_limit, "program_types_count": kinds.count(),
+            "program_types": [r.asDict() for r in kinds.collect()],
+        }
+
     def answer(self, query: str, **options) -> str:
         """Results as JSON."""
         rows, how = self.search(query, **options)

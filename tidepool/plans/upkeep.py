@@ -5,6 +5,9 @@ The tables stand in as in ``catalogue``, whose registry these join.
 
 from __future__ import annotations
 
+import glob
+import json
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +19,8 @@ from tidepool.operators import documents, merges, records, retrieval, segments,
 from tidepool.plans.catalogue import _CLEAN, _WALK, LOW, TERMS, TOP50, query, read, spoken, texts
 from tidepool.plans.search import Memory
 from tidepool.session import shared_folder
-from tidepool.sources import readers, sinks, vectors
+from tidepool.sources import paged_stream, readers, sinks, vectors
+from tidepool.sources.points import PointTable
 from tidepool.streaming import crawl
 
 # The search facade.
@@ -108,11 +112,13 @@ SELECT *, cos AS score, CASE stage WHEN 0 THEN 'primary' ELSE 'second_pass_atom'
 
 @query(result_sql(_RECALL, "NULL::VARCHAR"))
 def semantic_search(spark, d):
-    """Vectors of the table embeddings stand in for those of the documents of the same number."""
+    """Vectors of the table embeddings stand in for those of the documents of the same number, in a point table."""
     points = read(spark, d, "embeddings")
     asked = points.where("vec_id = 0").first()["embedding"]
-    known = points.select(F.col("vec_id").alias("doc_id"), "embedding")
-    found, how = Memory(memory_docs(texts(spark, d)), known, Fixed([float(x) for x in asked])).search(ASKED)
+    docs = memory_docs(texts(spark, d))
+    known = docs.select("doc_id", "doc_type", "item_key", "category").join(points.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").withColumn("collection_name", F.lit("c"))
+    table = PointTable.create(known, folder(spark))
+    found, how = Memory(docs, table, Fixed([float(x) for x in asked]), collection="c").search(ASKED)
     return result_columns(found, how["degraded_reason"])
 
 
@@ -340,10 +346,8 @@ PAGE = 25
 
 def list_pages(spark: SparkSession, d: str) -> crawl.Pages:
     """Events by day, newest first, as a list in pages."""
-    order = merges.Window.orderBy(F.desc("published_at"), F.desc("event_id"))
     events = read(spark, d, "events").where("event_type = 'purchase'").select(F.date_format("ts", "yyyy-MM-dd").alias("published_at"), "event_id")
-    # The list is one interface's, so its places are numbered in one task; a crawled source brings its page numbers along.
-    rows = events.withColumn("at", F.row_number().over(order) - 1).select(F.floor(F.col("at") / PAGE).cast("int").alias("page"), (F.col("at") % PAGE).alias("nth"), F.col("event_id").cast("string").alias("item_id"), "published_at")
+    rows = crawl.numbered(events, F.desc("published_at"), F.desc("event_id")).select(F.floor(F.col("at") / PAGE).cast("int").alias("page"), (F.col("at") % PAGE).alias("nth"), F.col("event_id").cast("string").alias("item_id"), "published_at")
     shared_folder(spark)
     rows = rows.checkpoint(eager=True)
     return lambda a, b: rows.where((F.col("page") >= a) & (F.col("page") < b))
@@ -380,33 +384,49 @@ def backfill_pages(spark, d):
     return fresh.select(F.col("item_id").cast("long").alias("event_id"), F.col("page").cast("long").alias("page"), F.lit(cursor).cast("long").alias("cursor"))
 
 
-@query("SELECT c_custkey, c_name FROM customer")
-def list_page(spark, d):
-    """Customers through a paged source, whose pages executors fetch."""
-    total = read(spark, d, "customer").count()
-    path = f"{d}/customer.parquet"
+def served(rows: DataFrame, place: Column) -> str:
+    """Rows as a service's files, one folder for each place (a page, or an item), by their JSON."""
+    at = folder(rows.sparkSession)
+    rows.select(place.alias("place"), F.to_json(F.struct("*")).alias("value")).repartition("place").write.partitionBy("place").text(at)
+    return at.removeprefix("file:")
 
-    def fetch(offset: int, n: int) -> list[tuple]:
-        import pyarrow.parquet as pq
 
-        rows = pq.read_table(path, columns=["c_custkey", "c_name"]).sort_by("c_custkey").slice(offset, n)
-        return [(r["c_custkey"], r["c_name"]) for r in rows.to_pylist()]
+def files_of(at: str, place: object) -> list[dict]:
+    """What a place holds; nothing where there is no such folder."""
+    found = sorted(glob.glob(f"{at}/place={place}/*.txt"))
+    return [json.loads(line) for name in found for line in open(name, encoding="utf-8")]  # noqa: SIM115
 
-    spark.dataSource.register(readers.paged_source("tidepool_customers", "c_custkey long, c_name string", fetch))
-    return spark.read.format("tidepool_customers").option("limit", 400).option("total", total).load()
+
+@query("SELECT page_id, url, (SELECT count(*) + 49 FROM pages) // 50 AS fetched FROM pages")
+def list_page(spark, d):
+    """Pages through a list of unknown length, as a stream whose offset is the cursor; each page of it is asked for once."""
+    rows = crawl.numbered(read(spark, d, "pages").select("page_id", "url"), F.asc("page_id"), F.asc("url"))
+    at, out = served(rows, F.floor(F.col("at") / 50)), folder(spark)
+    asked = f"{folder(spark)}-asked".removeprefix("file:")
+
+    def get(path: str, params: dict) -> tuple[int, str, str]:
+        found = files_of(at, params["page[offset]"] // 50) if params["page[offset]"] % 50 == 0 else []
+        if found:
+            with open(asked, "a", encoding="utf-8") as log:
+                log.write("page\n")
+        return 200, "application/json", json.dumps({"data": sorted(found, key=lambda r: r["at"])})
+
+    source = paged_stream.list_stream("tidepool_list", "page_id long, url string", paged_stream.Fetcher(get), lambda page: [(r["page_id"], r.get("url")) for r in page["data"]])
+    spark.dataSource.register(source)
+    stream = spark.readStream.format("tidepool_list").option("path", "pages").option("limit", 50).load()
+    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").start(out)
+    run.processAllAvailable()
+    run.stop()
+    return spark.read.parquet(out).withColumn("fetched", F.lit(os.path.getsize(asked) // 5 if os.path.exists(asked) else 0).cast("long"))
 
 
 @query("SELECT n_nationkey, n_name, 'region' AS included FROM nation WHERE n_nationkey IN (3, 7, 11)")
 def get_items(spark, d):
-    """Single items by id, each with what its type includes."""
-    path = f"{d}/nation.parquet"
+    """Single items by id, each with what its type includes; one file is read for each."""
+    at = served(read(spark, d, "nation"), F.col("n_nationkey"))
 
     def fetch(place: str, include: str) -> list[tuple]:
-        import pyarrow.compute as pc
-        import pyarrow.parquet as pq
-
-        rows = pq.read_table(path)
-        return [(r["n_nationkey"], r["n_name"], include) for r in rows.filter(pc.equal(rows["n_nationkey"], int(place.split("/")[1]))).to_pylist()]
+        return [(r["n_nationkey"], r["n_name"], include) for r in files_of(at, place.split("/")[1])]
 
     spark.dataSource.register(readers.item_source("tidepool_nations", "n_nationkey long, n_name string, included string", fetch, {"nations": "region"}))
     return spark.read.format("tidepool_nations").option("type", "nations").option("ids", "3,7,11").load()
@@ -700,13 +720,13 @@ def text_marks(spark, d):
 
 
 @query(
-    """SELECT doc_id, md5(CASE WHEN b = '' THEN a WHEN a = '' THEN b ELSE a || substring(b, coalesce(list_max(list_filter(generate_series(1, least(80, length(a), length(b))), lambda n: right(a, n) = left(b, n))), 0)::INT + 1) END) AS digest
-FROM (SELECT doc_id, trim(substring(text, 1, 100)) AS a, trim(substring(text, 81, 400)) AS b FROM documents)"""
+    """WITH p AS (SELECT doc_id, list_transform(generate_series(0, greatest(0, length(text) - 1), 380), lambda i: trim(substring(text, i + 1, 400))) AS p FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5(list_reduce(p, lambda a, b: CASE WHEN b = '' THEN a WHEN a = '' THEN b ELSE a || substring(b, coalesce(list_max(list_filter(generate_series(1, least(80, length(a), length(b))), lambda n: right(right(a, 80), n) = left(b, n))), 0)::INT + 1) END)) AS digest FROM p"""
 )
 def stitched(spark, d):
-    """Two parts of a text that overlap by some twenty letters, joined again."""
-    parts = F.array(F.substring("text", 1, 100), F.substring("text", 81, 400))
-    return texts(spark, d).select("doc_id", F.md5(text.stitch(parts)).alias("digest"))
+    """Whole texts cut into parts of 400 letters that overlap by twenty, joined again."""
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("text") - 1), F.lit(380)), lambda i: F.substring("text", i + 1, F.lit(400)))
+    return texts(spark, d).where("text is not null").select("doc_id", F.md5(text.stitch(parts)).alias("digest"))
 
 
 @query(
@@ -791,5 +811,5 @@ def lexical_indexed_topk(spark, d):
     from tidepool.operators import gram_index
 
     docs = texts(spark, d)
-    gram_index.write_index(docs, at := folder(spark))
-    return gram_index.indexed_topk(docs, spark.read.parquet(at), TERMS, 50, order=("lang", "source", "doc_id")).select("doc_id", "source", "lang", "lexical_score")
+    gram_index.write_index(docs, at := folder(spark), item="source", part_docs=500)
+    return gram_index.indexed_topk(docs, gram_index.read_index(spark, at), TERMS, 50, order=("lang", "source", "doc_id")).select("doc_id", "source", "lang", "lexical_score")

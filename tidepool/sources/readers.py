@@ -160,3 +160,39 @@ def paged_source(name: str, fields: str, fetch: Callable[[int, int], Sequence[tu
             return _PageReader(self.options, fetch)
 
     return Paged
+
+
+# Where the time of a library's last change is looked for, in this order.
+UPDATED_KEYS = ("library_updated_at", "dataset_published_at", "built_at")
+UPDATED_FILES = ("reports/search_release_meta.json", "reports/daily_incremental_summary.json", "catalog.sqlite")
+
+
+def library_updated_at(spark: SparkSession, root: str, manifest: dict | None = None, files: Sequence[str] = UPDATED_FILES) -> str | None:
+    """When a library changed last: what its manifest says, else the first of the files that is there, by a key or its own time.
+
+    Files are small; a file that holds no JSON object, or none of the keys, counts by when it was written.
+    """
+    for key in UPDATED_KEYS:
+        if value := str((manifest or {}).get(key) or "").strip():
+            return value
+    for name in files:
+        rows = _small_file(spark, f"{root}/{name}")
+        if rows is None:
+            continue
+        said = [F.nullif(F.trim(F.get_json_object("value", f"$.{key}")), F.lit("")) for key in UPDATED_KEYS]
+        found = rows.select(F.coalesce(*said).alias("said"), F.date_format("written", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("written")).first()
+        if found is not None:
+            return (found["said"] if name.endswith(".json") else None) or found["written"]
+    return None
+
+
+def _small_file(spark: SparkSession, path: str) -> DataFrame | None:
+    """(value, written) of a file, None where there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        raw = spark.read.format("binaryFile").load(path)
+    except AnalysisException:
+        return None
+    text = F.when(F.endswith("path", F.lit(".json")), F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", ""))
+    return raw.select(text.alias("value"), F.col("modificationTime").alias("written"))

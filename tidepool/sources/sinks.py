@@ -50,18 +50,57 @@ def point_id(doc_id: Column) -> Column:
     return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(19, 2), F.lit("-"), part(21, 12))
 
 
-def export_bundle(docs: DataFrame, vectors: DataFrame, collection: str, path: str, version: int = 1) -> dict:
-    """One collection's documents and vectors, and a manifest with their counts."""
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small text file, in place of the one before."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
+def export_bundle(docs: DataFrame, vectors: DataFrame, collection: str, path: str, version: int = 1, ui_meta: dict | None = None, **more: object) -> dict:
+    """One collection's documents and vectors, its UI meta, and a manifest with their counts and what ``more`` says.
+
+    The manifest is written last: a bundle without one is unfinished.
+    """
     mine = docs.where(F.col("collection_name") == collection)
     mine.write.mode("overwrite").parquet(f"{path}/documents")
     vectors.join(mine.select("doc_id"), "doc_id", "left_semi").write.mode("overwrite").parquet(f"{path}/vectors")
     spark = docs.sparkSession
     held = spark.read.parquet(f"{path}/documents")
     manifest = {"version": version, "collection": collection, "documents": held.count(), "vectors": spark.read.parquet(f"{path}/vectors").count(), "doc_types": {r["doc_type"]: r["count"] for r in held.groupBy("doc_type").count().orderBy("doc_type").collect()}}
+    manifest |= more
+    if ui_meta is not None:
+        write_text(spark, f"{path}/ui_meta.json", json.dumps(ui_meta, ensure_ascii=False, indent=2))
     spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return manifest
 
 
+# What the manifest of a bundle for viewers says.
+VIEWER_KEYS = ("app_min_version", "data_version", "built_at", "collection_name", "query_only", "doc_type_counts", "eligible_items", "embedding_provider", "embedding_model", "target_platform")
+
+
+def version_parts(version: object) -> tuple[int, ...]:
+    """A dotted version's numbers; what is none counts 0."""
+    return tuple(int(p) if p.strip().isdecimal() else 0 for p in str(version or "").split("."))
+
+
+def viewer_faults(manifest: dict, app_version: str, platform: str) -> list[str]:
+    """What keeps a viewer of a version, on a platform, from using a bundle."""
+    missing = [f"missing {k}" for k in VIEWER_KEYS if k not in manifest]
+    if missing:
+        return missing
+    out = []
+    if version_parts(app_version) < version_parts(manifest["app_min_version"]):
+        out.append(f"version {app_version} is below {manifest['app_min_version']}")
+    target = str(manifest["target_platform"] or "").strip().lower()
+    if target and target != platform:
+        out.append(f"made for {target}, not for {platform}")
+    return out
+
+
 def manifest_faults(manifest: dict, least_version: int = 1, needed: Sequence[str] = ("version", "collection", "documents", "vectors")) -> list[str]:
     """What keeps a bundle from being used."""
     missing = [f"missing {k}" for k in needed if k not in manifest]

@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.session import shared_folder
 from tidepool.streaming.incremental import before_mark
 
 #: Reads pages from the first number up to the second.
@@ -24,6 +25,17 @@ class Mark:
     item_ids: tuple[str, ...]
 
 
+def numbered(rows: DataFrame, *order: Column, at: str = "at") -> DataFrame:
+    """Rows with their place in the order, from 0: ranges are sorted apart and begin behind the counts of those before them."""
+    shared_folder(rows.sparkSession)
+    inside = rows.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    part = F.shiftright("__id", 33)
+    sizes = inside.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # a row for each range
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.withColumn("__before", before).drop("__n"))
+    return inside.withColumn("__part", part).join(starts, "__part").withColumn(at, F.col("__before") + F.col("__id") - F.shiftleft("__part", 33)).drop("__id", "__part", "__before")
+
+
 def page_mark(pages: DataFrame) -> Mark | None:
     """The first item's time on the first page that has items, and the ids of the run of items that share it."""
     top = pages.where(F.col("page") == pages.agg(F.min("page")).first()[0])  # one page
