@@ -415,3 +415,45 @@ def test_bridge_goes_on_after_a_restart(spark, tmp_path):
     finally:
         for k, v in saved.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+# Settings, bundles, repairs.
+
+
+def test_index_config(spark, tmp_path):
+    from tidepool.plans.config import IndexConfig
+
+    (tmp_path / "aliases").write_text('{"a  b": "c",\n "x": "x"}')
+    assert IndexConfig(alias_map_path=f"{tmp_path}/aliases").aliases(spark, {"d": "e"}) == {"a b": "c", "d": "e"} and IndexConfig().aliases(spark) == {}
+    assert len(IndexConfig(embedding_dimension=12).make()().one("x")) == 12
+    for wrong in ({"summary_mode": "x"}, {"embedding_dimension": 2}):
+        with pytest.raises(ValueError):
+            IndexConfig(**wrong)
+
+
+def test_bundle_has_its_ui_meta(spark, tmp_path):
+    from tidepool.sources import sinks
+
+    docs = documents(spark).withColumn("doc_type", F.when(F.col("doc_type") == "timeline_note", "item_title").otherwise(F.col("doc_type")))
+    meta = Memory(docs.where("collection_name = 'c'")).ui_meta("2024", participants_limit=1)
+    assert meta["participants"] == [{"name": "N", "n": meta["doc_type_counts"]["item_title"]}] and meta["participants_count"] == 4 and meta["program_types_count"] == 1 and meta["eligible_items"] > 0
+    more = {"app_min_version": "1.10", "data_version": "1", "built_at": "x", "collection_name": "c", "query_only": True, "doc_type_counts": {}, "eligible_items": 1, "embedding_provider": "hash", "embedding_model": "", "target_platform": " Linux "}
+    manifest = sinks.export_bundle(docs, hash_embed(docs, 8, text="vector_text"), "c", f"{tmp_path}/b", ui_meta=meta, **more)
+    assert json.load(open(tmp_path / "b/ui_meta.json")) == json.loads(json.dumps(meta)) == readers.snapshot(spark, f"{tmp_path}/b/ui_meta.json")
+    assert sinks.viewer_faults(manifest, "1.10.1", "linux") == [] and sinks.viewer_faults(manifest, "1.9", "windows") == ["version 1.9 is below 1.10", "made for linux, not for windows"]
+    assert len(sinks.viewer_faults({}, "1", "linux")) == 10
+
+
+def test_repaired_transcripts_are_cut_anew(spark):
+    from tidepool.operators.states import repaired_transcripts
+
+    rng = random.Random(1)
+    good = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(7)) + "." for _ in range(60)]
+    segment = "array<struct<start_ms:long,end_ms:long,text:string,asr_confidence:double>>"
+    rows = [("t1", "i1", "\n".join([*good, "<unk>"]), [(i, i + 1, t, 0.9) for i, t in enumerate([*good, "<unk> <unk>"])]), ("t2", "i1", "x", [(0, 1, "fine words here", 0.9)]), ("t3", "i2", None, None)]
+    saved, chunks, refused = repaired_transcripts(spark.createDataFrame(rows, f"transcript_id string, item_key string, text string, segments {segment}"), 400)
+    one = saved.collect()
+    assert [(r["transcript_id"], r["removed"]) for r in one] == [("t1", 1)] and "<unk>" not in one[0]["text"] and len(one[0]["segments"]) == 60
+    cut = chunks.orderBy("chunk_index").collect()
+    assert [r["chunk_index"] for r in cut] == list(range(len(cut))) and max(len(r["text"]) for r in cut) <= 400 and "".join(r["text"] for r in cut).replace("\n", "") == one[0]["text"].replace("\n", "")
+    assert {r["transcript_id"]: r["refused"] for r in refused.collect()} == {"t2": "nothing removed", "t3": "no segments"}

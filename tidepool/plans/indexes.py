@@ -7,11 +7,13 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.functions import text
 from tidepool.functions.embed import HashProvider
 from tidepool.operators import gram_index, records, retrieval, stats
 from tidepool.plans import writing
 from tidepool.plans.catalogue import TERMS, query, read, score_sql, texts
 from tidepool.plans.collection import Collection
+from tidepool.plans.config import IndexConfig
 from tidepool.plans.upkeep import folder
 from tidepool.sources import library, readers
 from tidepool.sources.points import PointTable
@@ -111,7 +113,7 @@ def collection_syncs(spark, d):
     """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_custkey % 5 = 0 AS hit FROM orders)
 SELECT 'item' AS kind, c_custkey AS key, CASE WHEN c_custkey % 5 = 0 THEN 'new' ELSE 'old' END AS value FROM customer
 UNION ALL SELECT 'job', k, CASE WHEN hit THEN 'new ' ELSE 'old ' END || CASE WHEN k % 2 = 0 THEN 'downloaded' ELSE 'pending' END FROM o WHERE NOT (hit AND k % 3 = 0)
-UNION ALL SELECT 'job', -k, 'new pending' FROM o WHERE hit AND k % 11 = 0
+UNION ALL SELECT 'job', -k - 1, 'new pending' FROM o WHERE hit AND k % 11 = 0
 UNION ALL SELECT 'chunk', k, CASE WHEN hit AND k % 2 = 1 THEN 'new' ELSE 'old' END FROM o WHERE NOT (hit AND k % 2 = 1 AND k % 7 <> 0)"""
 )
 def library_snapshot(spark, d):
@@ -127,7 +129,7 @@ def library_snapshot(spark, d):
     held = library.Library.create(items, jobs, chunks, folder(spark), ("status",), bucket_items=400)
     hit = F.col("item_key").cast("long") % 5 == 0
     fresh = jobs.where(hit).withColumn("media_title", F.lit("new")).withColumn("status", F.lit("pending"))
-    more = fresh.where(F.col("job_id").cast("long") % 11 == 0).withColumn("job_id", (-F.col("job_id").cast("long")).cast("string"))
+    more = fresh.where(F.col("job_id").cast("long") % 11 == 0).withColumn("job_id", (-F.col("job_id").cast("long") - 1).cast("string"))
     new_chunks = chunks.where(hit & (F.col("source") == "content") & (F.col("chunk_id").cast("long") % 7 == 0)).withColumn("text", F.lit("new"))
     held.replace(items.where(hit).withColumn("title", F.lit("new")), fresh.where(F.col("job_id").cast("long") % 3 != 0).unionByName(more), new_chunks)
     rows = held.items().select(F.lit("item").alias("kind"), F.col("item_key").alias("key"), F.col("title").alias("value"))
@@ -172,24 +174,26 @@ def writer_summaries(spark, d):
 
 
 @query(
-    """WITH l AS (SELECT l_orderkey AS job_id, l_linenumber % 2 AS list, l_linenumber AS nth, CASE WHEN l_linenumber = 3 THEN '12' ELSE l_shipmode END AS term FROM lineitem),
-f AS (SELECT job_id, term, min(list * 100 + nth) AS place FROM l WHERE NOT regexp_matches(term, '^[0-9]+$') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY place) AS r FROM f)
-SELECT job_id, string_agg(term, ',' ORDER BY r) AS terms FROM r WHERE r <= 3 GROUP BY job_id"""
+    """WITH l AS (SELECT user_id AS job_id, event_id % 2 AS list, event_id AS nth, CASE WHEN event_id % 5 = 0 THEN '12' WHEN event_id % 2 = 1 THEN event_type || '  ' || event_id % 3 ELSE event_type END AS term FROM events),
+f AS (SELECT job_id, regexp_replace(term, ' +', ' ') AS term, min({'list': list, 'nth': nth}) AS place FROM l WHERE term <> '12' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY place) AS r FROM f)
+SELECT job_id, string_agg(term, ',' ORDER BY r) AS terms FROM r WHERE r <= 6 GROUP BY job_id"""
 )
 def hotword_merge(spark, d):
-    """Two ranked lists of terms for each order, the first three terms of their union."""
-    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), (F.col("l_linenumber") % 2).alias("list"), F.col("l_linenumber").alias("nth"), F.when(F.col("l_linenumber") == 3, "12").otherwise(F.col("l_shipmode")).alias("term"))
-    return records.merged_terms(lines, 3).select("job_id", F.array_join("terms", ",").alias("terms"))
+    """Two ranked lists of terms for each user, the first six terms of their union; numbers alone are no terms."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    term = F.when(n % 5 == 0, "12").when(n % 2 == 1, F.concat(kind, F.lit("  "), (n % 3).cast("string"))).otherwise(kind)
+    lists = read(spark, d, "events").select(F.col("user_id").alias("job_id"), (n % 2).alias("list"), n.alias("nth"), term.alias("term"))
+    return records.merged_terms(lists, 6).select("job_id", F.array_join("terms", ",").alias("terms"))
 
 
 @query(
-    """SELECT row_number() OVER (ORDER BY name IN ('Brand#13', 'Brand#55') DESC, n DESC, name) AS nth, name, n, name IN ('Brand#13', 'Brand#55') AS selected
+    """SELECT row_number() OVER (ORDER BY name IN ('Brand#2', 'Brand#17') DESC, n DESC, name) AS nth, name, n, name IN ('Brand#2', 'Brand#17') AS selected
 FROM (SELECT p_brand AS name, (count(*) % 4)::BIGINT AS n FROM part GROUP BY p_brand)"""
 )
 def filter_options(spark, d):
     """Brands as options of a filter, with counts that tie: the selected first, then by count, then by name."""
     counts = read(spark, d, "part").groupBy(F.col("p_brand").alias("name")).agg((F.count("*") % 4).alias("n"))
-    listed = stats.filter_options(counts, ["Brand#13", "Brand#55"]).collect()  # as many as options
+    listed = stats.filter_options(counts, ["Brand#2", "Brand#17"]).collect()  # as many as options
     return spark.createDataFrame([(k, r["name"], r["n"], r["selected"]) for k, r in enumerate(listed, 1)], "nth long, name string, n long, selected boolean")
 
 
@@ -216,3 +220,35 @@ def library_updated(spark, d):
     out.write(bytearray(text, "utf-8"))
     out.close()
     return spark.createDataFrame([(readers.library_updated_at(spark, at),)], "updated_at string")
+
+
+_FAULTS = ["HTTP 429 Too Many Requests", "Read timed out", "database is LOCKED", "CUDA error: out of memory", "bad allocation", "file not found", "Service Unavailable", "cublas failure"]
+
+
+@query(
+    f"""WITH m AS (SELECT event_id, [{', '.join(f"'{m}'" for m in _FAULTS)}][event_id % 9 + 1] AS m FROM events), l AS (SELECT event_id, coalesce(lower(m), '') AS m FROM m)
+SELECT regexp_matches(m, '429|too many|timed out|unavailable') AS later, regexp_matches(m, '429|too many|timed out|unavailable|locked') AS later_or_busy, regexp_matches(m, 'cuda error|out of memory|cublas') AS fresh_runner, count(*) AS n FROM l GROUP BY ALL"""
+)
+def error_classes(spark, d):
+    """Messages of events by whether a later try, another table state or a fresh runner may do better; some events have none."""
+    listed = F.array(*[F.lit(m) for m in _FAULTS])
+    rows = read(spark, d, "events").select(F.get(listed, (F.col("event_id") % 9).cast("int")).alias("m"))
+    each = rows.select(text.may_pass(F.col("m")).alias("later"), text.may_pass(F.col("m"), busy=True).alias("later_or_busy"), text.is_recoverable(F.col("m")).alias("fresh_runner"))
+    return each.groupBy("later", "later_or_busy", "fresh_runner").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderstatus AS status, o_orderpriority AS transcript_status, count(*) AS n FROM orders WHERE o_custkey % 3 = 0 AND o_orderstatus IS NOT NULL GROUP BY ALL")
+def filtered_counts(spark, d):
+    """Counts by two states of the jobs of one kind."""
+    jobs = read(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("transcript_status"), (F.col("o_custkey") % 3).alias("kind"))
+    return stats.grouped_counts(jobs.where("kind = 0"), "status", "transcript_status")
+
+
+@query("SELECT count(DISTINCT o_custkey) FILTER (o_custkey % 2 = 0 AND o_custkey % 5 <> 0) AS eligible, count(DISTINCT o_custkey) FILTER (o_custkey % 5 <> 0) AS with_others, (SELECT count(*) FROM customer) AS without_transcript FROM orders JOIN customer ON o_custkey = c_custkey")
+def eligible_items(spark, d):
+    """Customers as items, those with orders but for every fifth as items with transcripts: how many an index takes in by its settings."""
+    items = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("item_key"), F.lit("2024-01-01").alias("updated_at"), F.lit("official").alias("owner_type"), (F.col("c_custkey") % 2 == 0).alias("option_is_official"))
+    said = read(spark, d, "orders").where("o_custkey % 5 <> 0").select(F.col("o_custkey").cast("string").alias("item_key"), F.lit("2024-01-02").alias("updated_at"))
+    count = lambda **settings: IndexConfig(**settings).count_eligible(items, said, items.limit(0).select("item_key"))
+    row = (count(), count(eligible_only=False), count(eligible_only=False, require_transcript=False))
+    return spark.createDataFrame([row], "eligible long, with_others long, without_transcript long")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tidepool.functions.embed import Provider, cosine, dot, embed_with
 from tidepool.operators import ann
 from tidepool.operators.retrieval import nearest, payload_filter, vector_topk
+from tidepool.session import shared_folder
 from tidepool.sources import parts
 from tidepool.sources.sinks import point_id
 
@@ -49,9 +50,8 @@ class PointTable:
     @classmethod
     def create(cls, points: DataFrame, path: str, cells: int | None = None, probes: int | None = None) -> PointTable:
         """points: collection_name, doc_id, embedding and any of PAYLOAD. Those without a vector are refused."""
-        whole = shaped(points)
+        whole, spark = shaped(points), points.sparkSession
         fitted = ann.fit(whole, cells=cells)
-        spark = points.sparkSession
         rows = [(k, [float(x) for x in c]) for k, c in enumerate(fitted.centroids)]  # ann.MOST_CELLS at most
         spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
         parts.write(ann.indexed(whole, fitted), f"{path}/points", BY, ["doc_type", "doc_id"])
@@ -97,17 +97,28 @@ class PointTable:
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
         return scored.withColumn("nth", nth).where(F.col("nth") <= k)
 
-    def recall(self, queries: DataFrame, k: int, probes: int, **scope) -> float:
-        """Share of the true k nearest under the filters, found by brute force, that an approximate search finds."""
-        truth = nearest(self.rows(**scope), queries, k).select("query_id", "doc_id")
-        found = self.search_many(queries, k, probes, **scope).select("query_id", "doc_id")
-        n = truth.count()
-        return truth.join(found, ["query_id", "doc_id"], "left_semi").count() / n if n else 1.0
+    def nearest(self, queries: DataFrame, k: int, **scope) -> DataFrame:
+        """(query_id, doc_id): the true k nearest under the filters, by brute force; kept, as they are compared more than once."""
+        shared_folder(self.spark)
+        return nearest(self.rows(**scope), queries, k).select("query_id", "doc_id").checkpoint(eager=True)
+
+    def recall(self, queries: DataFrame, k: int, probes: int, truth: DataFrame | None = None, **scope) -> float:
+        """Share of the true k nearest under the filters that an approximate search finds."""
+        truth = self.nearest(queries, k, **scope) if truth is None else truth
+        found = self.search_many(queries, k, probes, **scope).select("query_id", "doc_id", F.lit(1).alias("hit"))
+        n, hit = truth.join(found, ["query_id", "doc_id"], "left").agg(F.count("*"), F.count("hit")).first()
+        return hit / n if n else 1.0
 
     def tuned(self, queries: DataFrame, k: int, least: float = 0.9, **scope) -> PointTable:
-        """The table with the fewest probes, doubling from one, whose recall on ann.MEASURED queries reaches the least."""
-        asked, probes = queries.orderBy("query_id").limit(ann.MEASURED), 1
-        while self.recall(asked, k, probes, **scope) < least and probes < len(self.cells.centroids):
+        """The table with the fewest probes, doubling from one, whose recall on ann.MEASURED queries reaches the least.
+
+        It is measured on REACH times k neighbours: behind a filter that leaves that share of the rows, the k nearest are
+        as far off as these. Narrower filters read on by the rule of ``reached``.
+        """
+        shared_folder(self.spark)
+        asked, probes = queries.orderBy("query_id").limit(ann.MEASURED).checkpoint(eager=True), 1
+        truth = self.nearest(asked, REACH * k, **scope)
+        while self.recall(asked, REACH * k, probes, truth, **scope) < least and probes < len(self.cells.centroids):
             probes = min(2 * probes, len(self.cells.centroids))
         return PointTable(self.spark, self.path, self.cells, probes)
 
