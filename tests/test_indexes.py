@@ -448,11 +448,12 @@ def test_repaired_transcripts_are_cut_anew(spark):
     from tidepool.operators.states import repaired_transcripts
 
     rng = random.Random(1)
-    good = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(7)) + "." for _ in range(60)]
+    good = ["".join(chr(rng.randrange(0x4E00, 0x5400)) for _ in range(30)) + "。" for _ in range(60)]
     segment = "array<struct<start_ms:long,end_ms:long,text:string,asr_confidence:double>>"
     rows = [("t1", "i1", "\n".join([*good, "<unk>"]), [(i, i + 1, t, 0.9) for i, t in enumerate([*good, "<unk> <unk>"])]), ("t2", "i1", "x", [(0, 1, "fine words here", 0.9)]), ("t3", "i2", None, None)]
     saved, chunks, refused = repaired_transcripts(spark.createDataFrame(rows, f"transcript_id string, item_key string, text string, segments {segment}"), 400)
     one = saved.collect()
+    assert {r["transcript_id"]: r["refused"] for r in refused.collect()} == {"t2": "nothing removed", "t3": "no segments"}
     assert [(r["transcript_id"], r["removed"]) for r in one] == [("t1", 1)] and "<unk>" not in one[0]["text"] and len(one[0]["segments"]) == 60
     cut = chunks.orderBy("chunk_index").collect()
     assert [r["chunk_index"] for r in cut] == list(range(len(cut))) and max(len(r["text"]) for r in cut) <= 400 and "".join(r["text"] for r in cut).replace("\n", "") == one[0]["text"].replace("\n", "")
