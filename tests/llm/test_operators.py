@@ -657,6 +657,18 @@ def test_personal_data_discovers(spark):
     assert personal_data.find_personal_data(awkward(spark)).count() == 11 and personal_data.find_personal_data(docs(spark, [])).count() == 0
 
 
+def test_personal_data_cuts_nothing(spark):
+    """Long keys and identifiers are spans as wholes; words that the context's edge cuts stand in no pattern."""
+    key, name, far = "k9" + "aB3-" * 60 + "z", "agent-" + "7K" * 40, "w" * 100
+    rows = [(i, f"please contact user{i}@mail.example.com today") for i in range(9)]
+    rows += [(20, f'api_key = "{key}" end'), (21, f"please contact {name} today"), (22, f"password: {'a' * 300}7{'b' * 300}"), (23, f"one {far} {far} contact user1@mail.example.com {far}"), (24, f"{far}x1.2.3.4y{far}")]
+    rows += [(25, "please contact agent-77K21X9@ today"), (26, "please contact agent-77K21X9- today"), (27, "x" * 200_000 + "=" * 200_000)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.added] for r in personal_data.find_personal_data(docs(spark, rows)).collect()}
+    assert got[20] == [("secret", 11, 11 + len(key))] and got[21] == [("id", 15, 15 + len(name))] and got[22] == [("secret", 10, 611)] and got[25] == got[26] == got[27] == []
+    contexts = personal_data.spans_of(docs(spark, rows)).where("doc_id in (23, 24)").select("doc_id", personal_data.F.explode("contexts").alias("c")).select("doc_id", "c.patterns").collect()
+    assert {r.doc_id: r.patterns for r in contexts if r.doc_id == 23} == {23: []} and not any("w" in p for r in contexts for p in r.patterns)
+
+
 def test_personal_data_precision_and_recall(spark):
     """Identifiers planted in the contexts of seeds are found, the same shapes in other contexts are left alone."""
     rng = np.random.default_rng(21)

@@ -32,15 +32,16 @@ PATTERNS = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A value assigned to a name that promises a secret; 8 letters at least.
+#: A value assigned to a name that promises a secret, as long as it goes on; 8 letters at least, a digit among them.
 SECRET_NAME = r"(?i:password|passwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)"
-SECRET = r"(?<=\b" + SECRET_NAME + r"[\x22']?[\x20\t]{0,3}[:=][\x20\t]{0,3}[\x22']?)(?=[A-Za-z_+/=.-]{0,63}+[0-9])[A-Za-z0-9_+/-][A-Za-z0-9_+/=.-]{7,127}+"
+SECRET = r"(?<=\b" + SECRET_NAME + r"[\x22']?[\x20\t]{0,3}[:=][\x20\t]{0,3}[\x22']?)(?=[A-Za-z_+/=.-]*+[0-9])[A-Za-z0-9_+/-][A-Za-z0-9_+/=.-]{7,}+"
 #: Texts without this hold no match of the kind.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
-#: Identifier-like: 8 to 64 letters, digits, `_`, `=` or `-`, with a digit.
-IDENTIFIER = r"(?<![A-Za-z0-9_=@.-])(?=[A-Za-z_=-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_=-]{6,62}[A-Za-z0-9](?![A-Za-z0-9_=@-])"
+#: Identifier-like: 8 or more ASCII letters, digits, `_`, `=` or `-`, with a digit; the run as a whole, however long.
+IDENTIFIER = r"(?<![A-Za-z0-9_=@.-])(?=[A-Za-z_=-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_=-]{7,}+(?<=[A-Za-z0-9])(?!@)"
 #: Kinds beyond the fixed ones, in the order they are listed in.
 SECRET_KIND, ADDED_KIND = "secret", "id"
+#: Letters on either side that context words are taken from; a word that the edge cuts is none.
 CONTEXT = 64
 SMOOTHING, CONFIDENT, LEAST_SEEDS = 2.0, 0.5, 3
 #: Decimals that confidences are rounded to.
@@ -97,15 +98,17 @@ BLANK, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 
 def context_sql(of: str) -> str:
     """SQL: array of (value, seed, patterns) of the spans of an array; `<` names what stands before, `<>` both sides."""
-    before = f"split(trim(translate(lower(substring(text, int(greatest(1, s.start + 1 - {CONTEXT})), int(least({CONTEXT}, s.start)))), '0123456789\t\n\r', '0000000000   ')), ' +')"
-    after = f"split(trim(translate(lower(substring(text, int(s.end + 1), {CONTEXT})), '0123456789\t\n\r', '0000000000   ')), ' +')"
-    # The words next to the span come first; what is cut off at the window's edge is the last of many.
-    near = f"named_struct('b', reverse({before}), 'a', {after})"
+    folded = lambda part: f"split(trim(translate(lower({part}), '0123456789\t\n\r', '0000000000   ')), ' +')"
+    before = folded(f"substring(text, int(greatest(1, s.start + 1 - {CONTEXT})), int(least({CONTEXT}, s.start)))")
+    after = folded(f"substring(text, int(s.end + 1), {CONTEXT})")
+    whole = lambda words, cut: f"transform(array({words}), w -> if({cut}, slice(w, 1, size(w) - 1), w))[0]"
+    # The words next to the span come first; of a window that the text goes beyond, the last may be a piece.
+    near = f"named_struct('b', {whole(f'reverse({before})', f's.start > {CONTEXT}')}, 'a', {whole(after, f'length(text) > s.end + {CONTEXT}')})"
     patterns = """transform(array(w), c -> filter(array(
         if(size(c.b) > 1, concat('< ', c.b[1], ' ', c.b[0]), null),
         if(size(c.b) > 2, concat('< ', c.b[2], ' ', c.b[1], ' ', c.b[0]), null),
-        if(c.b[0] <> '' and c.a[0] <> '', concat('<> ', c.b[0], ' | ', c.a[0]), null),
-        if(c.b[0] rlike '[a-z][^a-z ]*[:=#]$', concat('< ', c.b[0]), null)), p -> p is not null))[0]"""
+        if(coalesce(get(c.b, 0), '') <> '' and coalesce(get(c.a, 0), '') <> '', concat('<> ', get(c.b, 0), ' | ', get(c.a, 0)), null),
+        if(get(c.b, 0) rlike '[a-z][^a-z ]*[:=#]$', concat('< ', get(c.b, 0)), null)), p -> p is not null))[0]"""
     return f"transform({of}, s -> transform(array({near}), w -> named_struct('value', s.value, 'seed', s.rank < {RANKS[ADDED_KIND]}, 'patterns', {patterns}))[0])"
 
 
