@@ -644,7 +644,7 @@ def brute_spans(text):
 def test_personal_data_spans(spark):
     rng = np.random.default_rng(6)
     parts = ["a@b.c", "x.y%z@d-e.f.g_h@i.jk", "@", "1.2.3.4", "256.1.1.1", "0010.0.0.255.7", "4111 1111-1111 1111", "4111111111111111", "12 34", "+1 (017) 555-7713", "+12-3", "é", "☃ ", " ", "\n", "79927398713", "000000000000", "ab.cd@", "5"]
-    texts = ["".join(rng.choice(parts, 12)) for _ in range(300)] + ["9" * 50_000, "1 " * 20_000, "a" * 50_000, "a@b" + ".c" * 20_000, "1.1.1.1." * 5000]
+    texts = ["".join(rng.choice(parts, 12)) for _ in range(300)] + ["9" * 5_000, "1 " * 2_000, "a" * 5_000, "a@b" + ".c" * 2_000, "1.1.1.1." * 500]  # brute force is quadratic
     got = personal_data.spans_of(docs(spark, list(enumerate(texts)))).select("doc_id", personal_data.listed(personal_data.F.col("seeds")).alias("s")).collect()
     assert {r.doc_id: r.s for r in got} == {i: brute_spans(t) for i, t in enumerate(texts)}
 
@@ -665,6 +665,18 @@ def test_personal_data_cuts_nothing(spark):
     rows += [(25, "please contact agent-77K21X9@ today"), (26, "please contact agent-77K21X9- today"), (27, "x" * 200_000 + "=" * 200_000)]
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.added] for r in personal_data.find_personal_data(docs(spark, rows)).collect()}
     assert got[20] == [("secret", 11, 11 + len(key))] and got[21] == [("id", 15, 15 + len(name))] and got[22] == [("secret", 10, 611)] and got[25] == got[26] == got[27] == []
+    # Windows over the pieces' edges, letters beyond one unit of UTF-16 among them, are those of the whole text.
+    lines = "".join(f"w{i % 77}\U0001f600 né{i} a{i % 50:05d}x@y.z ,{i} 12345678{i} " for i in range(400))
+    spans = personal_data.spans_of(docs(spark, [(1, lines)])).first()
+    at = sorted([*spans.seeds, *spans.others], key=lambda x: (x.rank >= 4, x.start))
+    got_by = {(c.value, tuple(c.patterns)) for c in spans.contexts}
+    clean = lambda part: re.sub("[0-9]", "0", part.lower()).split()
+    for x in at[:: len(at) // 60]:
+        b = clean(lines[max(0, x.start - 64) : x.start])[::-1]
+        b = b[:-1] if x.start > 64 else b
+        a = clean(lines[x.end : x.end + 64])
+        want = ["< " + " ".join(b[:n][::-1]) for n in (2, 3) if len(b) >= n] + [f"<> {b[0]} | {a[0]}" for _ in "1" if b and a]
+        assert (x.value, tuple(want)) in got_by or x.start < 64
     contexts = personal_data.spans_of(docs(spark, rows)).where("doc_id in (23, 24)").select("doc_id", personal_data.F.explode("contexts").alias("c")).select("doc_id", "c.patterns").collect()
     assert {r.doc_id: r.patterns for r in contexts if r.doc_id == 23} == {23: []} and not any("w" in p for r in contexts for p in r.patterns)
 

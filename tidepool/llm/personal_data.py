@@ -43,9 +43,13 @@ IDENTIFIER = r"(?<![A-Za-z0-9_=@.-])(?=[A-Za-z_=-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_
 SECRET_KIND, ADDED_KIND = "secret", "id"
 #: Letters on either side that context words are taken from; a word that the edge cuts is none.
 CONTEXT = 64
+#: Letters of a piece that windows are cut from; a window lies within two.
+PIECE = 1024
 SMOOTHING, CONFIDENT, LEAST_SEEDS = 2.0, 0.5, 3
 #: Decimals that confidences are rounded to.
 PLACES = 4
+#: Matches that are laid end to end at a time.
+BLOCK = 256
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,value:string>"
 
 
@@ -54,17 +58,19 @@ def quoted(pattern: str) -> str:
 
 
 def found(pattern: str, needs: str) -> str:
-    """SQL: array of (start, end, value) of the matches of a pattern in column `text`, in code points."""
-    p = quoted(pattern)
+    """SQL: array of (start, end, value) of the matches of a pattern in column `text`, in code points.
+
+    Matches are laid end to end in blocks of BLOCK, and the blocks behind each other, so that no array grows match by match.
+    """
+    p, none = quoted(pattern), "cast(array() as array<struct<start:bigint,end:bigint,value:string>>)"
+    matches = f"zip_with(regexp_extract_all(text, {p}, 0), slice(w, 2, greatest(1, size(w))), (m, after) -> named_struct('m', m, 'size', length(m), 'room', length(m) + length(after)))"
+    blocks = f"transform(sequence(0, (size(z) - 1) div {BLOCK}), k -> slice(z, k * {BLOCK} + 1, {BLOCK}))"
+    begins = """aggregate(blocks, named_struct('at', bigint(length(w[0])), 'out', cast(array() as array<bigint>)),
+        (acc, block) -> named_struct('at', acc.at + aggregate(block, 0L, (sum, x) -> sum + x.room), 'out', concat(acc.out, array(acc.at))), acc -> acc.out)"""
+    laid = f"""aggregate(block, named_struct('at', begin, 'out', {none}),
+        (acc, x) -> named_struct('at', acc.at + x.room, 'out', concat(acc.out, array(named_struct('start', acc.at, 'end', acc.at + x.size, 'value', x.m)))), acc -> acc.out)"""
     return f"""if(text rlike {quoted(needs)},
-        transform(array(split(text, {p})), w -> aggregate(
-            zip_with(regexp_extract_all(text, {p}, 0), slice(w, 2, greatest(1, size(w))), (m, after) -> named_struct('m', m, 'after', after)),
-            named_struct('at', bigint(length(w[0])), 'out', cast(array() as array<struct<start:bigint,end:bigint,value:string>>)),
-            (acc, x) -> named_struct(
-                'at', acc.at + length(x.m) + length(x.after),
-                'out', concat(acc.out, array(named_struct('start', acc.at, 'end', acc.at + length(x.m), 'value', x.m)))),
-            acc -> acc.out))[0],
-        cast(array() as array<struct<start:bigint,end:bigint,value:string>>))"""
+        transform(array(split(text, {p})), w -> transform(array({matches}), z -> transform(array({blocks}), blocks -> flatten(zip_with(blocks, {begins}, (block, begin) -> {laid})))[0])[0])[0], {none})"""
 
 
 DIGITS = "regexp_replace(s.value, '[^0-9]', '')"
@@ -99,8 +105,11 @@ BLANK, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 def context_sql(of: str) -> str:
     """SQL: array of (value, seed, patterns) of the spans of an array; `<` names what stands before, `<>` both sides."""
     folded = lambda part: f"split(trim(translate(lower({part}), '0123456789\t\n\r', '0000000000   ')), ' +')"
-    before = folded(f"substring(text, int(greatest(1, s.start + 1 - {CONTEXT})), int(least({CONTEXT}, s.start)))")
-    after = folded(f"substring(text, int(s.end + 1), {CONTEXT})")
+    # Windows are cut from pieces of the text, so that a text of many spans isn't walked through for each.
+    first, last = f"int(greatest(0, s.start - {CONTEXT}))", "int(s.end)"
+    local = lambda at: f"concat(coalesce(get(pieces, {at} div {PIECE}), ''), coalesce(get(pieces, {at} div {PIECE} + 1), ''))"
+    before = folded(f"substring({local(first)}, {first} % {PIECE} + 1, int(least({CONTEXT}, s.start)))")
+    after = folded(f"substring({local(last)}, {last} % {PIECE} + 1, {CONTEXT})")
     whole = lambda words, cut: f"transform(array({words}), w -> if({cut}, slice(w, 1, size(w) - 1), w))[0]"
     # The words next to the span come first; of a window that the text goes beyond, the last may be a piece.
     near = f"named_struct('b', {whole(f'reverse({before})', f's.start > {CONTEXT}')}, 'a', {whole(after, f'length(text) > s.end + {CONTEXT}')})"
@@ -109,7 +118,8 @@ def context_sql(of: str) -> str:
         if(size(c.b) > 2, concat('< ', c.b[2], ' ', c.b[1], ' ', c.b[0]), null),
         if(coalesce(get(c.b, 0), '') <> '' and coalesce(get(c.a, 0), '') <> '', concat('<> ', get(c.b, 0), ' | ', get(c.a, 0)), null),
         if(get(c.b, 0) rlike '[a-z][^a-z ]*[:=#]$', concat('< ', get(c.b, 0)), null)), p -> p is not null))[0]"""
-    return f"transform({of}, s -> transform(array({near}), w -> named_struct('value', s.value, 'seed', s.rank < {RANKS[ADDED_KIND]}, 'patterns', {patterns}))[0])"
+    each = f"transform({of}, s -> transform(array({near}), w -> named_struct('value', s.value, 'seed', s.rank < {RANKS[ADDED_KIND]}, 'patterns', {patterns}))[0])"
+    return f"transform(array(regexp_extract_all(text, r'(?s).{{1,{PIECE}}}', 0)), pieces -> {each})[0]"
 
 
 RANKS = {kind: k for k, kind in enumerate([*PATTERNS, SECRET_KIND, ADDED_KIND])}
