@@ -397,15 +397,15 @@ def files_of(at: str, place: object) -> list[dict]:
     return [json.loads(line) for name in found for line in open(name, encoding="utf-8")]  # noqa: SIM115
 
 
-@query("SELECT page_id, url, (SELECT count(*) + 49 FROM pages) // 50 AS fetched FROM pages")
+@query("SELECT page_id, url, (SELECT count(*) + 199 FROM pages) // 200 AS fetched FROM pages")
 def list_page(spark, d):
     """Pages through a list of unknown length, as a stream whose offset is the cursor; each page of it is asked for once."""
     rows = crawl.numbered(read(spark, d, "pages").select("page_id", "url"), F.asc("page_id"), F.asc("url"))
-    at, out = served(rows, F.floor(F.col("at") / 50)), folder(spark)
+    at, out = served(rows, F.floor(F.col("at") / 200)), folder(spark)
     asked = f"{folder(spark)}-asked".removeprefix("file:")
 
     def get(path: str, params: dict) -> tuple[int, str, str]:
-        found = files_of(at, params["page[offset]"] // 50) if params["page[offset]"] % 50 == 0 else []
+        found = files_of(at, params["page[offset]"] // 200) if params["page[offset]"] % 200 == 0 else []
         if found:
             with open(asked, "a", encoding="utf-8") as log:
                 log.write("page\n")
@@ -413,7 +413,7 @@ def list_page(spark, d):
 
     source = paged_stream.list_stream("tidepool_list", "page_id long, url string", paged_stream.Fetcher(get), lambda page: [(r["page_id"], r.get("url")) for r in page["data"]])
     spark.dataSource.register(source)
-    stream = spark.readStream.format("tidepool_list").option("path", "pages").option("limit", 50).load()
+    stream = spark.readStream.format("tidepool_list").option("path", "pages").option("limit", 200).load()
     run = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").start(out)
     run.processAllAvailable()
     run.stop()
