@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,21 @@ def test_words_and_hashes(texts):
         assert line.decode() == "".join(w + " " for t in texts for w in pattern.findall(t.translate(LOW)))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aé漢\U0001f600 ", max_size=12), max_size=6), st.integers(1, 4))
+def test_character_ngrams(texts, n):
+    """Buckets of n-grams of code points, row by row: as many as there are, and alike for equal ones in any row."""
+    points, begins = blocks.Block.of(pa.array(texts, pa.string())).points()
+    codes, limits = quality.char_codes(points, begins, n)
+    by = defaultdict(set)
+    for row, t in enumerate(texts):
+        mine = codes[limits[row] : limits[row + 1]]
+        assert len(mine) == max(0, len(t) - n + 1)
+        for i, c in enumerate(mine):
+            by[t[i : i + n]].add(int(c))
+    assert all(len(v) == 1 for v in by.values())
+
+
 # Samples.
 
 
@@ -114,8 +130,8 @@ def test_quality_score_by_hand():
         pairs = [int(blocks.chained(np.array(words[i : i + 2], np.uint64), np.array([0, 2]), 2)[0][0]) for i in range(len(words) - 1)]
         families = [[h >> top for h in words], [h >> top for h in pairs]]
         for n in quality.CHAR_ORDERS:
-            data = t.encode()
-            families.append([(int.from_bytes(data[i : i + n], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - quality.BITS) for i in range(len(data) - n + 1)])
+            grams = [reduce(lambda h, c: (h * 0x01000193 + int.from_bytes(c.encode(), "little")) & 0xFFFFFFFF, t[i : i + n], n) for i in range(len(t) - n + 1)]
+            families.append([(g * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - quality.BITS) for g in grams])
         for k, buckets in enumerate(families):
             raw += sum(model.weights[k][b] for b in buckets) / max(1, len(buckets))
         assert p == pytest.approx(1 / (1 + math.exp(-(1.7 * raw - 0.2))))
@@ -319,6 +335,28 @@ def test_decontamination_without_broadcasts(spark, monkeypatch):
     assert near == rows_of(decontamination.decontaminate(frame, bench), "doc_id", "n_near")
 
 
+def test_decontamination_moves_a_text_once(spark, monkeypatch, capsys):
+    """With all joins shuffled, one exchange has texts or their words; behind it there are pieces of a window's length."""
+    monkeypatch.setattr(tables, "SMALL_ROWS", 0)
+    frame = docs(spark, [(i, f"one two three four five {i} one two three") for i in range(40)])
+    windows, _ = decontamination.windows_of(spark.createDataFrame([(1, "one two three"), (2, "four five 7")], "item_id long, text string"), 13)
+    asked = frame.where("doc_id % 2 = 0").select(*decontamination.key_of(), blocks_explode()).join(windows.select("window"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = decontamination.verified(frame, tables.durable(asked), windows, 13)
+        capsys.readouterr()
+        out.explain("formatted")
+        exchanges = [b for b in capsys.readouterr().out.split("\n\n") if re.match(r"\(\d+\) Exchange", b.strip())]
+        assert sum(bool(re.search(r"\b(w|text)#", b)) for b in exchanges) == 1 and sum("piece#" in b for b in exchanges) >= 1
+        assert rows_of(out, "start", "words") == [(0, 3)] * 20 + [(6, 3)] * 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def blocks_explode():
+    return decontamination.F.explode(decontamination.F.array(*[decontamination.F.lit(x) for x in (0, 1, 6)])).alias("start")
+
+
 # 5. Licenses.
 
 

@@ -54,6 +54,18 @@ class Block:
     def text(self, row: int) -> bytes:
         return self.data[self.offsets[row] : self.offsets[row + 1]].tobytes()
 
+    def points(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each code point (its bytes), and the index of each row's first among them (rows + 1)."""
+        starts = np.flatnonzero((self.data & 0xC0) != 0x80)
+        if len(starts) == len(self.data):
+            return self.data.astype(np.uint32), self.offsets
+        out = self.data[starts].astype(np.uint32)
+        sizes = np.diff(np.append(starts, len(self.data)))
+        for k in (1, 2, 3):
+            more = np.flatnonzero(sizes > k)
+            out[more] |= self.data[starts[more] + k].astype(np.uint32) << np.uint32(8 * k)
+        return out, np.searchsorted(starts, self.offsets)
+
     def total(self, flags: np.ndarray) -> np.ndarray:
         """Sum of a per-byte array for each row."""
         run = np.zeros(len(self.data) + 1, np.int64)

@@ -1,6 +1,6 @@
 """Quality rules: counts for each text, and a calibrated logistic regression over hashed n-grams.
 
-The classifier reads hashed word unigrams and bigrams and character (byte) n-grams, each family normalised by its
+The classifier reads hashed word unigrams and bigrams and character (code point) n-grams, each family normalised by its
 count. It is fitted on a bounded sample of labelled rows, its probabilities are calibrated on a fold that the fit
 does not see (Platt's method), and rows are scored in Arrow batches against fixed thresholds.
 
@@ -49,21 +49,21 @@ class QualityModel:
         return logistic(self.slope * raw + self.shift)
 
 
-def char_codes(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of the byte n-grams that stay in a row, and the row limits among them."""
-    size = len(block.data)
+def char_codes(points: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of the n-grams of code points that stay in a row, and the row limits among them."""
+    size = len(points)
     if size < n:
-        return np.zeros(0, np.int64), np.zeros(block.rows + 1, np.int64)
-    code = np.zeros(size - n + 1, np.uint32)
+        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    code = np.full(size - n + 1, n, np.uint32)
     for k in range(n):
-        code = (code << np.uint32(8)) | block.data[k : size - n + 1 + k]
+        code = code * np.uint32(0x01000193) + points[k : size - n + 1 + k]
     code = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-    counts = np.maximum(0, np.diff(block.offsets) - n + 1)
+    counts = np.maximum(0, np.diff(offsets) - n + 1)
     if counts.sum() == len(code):
         return code, np.concatenate([[0], np.cumsum(counts)])
     stays = np.ones(len(code), bool)
     for k in range(1, n):  # n-grams that begin in one row and end in the next
-        cross = block.offsets[1:-1] - k
+        cross = offsets[1:-1] - k
         stays[cross[(cross >= 0) & (cross < len(code))]] = False
     return code[stays], np.concatenate([[0], np.cumsum(counts)])
 
@@ -73,8 +73,9 @@ def features(block: Block, hashes: np.ndarray, first: np.ndarray) -> Iterator[tu
     yield (hashes >> np.uint64(64 - BITS)).astype(np.int64), first
     pairs, at = chained(hashes, first, 2)
     yield (pairs >> np.uint64(64 - BITS)).astype(np.int64), np.searchsorted(at, first)
+    points, begins = block.points()
     for n in CHAR_ORDERS:
-        yield char_codes(block, n)
+        yield char_codes(points, begins, n)
 
 
 def raw_scores(block: Block, hashes: np.ndarray, first: np.ndarray, model: QualityModel) -> np.ndarray:
