@@ -10,7 +10,7 @@ is one of proximity.
 
 All of it is DataFrame expressions. Texts are never shuffled while the sought terms, windows and candidates stay under
 the bound of a broadcast, each checked by a count; beyond it the same joins are shuffled ones, of narrow rows but for
-the last, which moves the texts once. Counts are summed in each task before they travel.
+one, which moves each text once to the places that are asked of it; what goes on to the windows are some words for each. Counts are summed in each task before they travel.
 
 Defined results: null and empty texts have no words, no hit and no items, and are not contaminated; null and wordless
 items have no window; items repeated under one id count once, equal texts under different ids count each; repeated
@@ -106,6 +106,20 @@ def intersected(postings: DataFrame, plan: DataFrame, n: int, proximity: bool =
     return alone.unionByName(passed)
 
 
+def verified(docs: DataFrame, asked: DataFrame, windows: DataFrame, n: int) -> DataFrame:
+    """(id_key, text_key, window, start, words) of the places asked for (id_key, text_key, window, start) where a window's words stand.
+
+    A text meets the places that are asked of it, each once, and gives n words for each; these meet the windows.
+    """
+    places = asked.groupBy(*KEY).agg(F.collect_set("start").alias("starts"))  # a text's positions at most
+    words = docs.select(*key_of(), words_of(F.col("text")).alias("w"))
+    cut = F.transform("starts", lambda i: F.struct(i.alias("start"), F.slice("w", i + 1, F.lit(n)).alias("piece")))
+    pieces = words.join(bounded(places), KEY).select(*KEY, F.explode(cut).alias("p")).select(*KEY, "p.start", "p.piece")
+    held = pieces.join(bounded(asked), [*KEY, "start"]).join(bounded(windows), "window")
+    exact = held.where(F.slice("piece", F.lit(1), F.size("terms")) == F.col("terms"))
+    return exact.select(*KEY, "window", "start", F.size("terms").alias("words")).distinct()
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, proximity: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Exact matches (id_key, text_key, window, start, words), those of proximity (id_key, text_key, window, start), and (item_id, window)."""
     windows, items = windows_of(benchmark, n)
@@ -113,10 +127,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, proxim
     terms = plan.select(F.explode(F.concat(F.array("anchor"), F.col("rest.term"))).alias("term")).distinct()
     candidates = durable(intersected(durable(index(docs, durable(terms))), plan, n, proximity))
     asked = durable(candidates.where("aligned").select(*KEY, "window", "start"))
-    words = docs.select(*key_of(), words_of(F.col("text")).alias("w"))
-    placed = words.join(bounded(asked), KEY).join(bounded(windows), "window")
-    exact = placed.where(F.slice("w", F.col("start") + 1, F.size("terms")) == F.col("terms"))
-    exact = durable(exact.select(*KEY, "window", "start", F.size("terms").alias("words")).distinct())
+    exact = durable(verified(docs, asked, windows, n))
     return exact, candidates.where("near").select(*KEY, "window", "start"), items
 
 
