@@ -458,3 +458,22 @@ def test_repaired_transcripts_are_cut_anew(spark):
     cut = chunks.orderBy("chunk_index").collect()
     assert [r["chunk_index"] for r in cut] == list(range(len(cut))) and max(len(r["text"]) for r in cut) <= 400 and "".join(r["text"] for r in cut).replace("\n", "") == one[0]["text"].replace("\n", "")
     assert {r["transcript_id"]: r["refused"] for r in refused.collect()} == {"t2": "nothing removed", "t3": "no segments"}
+
+
+def test_commands_of_a_collection(spark, tmp_path, capsys):
+    from tidepool.__main__ import main
+
+    docs = documents(spark, 60, 12)
+    docs.where("item_key <> '3'").write.parquet(f"{tmp_path}/docs")
+    docs.where("item_key = '3'").write.parquet(f"{tmp_path}/more")
+    docs.where("item_key = '3'").select("collection_name", "item_key").write.parquet(f"{tmp_path}/items")
+    main(["create-collection", f"{tmp_path}/docs", f"{tmp_path}/c", "--dimension", "32"])
+    capsys.readouterr()
+    main(["sync-collection", f"{tmp_path}/c", f"{tmp_path}/more", f"{tmp_path}/items", "--dimension", "32"])
+    assert json.loads(capsys.readouterr().out)["embedded"] == 5
+    main(["find", f"{tmp_path}/c", "c", "price", "--limit", "3", "--dimension", "32", "--probes", "2"])
+    found = json.loads(capsys.readouterr().out)
+    assert not found["degraded"] and len(found["results"]) == 3
+    (tmp_path / "lib").mkdir()
+    main(["library-updated", f"{tmp_path}/lib"])
+    assert capsys.readouterr().out.strip() == "null"

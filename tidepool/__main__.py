@@ -39,10 +39,18 @@ def parser() -> argparse.ArgumentParser:
     command("media-jobs", "media jobs of normalised records", "records", "out", no_speech=False)
     command("queue", "jobs in the order of a queue", "jobs", "name", limit=50, categories=[])
     command("report", "how far downloads and transcripts are", "jobs")
-    command("repair", "transcripts cleaned, with why a repair is refused", "transcripts", "out")
+    command("repair", "transcripts cleaned, their chunks cut anew, and why a repair is refused", "transcripts", "out")
     command("build-lexicon", "the most frequent index terms of normalised records", "records", "out", limit=2000)
     command("state", "a key's last state", "log", "key")
     command("set-state", "adds a key's state to the log; no payload deletes it", "log", "key", "at", payload=None)
+    command("create-collection", "an index in a folder that syncs by item, from documents", "documents", "out", dimension=256)
+    command("sync-collection", "documents in place of all of some items, in documents, points and postings", "path", "documents", "items", dimension=256)
+    command("find", "ranked results of a collection as JSON; with probes by the nearest cells", "path", "collection", "query", limit=10, scope="content", doc_types=[], categories=[], participants=[], dimension=256, probes=0)
+    command("options", "categories and participants as options of a filter, the selected first", "index", selected=[])
+    command("ui-meta", "what a viewer shows before any search, as a JSON file", "index", "out", root=None, participants=0)
+    command("library-updated", "when a library changed last", "root")
+    command("poll-results", "appends the listing of a result folder to a log that the bridge streams", "results", "log")
+    command("audit", "the last entries of an audit log", "log", rows=20)
     command("run", "a catalogue query over a folder of tables", "name", "tables", rows=20)
     return out
 
@@ -51,12 +59,14 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import functions as F
 
     from tidepool.functions.embed import HashProvider, hash_embed
-    from tidepool.operators import documents, merges, records, segments, states, stats
+    from tidepool.operators import documents, merges, records, states, stats
     from tidepool.plans import catalogue, indexes, indexing, upkeep  # noqa: F401
+    from tidepool.plans.collection import Collection
     from tidepool.plans.search import Memory
     from tidepool.session import session
     from tidepool.sources import sinks, vectors
-    from tidepool.sources.readers import normalized_records
+    from tidepool.sources.readers import library_updated_at, normalized_records
+    from tidepool.streaming import audit, bridge
 
     args, spark = parser().parse_args(argv), session()
     command = args.command
@@ -117,13 +127,34 @@ def main(argv: list[str] | None = None) -> int:
     elif command == "report":
         show(stats.pipeline_report(read(args.jobs)))
     elif command == "repair":
-        save(segments.repaired(read(args.transcripts)), args.out)
+        saved, chunks, refused = states.repaired_transcripts(read(args.transcripts))
+        for name, rows in (("transcripts", saved), ("chunks", chunks), ("refused", refused)):
+            save(rows, f"{args.out}/{name}")
     elif command == "build-lexicon":
         stats.document_frequency(records.hot_words_of(keyed()), F.col("terms"), args.limit).write.mode("overwrite").json(args.out)
     elif command == "state":
         show(sinks.read_state(spark, args.log).where(F.col("state_key") == args.key))
     elif command == "set-state":
         sinks.append_state(spark, args.log, args.key, None if args.payload is None else json.loads(args.payload), args.at)
+    elif command == "create-collection":
+        Collection.create(read(args.documents), args.out, lambda: HashProvider(args.dimension))
+    elif command == "sync-collection":
+        done = Collection(spark, args.path, lambda: HashProvider(args.dimension)).sync(read(args.documents), read(args.items))
+        print(json.dumps(done.__dict__))
+    elif command == "find":
+        found = Collection(spark, args.path, lambda: HashProvider(args.dimension)).memory(args.collection, args.probes or None)
+        print(found.answer(args.query, limit=args.limit, scope=args.scope, doc_types=args.doc_types, categories=args.categories, participants=args.participants))
+    elif command == "options":
+        show(stats.filter_options(memory().categories().withColumnRenamed("category", "name").select(F.lit("category").alias("kind"), "name", "n").unionByName(memory().participants().select(F.lit("participant").alias("kind"), "name", "n")), args.selected))
+    elif command == "ui-meta":
+        meta = memory().ui_meta(library_updated_at(spark, args.root) if args.root else None, args.participants or None)
+        sinks.write_text(spark, args.out, json.dumps(meta, ensure_ascii=False, indent=2))
+    elif command == "library-updated":
+        print(json.dumps(library_updated_at(spark, args.root)))
+    elif command == "poll-results":
+        bridge.poll(spark, args.results, args.log)
+    elif command == "audit":
+        show(audit.entries(spark, args.log).orderBy(F.desc("batch"), F.desc("timestamp")).limit(args.rows))
     elif command == "run":
         catalogue.QUERIES[args.name](spark, args.tables).show(args.rows, truncate=False)
     return 0

@@ -11,6 +11,7 @@ from tidepool.functions.web import timestamp
 from tidepool.operators.documents import build_documents
 from tidepool.operators.merges import index_candidates
 from tidepool.operators.states import enrichment_completed, enrichment_failed, enrichment_started
+from tidepool.session import shared_folder
 from tidepool.sources.sinks import replace_documents
 
 
@@ -21,6 +22,8 @@ class Synced:
     errors: DataFrame  # (item_key, error)
     mark: str | None  # the latest change of an item that was indexed
     indexed: int
+    new: DataFrame  # the documents that were built
+    items: DataFrame  # (collection_name, item_key) whose documents they are, all of each
 
 
 def faults(candidates: DataFrame, records: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -40,11 +43,13 @@ def sync_index(docs: DataFrame, jobs: DataFrame, items: DataFrame, records: Data
     """
     mine = docs.where(F.col("collection_name") == collection)
     titles = mine.where(F.col("doc_type") == "item_title").select("item_key")
-    wanted = index_candidates(items, transcripts, titles, since, **options).select("item_key", "updated_at", "transcript_updated_at")
-    bad = faults(wanted, records, transcripts)
+    # What several results are made of is worked out once.
+    shared_folder(docs.sparkSession)
+    wanted = index_candidates(items, transcripts, titles, since, **options).select("item_key", "updated_at", "transcript_updated_at").checkpoint(eager=True)
+    bad = faults(wanted, records, transcripts).checkpoint(eager=True)
     good = wanted.join(bad, "item_key", "left_anti")
     chosen = good.select("item_key")
-    new = build_documents(records.join(chosen, "item_key", "left_semi"), transcripts.join(chosen, "item_key", "left_semi").select("item_key", "segments"))
+    new = build_documents(records.join(chosen, "item_key", "left_semi"), transcripts.join(chosen, "item_key", "left_semi").select("item_key", "segments")).checkpoint(eager=True)
     merged = replace_documents(docs, new.withColumn("collection_name", F.lit(collection)))
     key = F.concat(F.lit("search:"), "item_key")
     none = F.lit(None).cast("string")
@@ -54,4 +59,4 @@ def sync_index(docs: DataFrame, jobs: DataFrame, items: DataFrame, records: Data
     ended = enrichment_failed(done, bad.select(key.alias("job_key"), "error", none.alias("payload_json")), at)
     last = F.coalesce("transcript_updated_at", "updated_at")
     best = good.agg(F.max_by(last, timestamp(last)).alias("mark"), F.count("*").alias("n")).first()
-    return Synced(merged, ended, bad, best["mark"] or since, best["n"])
+    return Synced(merged, ended, bad, best["mark"] or since, best["n"], new.withColumn("collection_name", F.lit(collection)), chosen.select(F.lit(collection).alias("collection_name"), "item_key"))
