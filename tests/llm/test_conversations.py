@@ -179,8 +179,9 @@ def trie_rows(df):
 @pytest.mark.parametrize("first, most", [(1, 1), (2, 4), (16, 4096)])
 def test_trie(spark, first, most):
     draw = random.Random(3)
-    rows = [(c, t, draw.choice(("user", "assistant")), draw.choice(("yes", "nö", ""))) for c in range(40) for t in range(draw.randrange(1, 12))]
-    rows += [(100 + c, t, "user", f"copy {t}") for c in range(30) for t in range(9)]
+    longest = 4 if most == 1 else 12  # a round for each turn
+    rows = [(c, t, draw.choice(("user", "assistant")), draw.choice(("yes", "nö", ""))) for c in range(40) for t in range(draw.randrange(1, longest))]
+    rows += [(100 + c, t, "user", f"copy {t}") for c in range(30) for t in range(longest - 2)]
     rows += [(c, t, None, None) for c in (-7, -3, 0, 61) for t in (None, 2, 2)] + [(None, 1, "user", "x")]
     frame = conversations(spark, rows)
     want = brute_trie(rows)
