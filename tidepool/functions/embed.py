@@ -47,8 +47,12 @@ def provider(name: str, **options: object) -> Provider:
 
 
 def token_places(docs: DataFrame, dim: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, idx, w): the summed signed weights of each document's tokens, sparse."""
-    tokens = docs.select(key, F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))).alias("token"))
+    """(key, idx, w): the summed signed weights of each document's tokens, sparse; a document without tokens has one row, of NULLs.
+
+    Texts are dealt out by document once; tokens and places are summed where they are.
+    """
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
+    tokens = docs.select(key, text).repartition(key).select(key, F.explode_outer(words).alias("token"))
     each = tokens.groupBy(key, "token").agg(F.count("*").alias("n"))
     digest = F.sha2("token", 256)
     byte = lambda k: F.conv(F.substring(digest, 2 * k + 1, 2), 16, 10).cast("int")
@@ -58,11 +62,11 @@ def token_places(docs: DataFrame, dim: int = 256, text: str = "text", key: str =
 
 
 def hash_embed(docs: DataFrame, dim: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, embedding): dense vectors of length one, built from built-in functions only."""
-    places = token_places(docs, dim, text, key)
-    packed = places.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    """(key, embedding): dense vectors of length one, built from built-in functions only; zero for a document without tokens."""
+    held = F.when(F.col("idx").isNotNull(), F.struct("idx", "w"))
+    packed = token_places(docs, dim, text, key).groupBy(key).agg(F.map_from_entries(F.collect_list(held)).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(max(8, dim) - 1)), lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i), F.col("norm")), F.lit(0.0)).cast("float"))
-    return docs.select(key).distinct().join(packed, key, "left").select(key, dense.alias("embedding"))
+    return packed.select(key, dense.alias("embedding"))
 
 
 def embed_with(docs: DataFrame, make, text: str = "text", key: str = "doc_id", batch: int = 64) -> DataFrame:
